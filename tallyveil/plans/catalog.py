@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyveil.plans import preparation  # noqa: F401
+from tallyveil.plans import counting, preparation  # noqa: F401
 from tallyveil.plans.registry import CATALOG, Query
 
 
