@@ -11,9 +11,15 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 def gaussian_delta_np(eps, ratio):
@@ -136,26 +142,26 @@ def chi2_tail_np(x, df):
     return np.where(ok, np.clip(tail, 0.0, 1.0), np.where(x <= 0, 1.0, np.nan))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gaussian_delta(eps: pd.Series, ratio: pd.Series) -> pd.Series:
     return pd.Series(gaussian_delta_np(eps, ratio))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gaussian_sigma(eps: pd.Series, delta: pd.Series, sensitivity: pd.Series) -> pd.Series:
     return pd.Series(gaussian_sigma_np(eps, delta, sensitivity))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_halfwidth(level: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_halfwidth_np(level, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided_np(t, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(chi2_tail_np(x, df))
