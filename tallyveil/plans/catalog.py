@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyveil.plans import counting, models, preparation, release  # noqa: F401
+from tallyveil.plans import analysis, counting, models, preparation, release, reports  # noqa: F401
 from tallyveil.plans.registry import CATALOG, Query
 
 
