@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyveil.operators.domain import Domain, rank_cell
+from tallyveil.session import cut_lineage
 
 Clique = tuple[str, ...]
 
@@ -113,6 +114,18 @@ def codes_of(cell: str, sizes: str) -> Column:
                        lambda z: (F.call_function("div", F.col(cell), z["st"]) % z["sz"]).cast("int"))
 
 
+def count_once(coded: DataFrame, domain: Domain, columns: Sequence[str] | None = None) -> tuple[DataFrame, str | None]:
+    """Rows as distinct combinations with their number, so later counting never reads the table again.
+
+    Done when the joint domain is small enough to be sure it pays; otherwise the rows come back as they
+    are. The result is written to the shared folder: it is small, read often, and outlives executors.
+    """
+    names = list(columns or domain.columns)
+    if domain.cells(names) > JOINT_CELLS:
+        return coded, None
+    return cut_lineage(coded.groupBy(*names).agg(F.count("*").alias("rows"))), "rows"
+
+
 def count_cells(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, weight: str | None = None,
                 by: Sequence[str] = ()) -> DataFrame:
     """Counts of all occurring cells of all cliques, in one pass over the rows.

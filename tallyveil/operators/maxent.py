@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyveil.operators.domain import Domain, all_rows, rank_cell
 from tallyveil.operators.factors import log_sum_exp
 from tallyveil.operators.marginals import Clique
-from tallyveil.session import cut_lineage
+from tallyveil.session import broadcast_checked, cut_lineage
 
 JITTER = 1e-12  # added to the covariance diagonal
 PRIOR_SD = 10.0
@@ -147,7 +147,9 @@ def conjugate_log_density(draws: DataFrame, chi: DataFrame, nu: float, cache: Da
     """
     dot = draws.join(F.broadcast(chi), "query_id").groupBy("draw_id").agg(F.sum(F.col("chi") * F.col("lam")).alias("dot"))
     vectors = draws.groupBy("draw_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "lam"))).alias("lams"))
-    keyed = cache.join(F.broadcast(vectors))
+    ids = [r[0] for r in draws.select("draw_id").distinct().collect()]
+    each = cache.withColumn("draw_id", F.explode(F.lit(ids)))
+    keyed = each.join(broadcast_checked(vectors, len(ids), 24 * MAX_PARAMETERS), "draw_id")
     weight = F.aggregate("active", F.lit(0.0), lambda acc, q: acc + F.try_element_at(F.col("lams"), q))
     z = log_sum_exp(keyed.select("draw_id", (weight + F.ln("rows")).alias("logw")), ["draw_id"], out="z")
     return dot.join(z, "draw_id").select("draw_id", (F.col("dot") - nu * F.col("z")).alias("logp"))

@@ -22,7 +22,7 @@ from tallyveil.functions.keyed import md5_gumbel, md5_normal, md5_uniform, py_gu
 from tallyveil.functions.special import gaussian_sigma_np
 from tallyveil.operators.domain import Domain
 from tallyveil.operators.marginals import (Clique, all_pairs, canonical, cell_grid, clique_table, count_all_cells,
-                                           count_cells, query_ids, with_codes)
+                                           count_cells, count_once, query_ids, with_codes)
 from tallyveil.session import scratch_path
 
 SUPPORT_SIGMAS = 3.0  # a cell is supported when its noisy count reaches this many sigmas
@@ -104,11 +104,14 @@ def release_gaussian(df: DataFrame, value: str, sigma: Column | float, key: Sequ
 
 
 def measure(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, sigma: float,
-            weights: Sequence[float] | None = None, salt: str | None = None) -> DataFrame:
-    """Noisy counts of all cells: (clique_id, cell, y, sigma). Weights share the noise among cliques."""
+            weights: Sequence[float] | None = None, salt: str | None = None, rows: str | None = None) -> DataFrame:
+    """Noisy counts of all cells: (clique_id, cell, y, sigma). Weights share the noise among cliques.
+
+    `rows` names the column of row numbers when the table was counted before.
+    """
     w = np.ones(len(cliques)) if weights is None else np.asarray(weights, float)
     scales = [float(s) for s in sigma / (w / np.linalg.norm(w))]
-    counts = count_all_cells(coded, cliques, domain)
+    counts = count_all_cells(coded, cliques, domain, rows)
     scale = F.element_at(F.lit(scales), F.col("clique_id") + 1)
     out = noisy(counts.withColumn("sigma", scale), "n", F.col("sigma"), ["clique_id", "cell"], "y", salt)
     return out.drop("n") if salt is not None else release(out, ["n"])
@@ -167,7 +170,7 @@ def unmap(coded: DataFrame, lists: dict[str, list[tuple[int, bool]]], key: str,
 # ---------------------------------------------------------------- choosing pairs
 
 
-def pair_scores(coded: DataFrame, columns: Sequence[str], domain: Domain, ones: DataFrame) -> DataFrame:
+def pair_scores(coded: DataFrame, columns: Sequence[str], domain: Domain, ones: DataFrame, rows: str | None = None) -> DataFrame:
     """L1 distance of each pair's true counts from independence under noisy one-way counts.
 
     `ones` holds (clique_id, code, y, members) with clique_id = place in `columns`. Exact scores:
@@ -181,7 +184,7 @@ def pair_scores(coded: DataFrame, columns: Sequence[str], domain: Domain, ones:
     total = est.groupBy("clique_id").agg(F.sum("x").alias("s")).agg(F.avg("s").alias("n_hat"))
     names = F.lit(list(columns))
     by_name = shares.select(F.element_at(names, F.col("clique_id") + 1).alias("col"), "code", "p")
-    cells = with_codes(count_all_cells(coded, pairs, domain), clique_table(coded.sparkSession, pairs, domain))
+    cells = with_codes(count_all_cells(coded, pairs, domain, rows), clique_table(coded.sparkSession, pairs, domain))
     flat = cells.select("clique_id", "n", F.col("cols")[0].alias("ca"), F.col("codes")[0].alias("va"),
                         F.col("cols")[1].alias("cb"), F.col("codes")[1].alias("vb"))
     left = by_name.select(F.col("col").alias("ca"), F.col("code").alias("va"), F.col("p").alias("pa"))
@@ -251,23 +254,25 @@ def score_dict(scores: DataFrame) -> dict[Clique, float]:
 
 def select_pairs(coded: DataFrame, domain: Domain, rho_measure: float | None, rho_select: float | None,
                  required: Sequence[Clique] = (), salt: str | None = None,
-                 return_scores: bool = False) -> tuple[list[Clique], DataFrame | None]:
+                 return_scores: bool = False, rows: str | None = None) -> tuple[list[Clique], DataFrame | None]:
     """Measure columns, shrink the domain, score pairs, pick a spanning set.
 
     `rho_*=None` means no privacy: exact counts and exact choice, and only then may scores be returned.
     """
     if return_scores and rho_select is not None:
         raise ValueError("exact scores leak; they are only returned without privacy")
+    if rows is None:
+        coded, rows = count_once(coded, domain)
     columns = domain.columns
     singles = [(c,) for c in columns]
     if rho_measure is None:
-        measured = count_all_cells(coded, singles, domain).select("clique_id", "cell", F.col("n").cast("double").alias("y"), F.lit(0.0).alias("sigma"))
+        measured = count_all_cells(coded, singles, domain, rows).select("clique_id", "cell", F.col("n").cast("double").alias("y"), F.lit(0.0).alias("sigma"))
     else:
-        measured = measure(coded, singles, domain, math.sqrt(1.0 / (2 * rho_measure)), salt=salt)
+        measured = measure(coded, singles, domain, math.sqrt(1.0 / (2 * rho_measure)), salt=salt, rows=rows)
     supports, ones = compress(measured)
     lists = support_lists(supports, columns)
     small = remap(coded, lists)
-    scores = pair_scores(small, columns, compressed_domain(lists), ones)
+    scores = pair_scores(small, columns, compressed_domain(lists), ones, rows)
     chosen = spanning_pairs(score_dict(scores), columns, rho_select, required, None if salt is None else f"{salt}/select")
     return chosen, scores if return_scores else None
 
@@ -275,11 +280,11 @@ def select_pairs(coded: DataFrame, domain: Domain, rho_measure: float | None, rh
 # ---------------------------------------------------------------- the released statistic
 
 
-def statistic_cells(coded: DataFrame, cliques: Sequence[Clique], domain: Domain) -> DataFrame:
+def statistic_cells(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, rows: str | None = None) -> DataFrame:
     """Exact counts of the canonical cells: (clique_id, cell, query_id, n)."""
     spark = coded.sparkSession
     queries = query_ids(canonical(cell_grid(spark, cliques, domain), clique_table(spark, cliques, domain)))
-    seen = count_cells(coded, cliques, domain)
+    seen = count_cells(coded, cliques, domain, rows)
     return queries.join(seen, ["clique_id", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -289,9 +294,9 @@ def statistic_sigma(n_sets: int, eps: float, delta: float) -> float:
 
 
 def release_statistic(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, sigma: float,
-                      salt: str | None = None, path: str | None = None) -> DataFrame:
+                      salt: str | None = None, path: str | None = None, rows: str | None = None) -> DataFrame:
     """Noisy canonical counts (clique_id, cell, query_id, y); sigma 0 releases them exactly."""
-    cells = statistic_cells(coded, cliques, domain)
+    cells = statistic_cells(coded, cliques, domain, rows)
     if sigma == 0:
         return cells.select("clique_id", "cell", "query_id", F.col("n").cast("double").alias("y"))
     out = noisy(cells, "n", sigma, ["clique_id", "cell"], "y", salt)

@@ -21,7 +21,7 @@ MAX_THRESHOLDS = BROADCAST_BYTES // 8  # cells of an explicit model a task may h
 Uniform = Callable[..., Column]
 
 
-def _code_from(cum: Column, u: Column, levels: int) -> Column:
+def code_from(cum: Column, u: Column, levels: int) -> Column:
     """Smallest code whose cumulative probability exceeds u; the last code takes the rest."""
     if levels <= UNROLL:
         out = F.lit(0)
@@ -54,7 +54,7 @@ def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain
         table = broadcast_checked(table, max(draws, 1) * parents, 32 + 8 * levels)
         lookup = rows.withColumn("__parent", F.col(parent) if parent else F.lit(0))
         joined = lookup.join(table, [*keys, "__parent"])
-        rows = joined.withColumn(c, _code_from(F.col("__t"), uniform(f"{salt}/{c}", "dataset_id", "row_id"), levels)).drop("__parent", "__t")
+        rows = joined.withColumn(c, code_from(F.col("__t"), uniform(f"{salt}/{c}", "dataset_id", "row_id"), levels)).drop("__parent", "__t")
     return rows.select("dataset_id", "row_id", *(["draw_id"] if draws else []), *domain.columns)
 
 

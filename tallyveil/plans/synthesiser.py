@@ -8,15 +8,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyveil.functions.keyed import hash_uniform, md5_uniform
 from tallyveil.operators import maxent as X
 from tallyveil.operators import privacy as D
 from tallyveil.operators import treemodel as TM
-from tallyveil.operators.domain import Domain, decode, encode
-from tallyveil.operators.factors import elimination_order
-from tallyveil.operators.marginals import Clique, canonical_count, cell_grid, check_cliques, count_all_cells
-from tallyveil.operators.sampling import sample_tree
+from tallyveil.operators.domain import Domain, decode, encode, unrank
+from tallyveil.operators.factors import elimination_order, log_sum_exp
+from tallyveil.operators.marginals import Clique, canonical_count, check_cliques, count_all_cells, count_once
+from tallyveil.operators.sampling import code_from, sample_tree
+from tallyveil.session import broadcast_checked
 from tallyveil.sources.store import load_model, store_model
 
 METHODS = ("tree", "explicit")
@@ -74,7 +77,7 @@ def model_width(pairs: Sequence[Clique], columns: Sequence[str]) -> int:
     return widest
 
 
-def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool = False) -> Plan:
+def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool = False, rows: str | None = None) -> Plan:
     """Choose pairs and noise; releases nothing but the choice of pairs."""
     if o.method not in METHODS:
         raise ValueError(f"unknown method {o.method!r}, expected one of {METHODS}")
@@ -86,11 +89,11 @@ def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool =
     if o.pairs is not None:
         pairs = [tuple(p) for p in o.pairs]
     elif o.no_privacy:
-        pairs, scores = D.select_pairs(coded, domain, None, None, o.required, return_scores=return_scores)
+        pairs, scores = D.select_pairs(coded, domain, None, None, o.required, return_scores=return_scores, rows=rows)
     else:
         part = ledger.rho / 3
         pairs, scores = D.select_pairs(coded, domain, ledger.spend("measure columns", part), ledger.spend("select pairs", part),
-                                       o.required, o.salt, return_scores)
+                                       o.required, o.salt, return_scores, rows)
     if o.no_privacy:
         sigma = 0.0
     elif o.budget == "reference" or o.pairs is not None:
@@ -104,15 +107,15 @@ def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool =
 
 def fit(df: DataFrame, domain: Domain, o: Options = Options()) -> Fitted:
     """Fit a model to a label table over a declared domain."""
-    coded = encode(df.select(*domain.columns), domain)
-    plan = plan_fit(coded, domain, o)
-    n = coded.count()
+    coded, rows = count_once(encode(df.select(*domain.columns), domain), domain)
+    plan = plan_fit(coded, domain, o, rows=rows)
+    n = coded.agg(F.sum(rows)).first()[0] if rows else coded.count()
     meta = {"rows": n, "epsilon": o.epsilon, "delta": o.delta, "sigma": plan.sigma, "method": o.method, "draws": o.draws,
             "canonical_cells": plan.canonical_cells, "width": plan.width, "no_privacy": o.no_privacy}
     if o.method == "explicit":
-        return _fit_explicit(coded, domain, o, plan, n, meta)
+        return _fit_explicit(coded, domain, o, plan, n, meta, rows)
     tree = TM.Tree.of(plan.pairs, domain.columns)
-    counts = count_all_cells(coded, plan.pairs, domain)
+    counts = count_all_cells(coded, plan.pairs, domain, rows)
     if plan.sigma == 0:
         released = counts.withColumn("y", F.col("n").cast("double")).drop("n")
     else:
@@ -123,9 +126,9 @@ def fit(df: DataFrame, domain: Domain, o: Options = Options()) -> Fitted:
     return Fitted(cpts, tree, None, domain, plan.pairs, meta)
 
 
-def _fit_explicit(coded: DataFrame, domain: Domain, o: Options, plan: Plan, n: int, meta: dict) -> Fitted:
+def _fit_explicit(coded: DataFrame, domain: Domain, o: Options, plan: Plan, n: int, meta: dict, rows: str | None) -> Fitted:
     spark = coded.sparkSession
-    released = D.release_statistic(coded, plan.pairs, domain, plan.sigma, o.salt).persist()
+    released = D.release_statistic(coded, plan.pairs, domain, plan.sigma, o.salt, rows=rows).persist()
     model = X.Model.of(domain, plan.pairs, released)
     cache = X.statistic_cache(X.domain_rows(spark, model))
     y = [r["y"] for r in released.orderBy("query_id").select("y").collect()]
@@ -143,9 +146,7 @@ def chain_conditionals(spark: SparkSession, model: X.Model, lambdas: DataFrame,
     vectors = lambdas.groupBy("draw_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "lam"))).alias("lams"))
     rows = X.domain_rows(spark, model).select("cell_id", "active").withColumn("draw_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     weight = F.aggregate("active", F.lit(0.0), lambda acc, q: acc + F.try_element_at(F.col("lams"), q))
-    weighted = rows.join(F.broadcast(vectors), "draw_id").select("draw_id", "cell_id", weight.alias("logw"))
-    from tallyveil.operators.factors import log_sum_exp
-
+    weighted = rows.join(broadcast_checked(vectors, draws, 24 * model.size), "draw_id").select("draw_id", "cell_id", weight.alias("logw"))
     z = log_sum_exp(weighted, ["draw_id"], out="z")
     return weighted.join(F.broadcast(z), "draw_id").select("draw_id", "cell_id", F.exp(F.col("logw") - F.col("z")).alias("p"))
 
@@ -164,16 +165,9 @@ def generate(spark: SparkSession, fitted: Fitted, m: int, n: int | None = None,
 def _sample_cells(spark: SparkSession, fitted: Fitted, n: int, m: int, draws: int, salt: str) -> DataFrame:
     """Rows of explicit models column by column: conditional tables of each column given the drawn ones.
 
-    The domain is walked as a tree of prefixes, so each row does one equality join per column and no
-    cumulative search over the whole domain.
+    Each row does one equality join per column with the thresholds of its prefix, so nothing searches the
+    whole domain. Small threshold tables are broadcast, large ones are joined by their prefix.
     """
-    from pyspark.sql import Window as W
-
-    from tallyveil.functions.keyed import hash_uniform, md5_uniform
-    from tallyveil.operators.domain import unrank
-    from tallyveil.operators.sampling import _code_from
-    from tallyveil.session import broadcast_checked
-
     columns, sizes = fitted.domain.columns, fitted.domain.sizes()
     cells = fitted.cpts.select("draw_id", "p", *[c.alias(x) for c, x in zip(unrank(F.col("cell_id"), sizes), columns)])
     rows = spark.range(m * n).select(F.call_function("div", F.col("id"), F.lit(n).cast("long")).cast("int").alias("dataset_id"), (F.col("id") % n).alias("row_id"))
@@ -186,7 +180,7 @@ def _sample_cells(spark: SparkSession, fitted: Fitted, n: int, m: int, draws: in
         table = sums.withColumn("cum", cum).groupBy("draw_id", *prefix).agg(
             F.transform(F.array_sort(F.collect_list(F.struct(c, "cum"))), lambda s: s["cum"]).alias("__t"))
         table = broadcast_checked(table, draws * math.prod(sizes[:i]), 48 + 8 * sizes[i])
-        rows = rows.join(table, ["draw_id", *prefix]).withColumn(c, _code_from(F.col("__t"), hash_uniform(f"{salt}/{c}", "dataset_id", "row_id"), sizes[i])).drop("__t")
+        rows = rows.join(table, ["draw_id", *prefix]).withColumn(c, code_from(F.col("__t"), hash_uniform(f"{salt}/{c}", "dataset_id", "row_id"), sizes[i])).drop("__t")
     return rows.select("dataset_id", "row_id", "draw_id", *columns)
 
 
@@ -194,14 +188,14 @@ def select_measure_generate(df: DataFrame, domain: Domain, epsilon: float, delta
     """Shrink the domain, choose pairs, measure them, generate one table of the same size, undo the shrinking."""
     spark, columns = df.sparkSession, domain.columns
     rho = D.rho_number(epsilon, delta)
-    coded = encode(df.select(*columns), domain)
-    measured = D.measure(coded, [(c,) for c in columns], domain, math.sqrt(3 / (2 * rho)), salt=salt)
+    coded, counted = count_once(encode(df.select(*columns), domain), domain)
+    measured = D.measure(coded, [(c,) for c in columns], domain, math.sqrt(3 / (2 * rho)), salt=salt, rows=counted)
     supports, ones = D.compress(measured)
     lists = D.support_lists(supports, columns)
     small, small_domain = D.remap(coded, lists), D.compressed_domain(lists)
-    scores = D.score_dict(D.pair_scores(small, columns, small_domain, ones))
+    scores = D.score_dict(D.pair_scores(small, columns, small_domain, ones, counted))
     pairs = D.spanning_pairs(scores, columns, rho / 3, salt=None if salt is None else f"{salt}/select")
-    cells = D.measure(small, pairs, small_domain, math.sqrt(3 / (2 * rho)), salt=None if salt is None else f"{salt}/pairs")
+    cells = D.measure(small, pairs, small_domain, math.sqrt(3 / (2 * rho)), salt=None if salt is None else f"{salt}/pairs", rows=counted)
     tree = TM.Tree.of(pairs, columns)
     cpts = TM.conditionals(cells, pairs, small_domain, tree, value="y")
     n = max(1, round(ones.select((F.col("y") * F.sqrt("members")).alias("x"), "clique_id").groupBy("clique_id").agg(F.sum("x").alias("s")).agg(F.avg("s")).first()[0]))
