@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyveil.functions.sqltext import ident, literal, search
 from tallyveil.operators.cleaning import all_categorical, cast_columns, collapse_labels, keep_columns, overwrite_column, target_last
 
 # Share of the range the first edge is lowered by, label digits, where fixed-width buckets end.
@@ -58,22 +59,21 @@ def fit_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, Edg
     return {c: make_edges(row[f"{c}:min"], row[f"{c}:max"], bins) for c in columns}
 
 
-def bin_code(column: str | Column, edges: Edges) -> Column:
+def _bin(column: str, edges: Edges, values: Sequence) -> Column:
+    name = ident(column)
+    inside = search([literal(v) for v in edges.values[1:-1]], lambda i: literal(values[i]), f"double({name}) <=")
+    low, high = literal(edges.values[0]), literal(edges.values[-1])
+    return F.expr(f"CASE WHEN double({name}) > {low} AND double({name}) <= {high} THEN {inside} END")
+
+
+def bin_code(column: str, edges: Edges) -> Column:
     """Bin number from 0; right-closed; null outside the edges."""
-    col = (F.col(column) if isinstance(column, str) else column).cast("double")
-    expr = F.when(col <= edges.values[0], F.lit(None).cast("int"))
-    for i, upper in enumerate(edges.values[1:]):
-        expr = expr.when(col <= upper, F.lit(i))
-    return expr
+    return _bin(column, edges, list(range(len(edges.labels))))
 
 
-def bin_label(column: str | Column, edges: Edges) -> Column:
+def bin_label(column: str, edges: Edges) -> Column:
     """Bin label `(a, b]`; null outside the edges."""
-    col = (F.col(column) if isinstance(column, str) else column).cast("double")
-    expr = F.when(col <= edges.values[0], F.lit(None).cast("string"))
-    for label, upper in zip(edges.labels, edges.values[1:]):
-        expr = expr.when(col <= upper, F.lit(label))
-    return expr
+    return _bin(column, edges, edges.labels)
 
 
 def width_bucket_label(column: str | Column, width: int) -> Column:

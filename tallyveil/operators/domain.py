@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyveil.functions.sqltext import array, ident, literal, search
 from tallyveil.functions.text import clean_name
 from tallyveil.operators.cleaning import target_last
 from tallyveil.session import broadcast_checked
@@ -107,25 +108,21 @@ class Domain:
         return {c: dict(enumerate(vs)) for c, vs in self.labels.items()}
 
 
-def _search(col: Column, ordered: Sequence[tuple[str, int]]) -> Column:
-    """Code by binary search over sorted labels, as nested comparisons (codegen, no join)."""
-    if len(ordered) == 1:
-        return F.when(col == F.lit(ordered[0][0]), F.lit(ordered[0][1]))
-    mid = len(ordered) // 2
-    return F.when(col < F.lit(ordered[mid][0]), _search(col, ordered[:mid])).otherwise(_search(col, ordered[mid:]))
-
-
-def _pick(col: Column, labels: Sequence[str], base: int = 0) -> Column:
-    if len(labels) == 1:
-        return F.when(col == base, F.lit(labels[0]))
-    mid = len(labels) // 2
-    return F.when(col < base + mid, _pick(col, labels[:mid], base)).otherwise(_pick(col, labels[mid:], base + mid))
-
-
 def code_of(column: str, labels: Sequence[str]) -> Column:
-    """Code expression of a short domain; null for labels outside it."""
+    """Code expression of a short domain: binary search in nested comparisons; null for labels outside it."""
+    if not labels:
+        return F.lit(None).cast("int")
+    name = ident(column)
     ordered = sorted(((v, i) for i, v in enumerate(labels)), key=lambda p: p[0].encode())
-    return _search(F.col(column), ordered) if ordered else F.lit(None).cast("int")
+    leaf = lambda i: f"CASE WHEN {name} = {literal(ordered[i][0])} THEN {ordered[i][1]} END"
+    return F.expr(search([literal(v) for v, _ in ordered[:-1]], leaf, f"{name} <="))
+
+
+def label_of(column: str, labels: Sequence[str]) -> Column:
+    """Label expression of a short domain; null for codes outside it."""
+    if not labels:
+        return F.lit(None).cast("string")
+    return F.expr(f"get({array(labels)}, {ident(column)})")
 
 
 def _joined(df: DataFrame, domain: Domain, columns: Sequence[str], source: str, target: str) -> DataFrame:
@@ -152,7 +149,7 @@ def decode(df: DataFrame, domain: Domain) -> DataFrame:
     order = df.columns
     known = [c for c in order if c in domain.labels]
     short = {c for c in known if domain.size(c) <= TREE_LEVELS}
-    out = df.select([_pick(F.col(c), domain.labels[c]).alias(c) if c in short else F.col(c) for c in order])
+    out = df.select([label_of(c, domain.labels[c]).alias(c) if c in short else F.col(c) for c in order])
     return _joined(out, domain, [c for c in known if c not in short], "code", "label").select(order)
 
 
@@ -168,23 +165,27 @@ def to_codes(df: DataFrame, domain: Domain | None = None) -> DataFrame:
     return encode(df, domain.only(labels) if domain else Domain.infer(df, labels))
 
 
-def unrank(index: Column, sizes: Sequence[int]) -> list[Column]:
-    """Codes of a cell from its number; the last column runs fastest."""
+def unrank(index: str, sizes: Sequence[int]) -> list[Column]:
+    """Codes of the cell whose number is in column `index`; the last column runs fastest."""
     out, stride = [], math.prod(sizes)
     for k in sizes:
         stride //= k
-        out.append((F.call_function("div", index, F.lit(stride).cast("long")) % k).cast("int"))
+        out.append(F.expr(f"int(({ident(index)} div {stride}L) % {k})"))
     return out
 
 
-def rank_cell(columns: Sequence[Column | str], sizes: Sequence[int]) -> Column:
-    """Number of a cell from its codes; inverse of `unrank`."""
-    out = F.lit(0).cast("long")
+def rank_text(columns: Sequence[str], sizes: Sequence[int]) -> str:
+    """Text of the number of a cell from its codes; inverse of `unrank`."""
+    out = "0L"
     for c, k in zip(columns, sizes):
-        out = out * F.lit(k).cast("long") + (F.col(c) if isinstance(c, str) else c)
+        out = f"({out} * {k}L + {ident(c)})"
     return out
 
 
+def rank_cell(columns: Sequence[str], sizes: Sequence[int]) -> Column:
+    return F.expr(rank_text(columns, sizes))
+
+
 def all_rows(spark: SparkSession, domain: Domain, columns: Sequence[str] | None = None,
              max_cells: int = MAX_CELLS) -> DataFrame:
     """Every possible row of the domain as codes: one range, split by mixed-radix division."""
@@ -192,7 +193,7 @@ def all_rows(spark: SparkSession, domain: Domain, columns: Sequence[str] | None
     sizes, total = domain.sizes(names), domain.cells(names)
     if total > max_cells:
         raise ValueError(f"{total} cells are more than {max_cells}")
-    digits = unrank(F.col("id"), sizes)
+    digits = unrank("id", sizes)
     return spark.range(total).select(F.col("id").alias("cell_id"), *[d.alias(n) for d, n in zip(digits, names)])
 
 

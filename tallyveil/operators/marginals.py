@@ -14,7 +14,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.operators.domain import Domain, rank_cell
+from tallyveil.functions.sqltext import array, search
+from tallyveil.operators.domain import Domain, encode, rank_text
 from tallyveil.session import cut_lineage
 
 Clique = tuple[str, ...]
@@ -88,17 +89,10 @@ def cell_grid(spark: SparkSession, cliques: Sequence[Clique], domain: Domain,
     for s in sizes:
         total += s
         ends.append(total)
-    which = _place(F.col("id"), ends, 0, len(ends) - 1) if ends else F.lit(0)
-    starts = F.array(*[F.lit(e - s).cast("long") for e, s in zip(ends, sizes)])
-    grid = spark.range(total).select(which.alias("clique_id"), "id")
-    return grid.select("clique_id", (F.col("id") - F.element_at(starts, F.col("clique_id") + 1)).alias("cell"))
-
-
-def _place(index: Column, ends: Sequence[int], low: int, high: int) -> Column:
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(index < F.lit(ends[mid]), _place(index, ends, low, mid)).otherwise(_place(index, ends, mid + 1, high))
+    which = search([str(e) for e in ends[:-1]], str, "id <")
+    starts = array([e - s for e, s in zip(ends, sizes)])
+    grid = spark.range(total).selectExpr(f"{which} AS clique_id", "id")
+    return grid.selectExpr("clique_id", f"id - get({starts}, clique_id) AS cell")
 
 
 def with_codes(cells: DataFrame, cliques: DataFrame) -> DataFrame:
@@ -114,16 +108,27 @@ def codes_of(cell: str, sizes: str) -> Column:
                        lambda z: (F.call_function("div", F.col(cell), z["st"]) % z["sz"]).cast("int"))
 
 
-def count_once(coded: DataFrame, domain: Domain, columns: Sequence[str] | None = None) -> tuple[DataFrame, str | None]:
-    """Rows as distinct combinations with their number, so later counting never reads the table again.
+def count_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct combinations of some columns with their number (`rows`), in one pass over the table.
 
-    Done when the joint domain is small enough to be sure it pays; otherwise the rows come back as they
-    are. The result is written to the shared folder: it is small, read often, and outlives executors.
+    Partial counts shrink the rows before the shuffle. The result is written to the shared folder, so
+    whatever is counted, encoded or fitted next starts from it and never reads the table again.
     """
+    return cut_lineage(df.groupBy(*columns).agg(F.count("*").alias("rows")))
+
+
+def count_once(coded: DataFrame, domain: Domain, columns: Sequence[str] | None = None) -> tuple[DataFrame, str | None]:
+    """`count_rows` when the joint domain is small enough to be sure it pays; otherwise the rows as they are."""
     names = list(columns or domain.columns)
     if domain.cells(names) > JOINT_CELLS:
         return coded, None
-    return cut_lineage(coded.groupBy(*names).agg(F.count("*").alias("rows"))), "rows"
+    return count_rows(coded, names), "rows"
+
+
+def encode_counted(labels: DataFrame, domain: Domain) -> tuple[DataFrame, str | None]:
+    """Label rows -> coded rows, counted first when that pays, so labels are looked up once per combination."""
+    rows, weight = count_once(labels.select(*domain.columns), domain)
+    return encode(rows, domain), weight
 
 
 def count_cells(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, weight: str | None = None,
@@ -145,9 +150,14 @@ def count_cells(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, wei
     return _by_explode(rows, cliques, domain, by)
 
 
+def _cell_structs(cliques: Sequence[Clique], domain: Domain) -> Column:
+    """One (clique_id, cell) per column set of a row."""
+    parts = [f"named_struct('clique_id', {i}, 'cell', {rank_text(q, domain.sizes(q))})" for i, q in enumerate(cliques)]
+    return F.expr(f"explode(array({', '.join(parts)}))")
+
+
 def _by_explode(rows: DataFrame, cliques: Sequence[Clique], domain: Domain, by: Sequence[str]) -> DataFrame:
-    parts = [F.struct(F.lit(i).alias("clique_id"), rank_cell(q, domain.sizes(q)).alias("cell")) for i, q in enumerate(cliques)]
-    long = rows.select(*by, "n", F.explode(F.array(*parts)).alias("p")).select(*by, "p.clique_id", "p.cell", "n")
+    long = rows.select(*by, "n", _cell_structs(cliques, domain).alias("p")).select(*by, "p.clique_id", "p.cell", "n")
     return long.filter("cell IS NOT NULL").groupBy(*by, "clique_id", "cell").agg(F.sum("n").alias("n"))
 
 
@@ -156,17 +166,19 @@ def _by_grouping_sets(rows: DataFrame, cliques: Sequence[Clique], domain: Domain
     first = {}
     for i, q in enumerate(cliques):
         first.setdefault(frozenset(q), i)
-    sets = [[F.col(c) for c in (*by, *cliques[i])] for i in first.values()]
+    columns = {c: F.col(c) for c in (*by, *used)}
+    sets = [[columns[c] for c in (*by, *cliques[i])] for i in first.values()]
     keys = [*by, *used]
-    grouped = rows.groupingSets(sets, *[F.col(c) for c in keys]).agg(F.sum("n").alias("n"), F.grouping_id(*keys).alias("gid"))
+    grouped = rows.groupingSets(sets, *columns.values()).agg(F.sum("n").alias("n"), F.grouping_id(*keys).alias("gid"))
     out = []
     for i, q in enumerate(cliques):
         mask = sum(1 << (len(used) - 1 - p) for p, c in enumerate(used) if c not in q)
-        out.append(F.when(F.col("gid") == mask, F.struct(F.lit(i).alias("clique_id"), rank_cell(q, domain.sizes(q)).alias("cell"))))
+        out.append((f"gid = {mask}", f"named_struct('clique_id', {i}, 'cell', {rank_text(q, domain.sizes(q))})"))
     if len(first) == len(cliques):
-        picked = grouped.select(*by, "n", F.coalesce(*out).alias("p"))
+        cell = "CASE " + " ".join(f"WHEN {w} THEN {s}" for w, s in out) + " END"
     else:  # the same set listed twice (maybe in another column order) gives a row for each
-        picked = grouped.select(*by, "n", F.explode(F.array_compact(F.array(*out))).alias("p"))
+        cell = "explode(array_compact(array(" + ", ".join(f"CASE WHEN {w} THEN {s} END" for w, s in out) + ")))"
+    picked = grouped.select(*by, "n", F.expr(cell).alias("p"))
     return picked.select(*by, "p.clique_id", "p.cell", "n").filter("cell IS NOT NULL")
 
 
@@ -214,8 +226,7 @@ def row_hits(coded: DataFrame, key: str, cliques: Sequence[Clique], domain: Doma
 
     This is the row x query 0/1 table in sparse form. `queries` (clique_id, cell, ...) restricts it.
     """
-    parts = [F.struct(F.lit(i).alias("clique_id"), rank_cell(q, domain.sizes(q)).alias("cell")) for i, q in enumerate(cliques)]
-    long = coded.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.clique_id", "p.cell").filter("cell IS NOT NULL")
+    long = coded.select(key, _cell_structs(cliques, domain).alias("p")).select(key, "p.clique_id", "p.cell").filter("cell IS NOT NULL")
     return long if queries is None else long.join(queries, ["clique_id", "cell"])
 
 

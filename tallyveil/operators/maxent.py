@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.operators.domain import Domain, all_rows, rank_cell
+from tallyveil.functions.sqltext import array, ident
+from tallyveil.operators.domain import Domain, all_rows, rank_text
 from tallyveil.operators.factors import log_sum_exp
 from tallyveil.operators.marginals import Clique
 from tallyveil.session import broadcast_checked, cut_lineage
@@ -50,13 +51,13 @@ class Model:
 
     def active(self) -> Column:
         """Query ids a row of codes is counted in: one lookup per column set, no join."""
-        hits = [F.nullif(F.get(F.lit(list(i)), rank_cell(list(c), self.domain.sizes(c)).cast("int")), F.lit(-1)) for c, i in zip(self.cliques, self.ids)]
-        return F.array_compact(F.array(*hits))
+        hits = [f"get({array([None if v < 0 else v for v in i])}, int({rank_text(c, self.domain.sizes(c))}))" for c, i in zip(self.cliques, self.ids)]
+        return F.expr(f"array_compact(array({', '.join(hits)}))")
 
 
-def log_weight(active: str | Column, lambdas: Sequence[float]) -> Column:
+def log_weight(active: str, lambdas: Sequence[float]) -> Column:
     """Sum of the parameters of the active queries."""
-    return F.aggregate(active, F.lit(0.0), lambda acc, q: acc + F.get(F.lit([float(v) for v in lambdas]), q))
+    return F.expr(f"aggregate({ident(active)}, 0D, (acc, q) -> acc + get({array([float(v) for v in lambdas])}, q))")
 
 
 def domain_rows(spark: SparkSession, model: Model) -> DataFrame:

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _slot(key: Column, splits: list, low: int, high: int) -> Column:
-    """Index of the range a key falls in: a balanced tree of comparisons, all codegen."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key <= F.lit(splits[mid]), _slot(key, splits, low, mid)).otherwise(
-        _slot(key, splits, mid + 1, high))
+from tallyveil.functions.sqltext import ident, literal, search
 
 
 def range_slots(df: DataFrame, key: str, slots: int | None = None, out: str = "__slot") -> DataFrame:
@@ -25,7 +18,7 @@ def range_slots(df: DataFrame, key: str, slots: int | None = None, out: str = "_
     probs = [i / slots for i in range(1, slots)]
     found = df.select(F.percentile_approx(key, probs, 10000)).first()[0] or []
     splits = sorted(set(found))
-    return df.withColumn(out, _slot(F.col(key), splits, 0, len(splits)))
+    return df.withColumn(out, F.expr(search([literal(s) for s in splits], str, f"{ident(key)} <=")))
 
 
 def number_rows(df: DataFrame, key: str, out: str, slots: int | None = None, start: int = 1) -> DataFrame:

@@ -65,10 +65,10 @@ def _join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.withColumn("__one", F.lit(0)).join(b.withColumn("__one", F.lit(0)), "__one").drop("__one")
 
 
-def pair_chi_square(coded: DataFrame, domain: Domain, pairs: Sequence[Clique] | None = None) -> DataFrame:
+def pair_chi_square(coded: DataFrame, domain: Domain, pairs: Sequence[Clique] | None = None, rows: str | None = None) -> DataFrame:
     """Chi-square of every column pair from one counting pass: (left_col, right_col, statistic, df, p, first_expected)."""
     chosen = list(pairs) if pairs is not None else all_pairs(domain.columns)
-    cells = with_codes(count_all_cells(coded, chosen, domain), clique_table(coded.sparkSession, chosen, domain))
+    cells = with_codes(count_all_cells(coded, chosen, domain, rows), clique_table(coded.sparkSession, chosen, domain))
     flat = cells.select("clique_id", F.col("cols")[0].alias("left_col"), F.col("cols")[1].alias("right_col"),
                         F.col("codes")[0].alias("a"), F.col("codes")[1].alias("b"), "n")
     return chi_square(flat, ["clique_id", "left_col", "right_col"], "a", "b").drop("clique_id")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyveil.functions.keyed import hash_uniform, md5_normal, md5_uniform
+from tallyveil.functions.sqltext import ident
 from tallyveil.operators.domain import Domain, decode, unrank
 from tallyveil.operators.numbering import number_rows
 from tallyveil.operators.treemodel import Tree
@@ -21,14 +22,12 @@ MAX_THRESHOLDS = BROADCAST_BYTES // 8  # cells of an explicit model a task may h
 Uniform = Callable[..., Column]
 
 
-def code_from(cum: Column, u: Column, levels: int) -> Column:
+def code_from(thresholds: str, u: str, levels: int) -> Column:
     """Smallest code whose cumulative probability exceeds u; the last code takes the rest."""
+    t, x = ident(thresholds), ident(u)
     if levels <= UNROLL:
-        out = F.lit(0)
-        for i in range(levels - 1):
-            out = out + (F.get(cum, F.lit(i)) <= u).cast("int")
-        return out
-    return F.least(F.size(F.filter(cum, lambda t: t <= u)), F.lit(levels - 1))
+        return F.expr(" + ".join(["0", *[f"int(get({t}, {i}) <= {x})" for i in range(levels - 1)]]))
+    return F.expr(f"least(size(filter({t}, v -> v <= {x})), {levels - 1})")
 
 
 def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain, n: int, m: int, draws: int = 0,
@@ -44,7 +43,7 @@ def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain
     base = spark.range(0, m * n, 1, partitions) if partitions else spark.range(m * n)
     rows = base.select(F.call_function("div", F.col("id"), F.lit(n).cast("long")).cast("int").alias("dataset_id"), (F.col("id") % n).alias("row_id"))
     if draws:
-        rows = rows.withColumn("draw_id", F.floor(md5_uniform(f"{salt}/draw", "dataset_id") * draws).cast("int"))
+        rows = rows.withColumn("draw_id", F.floor(uniform(f"{salt}/draw", "dataset_id") * draws).cast("int"))
     arrays = cpts.groupBy(*keys, "col", "parent_code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("code", "cum"))), lambda s: s["cum"]).alias("thresholds")).persist()
     for c in tree.order:
@@ -54,7 +53,8 @@ def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain
         table = broadcast_checked(table, max(draws, 1) * parents, 32 + 8 * levels)
         lookup = rows.withColumn("__parent", F.col(parent) if parent else F.lit(0))
         joined = lookup.join(table, [*keys, "__parent"])
-        rows = joined.withColumn(c, code_from(F.col("__t"), uniform(f"{salt}/{c}", "dataset_id", "row_id"), levels)).drop("__parent", "__t")
+        rows = joined.withColumn("__u", uniform(f"{salt}/{c}", "dataset_id", "row_id"))
+        rows = rows.withColumn(c, code_from("__t", "__u", levels)).drop("__parent", "__t", "__u")
     return rows.select("dataset_id", "row_id", *(["draw_id"] if draws else []), *domain.columns)
 
 
@@ -86,7 +86,7 @@ def sample_explicit(spark: SparkSession, probabilities: DataFrame, domain: Domai
 
     keyed = spark.range(n).select(F.col("id").alias("row_id"), uniform(salt, "id").alias("u"))
     hit = keyed.mapInPandas(search, "row_id long, cell_id long")
-    codes = unrank(F.col("cell_id"), domain.sizes())
+    codes = unrank("cell_id", domain.sizes())
     return hit.select("row_id", *[c.alias(name) for c, name in zip(codes, domain.columns)])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.operators.binning import bin_code, fit_edges
 from tallyveil.operators.domain import Domain, encode
+from tallyveil.operators.marginals import count_rows
 
 CATS = ["status", "priority", "segment"]
 
@@ -61,6 +62,14 @@ def coded(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
     return encode(df, domain), domain
 
 
+def counted(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> tuple[DataFrame, Domain]:
+    """Distinct coded rows with their number (`rows`) and the domain: the survey is read once."""
+    names = columns or COLUMNS
+    labels = count_rows(binned(spark, sf_dir), names)
+    domain = Domain.infer(labels, names)
+    return encode(labels, domain), domain
+
+
 def _code_sql(column: str) -> str:
     return f"CAST(dense_rank() OVER (ORDER BY {column}) - 1 AS INT) AS {column}"
 

@@ -23,28 +23,29 @@ def _drain(df: DataFrame) -> None:
 
 
 def _items(spark, sf) -> tuple[DataFrame, Domain]:
-    """600k sold items (sf0.1) as six label columns, two of them binned."""
+    """600k sold items (sf0.1) as six label columns, two of them binned, counted in one pass."""
     raw = items(spark, sf)
     edges = fit_edges(raw, ["quantity", "price"], 5)
     labels = raw.select("flag", "line", "discount", "tax", *[bin_code(c, edges[c]).cast("string").alias(c) for c in ("quantity", "price")])
-    domain = Domain.infer(labels, ITEM_COLUMNS)
-    return encode(labels, domain), domain
+    rows = A.count_rows(labels, ITEM_COLUMNS)
+    domain = Domain.infer(rows, ITEM_COLUMNS)
+    return encode(rows, domain), domain
 
 
 def all_pair_marginals(spark, sf):
     """Every two-way marginal of six columns over all items, zero cells included."""
     df, domain = _items(spark, sf)
-    _drain(A.count_all_cells(df, A.all_pairs(ITEM_COLUMNS), domain))
+    _drain(A.count_all_cells(df, A.all_pairs(ITEM_COLUMNS), domain, "rows"))
 
 
 def chi_square_ranking(spark, sf):
     df, domain = _items(spark, sf)
-    _drain(Q.rank_pairs(Q.pair_chi_square(df, domain), "statistic"))
+    _drain(Q.rank_pairs(Q.pair_chi_square(df, domain, rows="rows"), "statistic"))
 
 
 def private_pair_selection(spark, sf):
     df, domain = _items(spark, sf)
-    D.select_pairs(df, domain, 0.01, 0.01)
+    D.select_pairs(df, domain, 0.01, 0.01, rows="rows")
 
 
 def fit_and_five_tables(spark, sf):

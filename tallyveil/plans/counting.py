@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.operators import domain as E
 from tallyveil.operators import marginals as A
-from tallyveil.plans.base import (BINNED, CATS, CODED, COLUMNS, ITEMS, PAIRS, SURVEY, binned, coded, items, survey, table)
+from tallyveil.plans.base import (BINNED, CATS, CODED, COLUMNS, ITEMS, PAIRS, SURVEY, coded, counted, items, survey, table)
 from tallyveil.plans.registry import query
 
 _DOMAIN = """dom AS (SELECT col, CAST(row_number() OVER (PARTITION BY col ORDER BY label) - 1 AS INT) AS code, label FROM (
@@ -230,14 +230,14 @@ def a06(spark, sf):
 
 @query("a07_one_marginal_with_zeros", f"WITH {CELLS} SELECT cell, n FROM cells WHERE clique_id = 3")
 def a07(spark, sf):
-    df, domain = coded(spark, sf)
-    return A.count_all_cells(df, PAIRS[3:], domain).select("cell", "n")
+    df, domain = counted(spark, sf)
+    return A.count_all_cells(df, PAIRS[3:], domain, "rows").select("cell", "n")
 
 
 @query("a08_all_marginals_one_scan", f"WITH {CELLS} SELECT clique_id, cell, n FROM cells")
 def a08(spark, sf):
-    df, domain = coded(spark, sf)
-    return A.count_all_cells(df, PAIRS, domain)
+    df, domain = counted(spark, sf)
+    return A.count_all_cells(df, PAIRS, domain, "rows")
 
 
 _ITEM_COLS = ["flag", "line", "discount", "tax", "q"]
@@ -248,9 +248,10 @@ _ITEM_PAIRS = A.all_pairs(_ITEM_COLS)
     f"u{i} AS (SELECT '{a}+{b}' AS pair, {a} AS left_label, {b} AS right_label, count(*) AS n FROM b GROUP BY {a}, {b})" for i, (a, b) in enumerate(_ITEM_PAIRS)
 ) + " " + " UNION ALL ".join(f"SELECT * FROM u{i}" for i in range(len(_ITEM_PAIRS))))
 def a08_items(spark, sf):
-    df = items(spark, sf).withColumn("q", F.floor(F.col("quantity") / 10).cast("double").cast("string")).select(*_ITEM_COLS)
-    domain = E.Domain.infer(df, _ITEM_COLS)
-    cells = A.count_cells(E.encode(df, domain), _ITEM_PAIRS, domain)
+    df = items(spark, sf).withColumn("q", F.floor(F.col("quantity") / 10).cast("double").cast("string"))
+    rows = A.count_rows(df, _ITEM_COLS)
+    domain = E.Domain.infer(rows, _ITEM_COLS)
+    cells = A.count_cells(E.encode(rows, domain), _ITEM_PAIRS, domain, "rows")
     coded_cells = A.with_codes(cells, A.clique_table(spark, _ITEM_PAIRS, domain))
     side = lambda i: F.struct(F.col("cols")[i].alias("col"), F.col("codes")[i].alias("code"))
     names = domain.table(spark)
@@ -341,9 +342,9 @@ w AS (SELECT 'all' AS workload, l || '+' || r AS pair FROM pairs UNION ALL
 n AS (SELECT l || '+' || r AS pair, CASE l || '+' || r {' '.join(f"WHEN '{a}+{b}' THEN (SELECT count(*) FROM (SELECT DISTINCT {a}, {b} FROM coded))" for a, b in A.all_pairs(COLUMNS))} END AS n FROM pairs)
 SELECT workload, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS cells FROM w JOIN n USING (pair) GROUP BY 1""")
 def a15(spark, sf):
-    df, domain = coded(spark, sf)
+    df, domain = counted(spark, sf)
     pairs = A.all_pairs(COLUMNS)
-    seen = A.count_cells(df, pairs, domain).groupBy("clique_id").agg(F.count("*").alias("cells"))
+    seen = A.count_cells(df, pairs, domain, "rows").groupBy("clique_id").agg(F.count("*").alias("cells"))
     rows = [(name, pairs.index(p)) for name, kept in A.without_each(pairs).items() for p in kept]
     work = spark.createDataFrame(rows, "workload string, clique_id int")
     return work.join(F.broadcast(seen), "clique_id").groupBy("workload").agg(F.count("*").alias("pairs"), F.sum("cells").alias("cells"))

@@ -11,7 +11,7 @@ from tallyveil.operators import maxent as X
 from tallyveil.operators import privacy as D
 from tallyveil.operators import sampling as G
 from tallyveil.operators import treemodel as TM
-from tallyveil.plans.base import CODED, COLUMNS, PAIRS, SURVEY, coded, survey, table
+from tallyveil.plans.base import CODED, COLUMNS, PAIRS, SURVEY, coded, counted, survey, table
 from tallyveil.plans.counting import CELLS, canonical_sql
 from tallyveil.plans.registry import query
 
@@ -31,11 +31,10 @@ _HITS = " UNION ALL ".join(
 
 def parameters(spark, sf):
     """Canonical cells with parameters, the domain, and the coded table."""
-    df, domain = coded(spark, sf)
-    cells = A.count_all_cells(df, PAIRS, domain)
-    mean = cells.agg(F.avg("n").alias("__m"))
-    stat = D.statistic_cells(df, PAIRS, domain).join(F.broadcast(mean))
-    return stat.withColumn("lam", F.ln((F.col("n") + 1.0) / (F.lit(1.0) + F.col("__m")))).drop("__m"), domain, df
+    df, domain = counted(spark, sf)
+    mean = A.count_all_cells(df, PAIRS, domain, "rows").agg(F.avg("n")).first()[0]
+    stat = D.statistic_cells(df, PAIRS, domain, "rows")
+    return stat.withColumn("lam", F.ln((F.col("n") + 1.0) / F.lit(1.0 + mean))), domain, df
 
 
 def factor_tables(spark, sf):
@@ -163,9 +162,10 @@ thresholds AS (SELECT col, parent_code, list(cum ORDER BY code) AS t FROM cpts G
 
 
 def tree_tables(spark, sf):
-    df, domain = coded(spark, sf)
+    df, domain = counted(spark, sf)
     tree = TM.Tree.of(PAIRS, COLUMNS)
-    return TM.conditionals(A.count_all_cells(df, PAIRS, domain), PAIRS, domain, tree), tree, domain, df
+    n = df.agg(F.sum("rows")).first()[0]
+    return TM.conditionals(A.count_all_cells(df, PAIRS, domain, "rows"), PAIRS, domain, tree), tree, domain, n
 
 
 @query("m12_tree_conditionals", f"WITH {CPTS} SELECT col, parent_code, code, round(p, 8) AS p, round(cum, 8) AS cum FROM cpts")
@@ -250,17 +250,33 @@ s3 AS (SELECT s2.*, CAST(len(list_filter(t[:-2], lambda x: x <= {sql_uniform('sa
 s4 AS (SELECT s3.*, CAST(len(list_filter(t[:-2], lambda x: x <= {sql_uniform('sample/price', 'dataset_id', 'row_id')})) AS INT) AS price FROM s3 JOIN thresholds ON col = 'price' AND parent_code = priority)
 SELECT s4.*, CAST(len(list_filter(t[:-2], lambda x: x <= {sql_uniform('sample/balance', 'dataset_id', 'row_id')})) AS INT) AS balance FROM s4 JOIN thresholds ON col = 'balance' AND parent_code = segment""")
 def g01(spark, sf):
-    cpts, tree, domain, df = tree_tables(spark, sf)
-    return G.sample_tree(spark, cpts, tree, domain, df.count(), 2, uniform=md5_uniform)
-
-
-@query("g02_synthetic_tables")
+    cpts, tree, domain, n = tree_tables(spark, sf)
+    return G.sample_tree(spark, cpts, tree, domain, n, 2, uniform=md5_uniform)
+
+
+# Three perturbed models, six tables; the noise of each model and the choice of one per table come from keys.
+_BASE = f"""{CELLS}, pert AS (SELECT d AS draw_id, clique_id, v0, v1, n + sqrt(400.0::DOUBLE + n * (1 - n / sum(n) OVER (PARTITION BY d, clique_id))) * {sql_normal('draws', 'd', 'clique_id', 'cell')} AS x
+ FROM cells, (SELECT CAST(unnest(range(3)) AS INT) AS d)),
+pcpt AS (SELECT draw_id, 'status' AS col, 0 AS parent_code, v0 AS code, sum(greatest(x, 0)) AS x FROM pert WHERE clique_id = 0 GROUP BY 1, 4
+ UNION ALL SELECT draw_id, 'priority', v0, v1, greatest(x, 0) FROM pert WHERE clique_id = 0),
+pthr AS (SELECT draw_id, col, parent_code, list(cum ORDER BY code) AS t FROM (SELECT draw_id, col, parent_code, code,
+ sum(x) OVER (PARTITION BY draw_id, col, parent_code ORDER BY code) / sum(x) OVER (PARTITION BY draw_id, col, parent_code) AS cum FROM pcpt) GROUP BY ALL),
+ids AS (SELECT *, CAST(floor({sql_uniform('sample/draw', 'dataset_id')} * 3) AS INT) AS draw_id FROM
+ (SELECT CAST(i // n AS INT) AS dataset_id, i % n AS row_id FROM (SELECT unnest(range(6 * count(*))) AS i, count(*) AS n FROM survey))),
+t1 AS (SELECT ids.*, CAST(len(list_filter(t[:-2], lambda x: x <= {sql_uniform('sample/status', 'dataset_id', 'row_id')})) AS INT) AS s FROM ids JOIN pthr USING (draw_id) WHERE col = 'status'),
+t2 AS (SELECT t1.*, CAST(len(list_filter(t[:-2], lambda x: x <= {sql_uniform('sample/priority', 'dataset_id', 'row_id')})) AS INT) AS p FROM t1 JOIN pthr ON pthr.draw_id = t1.draw_id AND col = 'priority' AND parent_code = s)"""
+
+
+@query("g02_synthetic_tables", f"""
+WITH {_BASE}, names AS (SELECT (SELECT list(DISTINCT status ORDER BY status) FROM survey) AS ls, (SELECT list(DISTINCT priority ORDER BY priority) FROM survey) AS lp)
+SELECT dataset_id, draw_id, ls[s + 1] AS status, lp[p + 1] AS priority, count(*) AS n FROM t2, names GROUP BY ALL""")
 def g02(spark, sf):
-    df, domain = coded(spark, sf)
+    df, domain = counted(spark, sf)
     tree = TM.Tree.of(PAIRS, COLUMNS)
-    cells = A.count_all_cells(df, PAIRS, domain).withColumnRenamed("n", "y")
-    cpts = TM.conditionals(TM.perturb(cells, 5, 20.0), PAIRS, domain, tree, by=["draw_id"])
-    out = G.generate(spark, cpts, tree, domain, df.count(), 10, draws=5)
+    cells = A.count_all_cells(df, PAIRS, domain, "rows").withColumnRenamed("n", "y")
+    cpts = TM.conditionals(TM.perturb(cells, 3, 20.0), PAIRS, domain, tree, by=["draw_id"])
+    n = df.agg(F.sum("rows")).first()[0]
+    out = G.generate(spark, cpts, tree, domain, n, 6, draws=3, uniform=md5_uniform)
     return out.groupBy("dataset_id", "draw_id", "status", "priority").agg(F.count("*").alias("n"))
 
 
@@ -270,7 +286,7 @@ u AS (SELECT i AS row_id, {sql_uniform('explicit', 'i')} AS u FROM (SELECT unnes
 SELECT u.row_id, c.status, c.priority, c.segment, c.price, c.balance FROM u ASOF JOIN (SELECT *, cum - p AS low FROM c) c ON u.u >= c.low""")
 def g03(spark, sf):
     model, values, _, df = explicit(spark, sf)
-    return G.sample_explicit(spark, X.row_probabilities(spark, model, values), model.domain, df.count())
+    return G.sample_explicit(spark, X.row_probabilities(spark, model, values), model.domain, df.agg(F.sum("rows")).first()[0])
 
 
 @query("g04_jitter", f"SELECT event_id, round(value + 0.1 * {sql_normal('jitter', 'event_id')}, 6) AS value FROM events")

@@ -10,7 +10,7 @@ from tallyveil.functions.keyed import sql_gumbel, sql_normal, sql_uniform
 from tallyveil.functions.special import gaussian_delta, gaussian_sigma
 from tallyveil.operators import privacy as D
 from tallyveil.operators.marginals import all_pairs, count_all_cells
-from tallyveil.plans.base import CODED, COLUMNS, PAIRS, SURVEY, coded, survey, table
+from tallyveil.plans.base import CODED, COLUMNS, PAIRS, SURVEY, coded, counted, survey, table
 from tallyveil.plans.counting import CELLS, canonical_sql, counts_sql, grid_sql
 from tallyveil.plans.registry import query
 
@@ -172,9 +172,9 @@ total AS (SELECT avg(s) AS n_hat FROM (SELECT sum(x) AS s FROM ones GROUP BY cli
 
 @query("d10_pair_scores", f"WITH {_scores_sql(True)} SELECT pair, round(score, 5) AS score FROM scores")
 def d10(spark, sf):
-    df, domain = coded(spark, sf)
-    _, ones = D.compress(D.measure(df, SINGLES, domain, 1.0, salt="measure"))
-    return D.pair_scores(df, COLUMNS, domain, ones).select(F.concat_ws("+", "left_col", "right_col").alias("pair"), F.round("score", 5).alias("score"))
+    df, domain = counted(spark, sf)
+    _, ones = D.compress(D.measure(df, SINGLES, domain, 1.0, salt="measure", rows="rows"))
+    return D.pair_scores(df, COLUMNS, domain, ones, "rows").select(F.concat_ws("+", "left_col", "right_col").alias("pair"), F.round("score", 5).alias("score"))
 
 
 _CAND = f"{SURVEY}, cand AS (SELECT nation, segment, count(*) AS q FROM survey GROUP BY 1, 2)"
@@ -200,22 +200,22 @@ reach AS (SELECT e.pair, e.score, e.a AS at FROM edges e UNION SELECT r.pair, r.
 
 @query("d13_select_pairs", f"WITH {_SPAN} SELECT e.pair FROM edges e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.pair = e.pair AND r.at = e.b)")
 def d13(spark, sf):
-    df, domain = coded(spark, sf)
-    pairs, _ = D.select_pairs(df, domain, None, None)
+    df, domain = counted(spark, sf)
+    pairs, _ = D.select_pairs(df, domain, None, None, rows="rows")
     return spark.createDataFrame([("+".join(p),) for p in pairs], "pair string")
 
 
 @query("d13_select_pairs_private")
 def d13_private(spark, sf):
-    df, domain = coded(spark, sf)
-    pairs, _ = D.select_pairs(df, domain, RHO / 3, RHO / 3, required=[PAIRS[0]])
+    df, domain = counted(spark, sf)
+    pairs, _ = D.select_pairs(df, domain, RHO / 3, RHO / 3, required=[PAIRS[0]], rows="rows")
     return spark.createDataFrame([(i, "+".join(p)) for i, p in enumerate(pairs)], "place int, pair string")
 
 
 @query("d14_selection_scores", f"WITH {_scores_sql(False)} SELECT pair, round(score, 5) AS score FROM scores")
 def d14(spark, sf):
-    df, domain = coded(spark, sf)
-    _, scores = D.select_pairs(df, domain, None, None, return_scores=True)
+    df, domain = counted(spark, sf)
+    _, scores = D.select_pairs(df, domain, None, None, return_scores=True, rows="rows")
     return scores.select(F.concat_ws("+", "left_col", "right_col").alias("pair"), F.round("score", 5).alias("score"))
 
 

@@ -11,7 +11,7 @@ from tallyveil.operators import quality as Q
 from tallyveil.operators.marginals import all_pairs
 from tallyveil.operators.privacy import statistic_sigma
 from tallyveil.plans import synthesiser as S
-from tallyveil.plans.base import CATS, CODED, COLUMNS, PAIRS, SURVEY, coded, survey, table
+from tallyveil.plans.base import CATS, CODED, COLUMNS, PAIRS, SURVEY, coded, counted, survey, table
 from tallyveil.plans.counting import counts_sql, grid_sql
 from tallyveil.plans.registry import query
 from tallyveil.session import scratch_path
@@ -56,7 +56,7 @@ named AS (SELECT *, CASE clique_id {' '.join(f"WHEN {i} THEN '{a}'" for i, (a, _
 
 @query("q03_chi_square", f"WITH {_CHI} SELECT left_col, right_col, CAST(df AS BIGINT) AS df, round(statistic, 5) AS statistic, round(p, 6) + 0.0 AS p FROM named")
 def q03(spark, sf):
-    r = Q.pair_chi_square(*coded(spark, sf))
+    r = Q.pair_chi_square(*counted(spark, sf), rows="rows")
     return r.select("left_col", "right_col", "df", F.round("statistic", 5).alias("statistic"), (F.round("p", 6) + 0.0).alias("p"))
 
 
@@ -77,12 +77,12 @@ def q03_yates(spark, sf):
 
 @query("q04_first_expected_count", f"WITH {_CHI} SELECT left_col, right_col, round(first_expected, 6) AS first_expected FROM named")
 def q04(spark, sf):
-    return Q.pair_chi_square(*coded(spark, sf)).select("left_col", "right_col", F.round("first_expected", 6).alias("first_expected"))
+    return Q.pair_chi_square(*counted(spark, sf), rows="rows").select("left_col", "right_col", F.round("first_expected", 6).alias("first_expected"))
 
 
 @query("q05_rank_pairs", f"WITH {_CHI} SELECT left_col, right_col, CAST(row_number() OVER (ORDER BY statistic, left_col, right_col) AS INT) AS place FROM named")
 def q05(spark, sf):
-    return Q.rank_pairs(Q.pair_chi_square(*coded(spark, sf)), "statistic").select("left_col", "right_col", "place")
+    return Q.rank_pairs(Q.pair_chi_square(*counted(spark, sf), rows="rows"), "statistic").select("left_col", "right_col", "place")
 
 
 @query("q06_compare_rankings", f"""
@@ -91,7 +91,7 @@ b AS (SELECT left_col, right_col, statistic / df AS s, row_number() OVER (ORDER
 SELECT least(left_col, right_col) AS c1, greatest(left_col, right_col) AS c2, CAST(abs(a.place - b.place) AS INT) AS distance, round(abs(a.statistic - b.s) / a.statistic, 6) AS relative_difference
 FROM a JOIN b USING (left_col, right_col)""")
 def q06(spark, sf):
-    chi = Q.pair_chi_square(*coded(spark, sf)).persist()
+    chi = Q.pair_chi_square(*counted(spark, sf), rows="rows").persist()
     other = chi.withColumn("statistic", F.col("statistic") / F.col("df")).select(F.col("right_col").alias("left_col"), F.col("left_col").alias("right_col"), "statistic")
     # the second ranking names each pair the other way round; ties do not occur
     out = Q.compare_rankings(Q.rank_pairs(chi, "statistic"), Q.rank_pairs(other, "statistic"), "statistic")
@@ -102,13 +102,13 @@ def q06(spark, sf):
 WITH {_CHI} SELECT CASE WHEN left_col < right_col THEN left_col || '+' || right_col ELSE right_col || '+' || left_col END AS pair,
  CAST(row_number() OVER (ORDER BY statistic DESC, left_col, right_col) AS INT) AS place FROM named""")
 def q07(spark, sf):
-    ranked = Q.rank_pairs(Q.pair_chi_square(*coded(spark, sf)), "statistic", ascending=False)
+    ranked = Q.rank_pairs(Q.pair_chi_square(*counted(spark, sf), rows="rows"), "statistic", ascending=False)
     return ranked.select(Q.pair_key("left_col", "right_col").alias("pair"), "place")
 
 
 @query("q08_min_max_scores", f"WITH {_CHI} SELECT left_col, right_col, round((statistic - (SELECT min(statistic) FROM named)) / (SELECT max(statistic) - min(statistic) FROM named), 2) AS scaled FROM named")
 def q08(spark, sf):
-    return Q.min_max(Q.pair_chi_square(*coded(spark, sf)), "statistic", "scaled").select("left_col", "right_col", "scaled")
+    return Q.min_max(Q.pair_chi_square(*counted(spark, sf), rows="rows"), "statistic", "scaled").select("left_col", "right_col", "scaled")
 
 
 @query("q09_attach_score", """

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyveil.functions.keyed import hash_uniform, md5_uniform
+from tallyveil.functions.keyed import hash_uniform
 from tallyveil.operators import maxent as X
 from tallyveil.operators import privacy as D
 from tallyveil.operators import treemodel as TM
-from tallyveil.operators.domain import Domain, decode, encode, unrank
+from tallyveil.operators.domain import Domain, decode, unrank
 from tallyveil.operators.factors import elimination_order, log_sum_exp
-from tallyveil.operators.marginals import Clique, canonical_count, check_cliques, count_all_cells, count_once
+from tallyveil.operators.marginals import Clique, canonical_count, check_cliques, count_all_cells, encode_counted
 from tallyveil.operators.sampling import code_from, sample_tree
 from tallyveil.session import broadcast_checked
 from tallyveil.sources.store import load_model, store_model
@@ -107,7 +107,7 @@ def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool =
 
 def fit(df: DataFrame, domain: Domain, o: Options = Options()) -> Fitted:
     """Fit a model to a label table over a declared domain."""
-    coded, rows = count_once(encode(df.select(*domain.columns), domain), domain)
+    coded, rows = encode_counted(df, domain)
     plan = plan_fit(coded, domain, o, rows=rows)
     n = coded.agg(F.sum(rows)).first()[0] if rows else coded.count()
     meta = {"rows": n, "epsilon": o.epsilon, "delta": o.delta, "sigma": plan.sigma, "method": o.method, "draws": o.draws,
@@ -169,9 +169,9 @@ def _sample_cells(spark: SparkSession, fitted: Fitted, n: int, m: int, draws: in
     whole domain. Small threshold tables are broadcast, large ones are joined by their prefix.
     """
     columns, sizes = fitted.domain.columns, fitted.domain.sizes()
-    cells = fitted.cpts.select("draw_id", "p", *[c.alias(x) for c, x in zip(unrank(F.col("cell_id"), sizes), columns)])
+    cells = fitted.cpts.select("draw_id", "p", *[c.alias(x) for c, x in zip(unrank("cell_id", sizes), columns)])
     rows = spark.range(m * n).select(F.call_function("div", F.col("id"), F.lit(n).cast("long")).cast("int").alias("dataset_id"), (F.col("id") % n).alias("row_id"))
-    rows = rows.withColumn("draw_id", F.floor(md5_uniform(f"{salt}/draw", "dataset_id") * draws))
+    rows = rows.withColumn("draw_id", F.floor(hash_uniform(f"{salt}/draw", "dataset_id") * draws))
     for i, c in enumerate(columns):
         prefix = columns[:i]
         sums = cells.groupBy("draw_id", *prefix, c).agg(F.sum("p").alias("p"))
@@ -180,7 +180,8 @@ def _sample_cells(spark: SparkSession, fitted: Fitted, n: int, m: int, draws: in
         table = sums.withColumn("cum", cum).groupBy("draw_id", *prefix).agg(
             F.transform(F.array_sort(F.collect_list(F.struct(c, "cum"))), lambda s: s["cum"]).alias("__t"))
         table = broadcast_checked(table, draws * math.prod(sizes[:i]), 48 + 8 * sizes[i])
-        rows = rows.join(table, ["draw_id", *prefix]).withColumn(c, code_from(F.col("__t"), hash_uniform(f"{salt}/{c}", "dataset_id", "row_id"), sizes[i])).drop("__t")
+        rows = rows.join(table, ["draw_id", *prefix]).withColumn("__u", hash_uniform(f"{salt}/{c}", "dataset_id", "row_id"))
+        rows = rows.withColumn(c, code_from("__t", "__u", sizes[i])).drop("__t", "__u")
     return rows.select("dataset_id", "row_id", "draw_id", *columns)
 
 
@@ -188,7 +189,7 @@ def select_measure_generate(df: DataFrame, domain: Domain, epsilon: float, delta
     """Shrink the domain, choose pairs, measure them, generate one table of the same size, undo the shrinking."""
     spark, columns = df.sparkSession, domain.columns
     rho = D.rho_number(epsilon, delta)
-    coded, counted = count_once(encode(df.select(*columns), domain), domain)
+    coded, counted = encode_counted(df, domain)
     measured = D.measure(coded, [(c,) for c in columns], domain, math.sqrt(3 / (2 * rho)), salt=salt, rows=counted)
     supports, ones = D.compress(measured)
     lists = D.support_lists(supports, columns)
