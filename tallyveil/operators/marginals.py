@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.sqltext import array, search
 from tallyveil.operators.domain import Domain, encode, rank_text
-from tallyveil.session import cut_lineage
+from tallyveil.session import broadcast_checked, cut_lineage
 
 Clique = tuple[str, ...]
 
@@ -135,15 +135,15 @@ def count_cells(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, wei
                 by: Sequence[str] = ()) -> DataFrame:
     """Counts of all occurring cells of all cliques, in one pass over the rows.
 
-    When the joint domain of the used columns is small the rows are counted once per joint cell and
-    the cliques are summed from that; otherwise each row contributes to every clique directly.
+    When the joint domain of the used columns is small, rows not counted before (`weight`) are counted once
+    per joint cell and the cliques are summed from that; otherwise each row contributes to every clique.
     Either way partial sums are built before the shuffle, so a hot cell costs nothing extra.
     Rows with a code missing in a clique are not counted there.
     """
     check_cliques(cliques, domain)
     used = [c for c in domain.columns if any(c in q for q in cliques)]
     rows = coded.select(*by, *used, (F.col(weight) if weight else F.lit(1).cast("long")).alias("n"))
-    if domain.cells(used) <= JOINT_CELLS:
+    if weight is None and domain.cells(used) <= JOINT_CELLS:
         rows = rows.groupBy(*by, *used).agg(F.sum("n").alias("n"))
     if len(cliques) <= GROUPING_SETS:
         return _by_grouping_sets(rows, cliques, domain, used, by)
@@ -185,10 +185,19 @@ def _by_grouping_sets(rows: DataFrame, cliques: Sequence[Clique], domain: Domain
 def count_all_cells(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, weight: str | None = None) -> DataFrame:
     """Counts with zero cells included: (clique_id, cell, n)."""
     grid = cell_grid(coded.sparkSession, cliques, domain)
-    seen = count_cells(coded, cliques, domain, weight)
+    seen = broadcast_checked(count_cells(coded, cliques, domain, weight), sum(domain.cells(c) for c in cliques), 48)
     return grid.join(seen, ["clique_id", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def pair_sides(pairs: Sequence[Clique], domain: Domain) -> dict[str, str]:
+    """Texts for cells of pair cliques: names and codes of both sides, by arithmetic on the cell number."""
+    if any(len(p) != 2 for p in pairs):
+        raise ValueError("only pairs have two sides")
+    width = f"get({array([domain.size(b) for _, b in pairs])}, clique_id)"
+    return {"left_col": f"get({array([a for a, _ in pairs])}, clique_id)", "right_col": f"get({array([b for _, b in pairs])}, clique_id)",
+            "left_code": f"int(cell div {width})", "right_code": f"int(cell % {width})"}
+
+
 def canonical(cells: DataFrame, cliques: DataFrame) -> DataFrame:
     """Keep a linearly independent set of cells that spans all of them.
 

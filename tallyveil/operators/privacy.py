@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 
 from tallyveil.functions.keyed import md5_gumbel, md5_normal, md5_uniform, py_gumbel
 from tallyveil.functions.special import gaussian_sigma_np
+from tallyveil.functions.sqltext import array as literals
+from tallyveil.functions.sqltext import literal
 from tallyveil.operators.domain import Domain
 from tallyveil.operators.marginals import (Clique, all_pairs, canonical, cell_grid, clique_table, count_all_cells,
-                                           count_cells, count_once, query_ids, with_codes)
+                                           count_cells, count_once, pair_sides, query_ids)
 from tallyveil.session import scratch_path
 
 SUPPORT_SIGMAS = 3.0  # a cell is supported when its noisy count reaches this many sigmas
@@ -170,28 +172,40 @@ def unmap(coded: DataFrame, lists: dict[str, list[tuple[int, bool]]], key: str,
 # ---------------------------------------------------------------- choosing pairs
 
 
-def pair_scores(coded: DataFrame, columns: Sequence[str], domain: Domain, ones: DataFrame, rows: str | None = None) -> DataFrame:
+def column_shares(ones: Sequence, columns: Sequence[str]) -> tuple[float, list[list[float]]]:
+    """Estimated number of rows, and per column the share of each code, from noisy one-way counts.
+
+    `ones` are the collected measurements (clique_id, code, y, members); there is one per domain value.
+    """
+    x: list[dict[int, float]] = [{} for _ in columns]
+    for r in ones:
+        x[r["clique_id"]][r["code"]] = r["y"] * math.sqrt(r["members"])
+    totals = [math.fsum(c.values()) for c in x]
+    shares = []
+    for c in x:
+        mass = math.fsum(max(v, 0.0) for v in c.values())
+        shares.append([max(c[i], 0.0) / mass if mass > 0 else 1.0 / len(c) for i in range(len(c))])
+    return sum(totals) / len(totals), shares
+
+
+def pair_scores(coded: DataFrame, columns: Sequence[str], domain: Domain, ones: Sequence, rows: str | None = None) -> DataFrame:
     """L1 distance of each pair's true counts from independence under noisy one-way counts.
 
-    `ones` holds (clique_id, code, y, members) with clique_id = place in `columns`. Exact scores:
-    they are an intermediate and must not be handed out in a private run.
+    Cells nobody is in contribute their expected count, and expected counts add up to the estimated number
+    of rows; so the seen cells are enough and no grid of all cells is built. Exact scores are an intermediate and must
+    not be handed out in a private run.
     """
     pairs = all_pairs(columns)
-    est = ones.select("clique_id", "code", (F.col("y") * F.sqrt("members")).alias("x"))
-    by = W.partitionBy("clique_id")
-    clipped = est.withColumn("pos", F.greatest("x", F.lit(0.0)))
-    shares = clipped.select("clique_id", "code", (F.col("pos") / F.sum("pos").over(by)).alias("p"))
-    total = est.groupBy("clique_id").agg(F.sum("x").alias("s")).agg(F.avg("s").alias("n_hat"))
-    names = F.lit(list(columns))
-    by_name = shares.select(F.element_at(names, F.col("clique_id") + 1).alias("col"), "code", "p")
-    cells = with_codes(count_all_cells(coded, pairs, domain, rows), clique_table(coded.sparkSession, pairs, domain))
-    flat = cells.select("clique_id", "n", F.col("cols")[0].alias("ca"), F.col("codes")[0].alias("va"),
-                        F.col("cols")[1].alias("cb"), F.col("codes")[1].alias("vb"))
-    left = by_name.select(F.col("col").alias("ca"), F.col("code").alias("va"), F.col("p").alias("pa"))
-    right = by_name.select(F.col("col").alias("cb"), F.col("code").alias("vb"), F.col("p").alias("pb"))
-    joined = flat.join(F.broadcast(left), ["ca", "va"]).join(F.broadcast(right), ["cb", "vb"]).join(F.broadcast(total))
-    gap = F.abs(F.col("n") - F.col("n_hat") * F.col("pa") * F.col("pb"))
-    return joined.groupBy("clique_id", F.col("ca").alias("left_col"), F.col("cb").alias("right_col")).agg(F.sum(gap).alias("score"))
+    n_hat, shares = column_shares(ones, columns)
+    place = {c: i for i, c in enumerate(columns)}
+    side = pair_sides(pairs, domain)
+    table = "array(" + ", ".join(literals(s) for s in shares) + ")"
+    share = lambda i, code: f"get(get({table}, get({literals([place[p[i]] for p in pairs])}, clique_id)), {code})"
+    expected = F.expr(f"{literal(n_hat)} * {share(0, side['left_code'])} * {share(1, side['right_code'])}")
+    gaps = count_cells(coded, pairs, domain, rows).withColumn("__e", expected).groupBy("clique_id").agg(
+        F.sum(F.abs(F.col("n") - F.col("__e")) - F.col("__e")).alias("__s"))
+    return gaps.select("clique_id", F.expr(side["left_col"]).alias("left_col"), F.expr(side["right_col"]).alias("right_col"),
+                       (F.col("__s") + F.lit(n_hat)).alias("score"))
 
 
 def exponential_choice(candidates: DataFrame, group: Sequence[str], item: str, score: str, eps: Column | float,
@@ -272,7 +286,7 @@ def select_pairs(coded: DataFrame, domain: Domain, rho_measure: float | None, rh
     supports, ones = compress(measured)
     lists = support_lists(supports, columns)
     small = remap(coded, lists)
-    scores = pair_scores(small, columns, compressed_domain(lists), ones, rows)
+    scores = pair_scores(small, columns, compressed_domain(lists), ones.collect(), rows)
     chosen = spanning_pairs(score_dict(scores), columns, rho_select, required, None if salt is None else f"{salt}/select")
     return chosen, scores if return_scores else None
 

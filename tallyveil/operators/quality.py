@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.special import chi2_tail, t_two_sided
 from tallyveil.operators.domain import Domain
-from tallyveil.operators.marginals import Clique, all_pairs, clique_table, count_all_cells, with_codes
+from tallyveil.operators.marginals import Clique, all_pairs, count_cells, pair_sides
+from tallyveil.session import cut_lineage
 
 RANK_ACCURACY = 100_000
 
@@ -38,24 +39,26 @@ def mean_counts(counts: DataFrame, tables: int | None = None) -> DataFrame:
 
 
 def chi_square(cells: DataFrame, keys: Sequence[str], row: str, column: str, count: str = "n") -> DataFrame:
-    """(keys..., statistic, df, p, first_expected) of contingency tables in long form (zero cells needed not).
+    """(keys..., statistic, df, p, first_expected) of contingency tables given by their occurring cells.
 
-    Row and column sums are small grouped tables; with one degree of freedom the counts are moved by up
-    to one half towards the expectation. The statistic adds what absent cells contribute.
+    Absent cells contribute their expected count, and expected counts add up to the total, so the grid of
+    all cells is never built. With one degree of freedom the counts are moved by up to one half towards
+    the expectation; all four gaps of a 2 x 2 table are equal, so any occurring cell tells it.
     """
-    rows = cells.groupBy(*keys, row).agg(F.sum(count).alias("__r")).filter("__r > 0")
-    cols = cells.groupBy(*keys, column).agg(F.sum(count).alias("__c")).filter("__c > 0")
-    whole = cells.groupBy(*keys).agg(F.sum(count).alias("__n"))
-    grid = _join(rows, cols, keys)
-    full = _join(grid.join(cells.select(*keys, row, column, F.col(count).alias("__o")), [*keys, row, column], "left"), whole, keys)
-    shape = rows.groupBy(*keys).agg(F.count("*").alias("__nr"))
-    shape = _join(shape, cols.groupBy(*keys).agg(F.count("*").alias("__nc")), keys)
-    full = _join(full, shape.select(*keys, ((F.col("__nr") - 1) * (F.col("__nc") - 1)).alias("df")), keys)
+    seen = cells.filter(F.col(count) > 0).select(*keys, F.col(row).alias("__a"), F.col(column).alias("__b"), F.col(count).alias("__o"))
+    rows = seen.groupBy(*keys, "__a").agg(F.sum("__o").alias("__r"))
+    cols = seen.groupBy(*keys, "__b").agg(F.sum("__o").alias("__c"))
+    shape_r = rows.groupBy(*keys).agg(F.sum("__r").alias("__n"), F.count("*").alias("__nr"), F.sum(1 / F.col("__r")).alias("__ir"), F.min_by("__r", "__a").alias("__r0"))
+    shape_c = cols.groupBy(*keys).agg(F.count("*").alias("__nc"), F.sum(1 / F.col("__c")).alias("__ic"), F.min_by("__c", "__b").alias("__c0"))
+    shape = _join(shape_r, shape_c, keys)
+    full = _join(seen.join(rows, [*keys, "__a"]).join(cols, [*keys, "__b"]), shape.select(*keys, "__n"), keys)
     expected = F.col("__r") * F.col("__c") / F.col("__n")
-    gap = F.abs(F.coalesce("__o", F.lit(0)) - expected)
-    gap = F.when(F.col("df") == 1, F.greatest(gap - F.lit(0.5), F.lit(0.0))).otherwise(gap)
-    out = full.groupBy(*keys, "df").agg(F.sum(gap * gap / expected).alias("statistic"), F.min_by(expected, F.struct(row, column)).alias("first_expected"))
-    out = out.withColumn("statistic", F.when(F.col("df") == 0, 0.0).otherwise(F.col("statistic")))
+    gap = F.abs(F.col("__o") - expected)
+    sums = full.groupBy(*keys).agg(F.sum(gap * gap / expected - expected).alias("__s"), F.max(gap).alias("__d"))
+    df = (F.col("__nr") - 1) * (F.col("__nc") - 1)
+    moved = F.greatest(F.col("__d") - 0.5, F.lit(0.0))
+    statistic = F.when(df == 0, 0.0).when(df == 1, moved * moved * F.col("__n") * F.col("__ir") * F.col("__ic")).otherwise(F.greatest(F.col("__s") + F.col("__n"), F.lit(0.0)))
+    out = _join(sums, shape, keys).select(*keys, df.alias("df"), statistic.alias("statistic"), (F.col("__r0") * F.col("__c0") / F.col("__n")).alias("first_expected"))
     return out.withColumn("p", F.when(F.col("df") == 0, 1.0).otherwise(chi2_tail("statistic", F.greatest(F.col("df"), F.lit(1)).cast("double"))))
 
 
@@ -68,10 +71,9 @@ def _join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 def pair_chi_square(coded: DataFrame, domain: Domain, pairs: Sequence[Clique] | None = None, rows: str | None = None) -> DataFrame:
     """Chi-square of every column pair from one counting pass: (left_col, right_col, statistic, df, p, first_expected)."""
     chosen = list(pairs) if pairs is not None else all_pairs(domain.columns)
-    cells = with_codes(count_all_cells(coded, chosen, domain, rows), clique_table(coded.sparkSession, chosen, domain))
-    flat = cells.select("clique_id", F.col("cols")[0].alias("left_col"), F.col("cols")[1].alias("right_col"),
-                        F.col("codes")[0].alias("a"), F.col("codes")[1].alias("b"), "n")
-    return chi_square(flat, ["clique_id", "left_col", "right_col"], "a", "b").drop("clique_id")
+    side = pair_sides(chosen, domain)
+    cells = cut_lineage(count_cells(coded, chosen, domain, rows).select("clique_id", *[F.expr(t).alias(c) for c, t in side.items()], "n"))
+    return chi_square(cells, ["clique_id", "left_col", "right_col"], "left_code", "right_code").drop("clique_id")
 
 
 def rank_pairs(scores: DataFrame, score: str, ascending: bool = True) -> DataFrame:

@@ -174,7 +174,7 @@ total AS (SELECT avg(s) AS n_hat FROM (SELECT sum(x) AS s FROM ones GROUP BY cli
 def d10(spark, sf):
     df, domain = counted(spark, sf)
     _, ones = D.compress(D.measure(df, SINGLES, domain, 1.0, salt="measure", rows="rows"))
-    return D.pair_scores(df, COLUMNS, domain, ones, "rows").select(F.concat_ws("+", "left_col", "right_col").alias("pair"), F.round("score", 5).alias("score"))
+    return D.pair_scores(df, COLUMNS, domain, ones.collect(), "rows").select(F.concat_ws("+", "left_col", "right_col").alias("pair"), F.round("score", 5).alias("score"))
 
 
 _CAND = f"{SURVEY}, cand AS (SELECT nation, segment, count(*) AS q FROM survey GROUP BY 1, 2)"

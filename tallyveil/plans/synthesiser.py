@@ -194,7 +194,7 @@ def select_measure_generate(df: DataFrame, domain: Domain, epsilon: float, delta
     supports, ones = D.compress(measured)
     lists = D.support_lists(supports, columns)
     small, small_domain = D.remap(coded, lists), D.compressed_domain(lists)
-    scores = D.score_dict(D.pair_scores(small, columns, small_domain, ones, counted))
+    scores = D.score_dict(D.pair_scores(small, columns, small_domain, ones.collect(), counted))
     pairs = D.spanning_pairs(scores, columns, rho / 3, salt=None if salt is None else f"{salt}/select")
     cells = D.measure(small, pairs, small_domain, math.sqrt(3 / (2 * rho)), salt=None if salt is None else f"{salt}/pairs", rows=counted)
     tree = TM.Tree.of(pairs, columns)
