@@ -142,8 +142,6 @@ def _fit_by_sums(rows: DataFrame, group: Sequence[str], groups: int, features: S
         return agg.select(*key, solve("__s").alias("beta"), "dev", "far")
 
     key = list(group)
-    if not key:
-        rows, key = rows.withColumn("__all", F.lit(0)), ["__all"]
     start = F.ln(F.col("y") + 0.5) if family == "poisson" else F.when(F.col("y") > 0.5, 0.5).otherwise(-0.5)
     state = cut_lineage(step(rows, start, key).withColumn("last", F.lit(float("inf"))))
     for _ in range(MAX_ITER):
@@ -170,9 +168,12 @@ def fit_many(df: DataFrame, group: Sequence[str], features: Sequence[str], label
     """
     if family not in ("binomial", "poisson"):
         raise ValueError(f"unknown family {family!r}")
+    if not group:  # one table: the same code under a constant key
+        one = fit_many(df.withColumn("__table", F.lit(0)), ["__table"], features, label, weight, add_constant, family, ridge, task_rows)
+        return one.drop("__table")
     rows = compress(df, group, features, label, weight).persist()
-    size = rows.groupBy(*group).count().agg(F.max("count"), F.count("*")).first() if group else (rows.count(), 1)
-    if group and (size[0] or 0) <= task_rows:
+    size = rows.groupBy(*group).count().agg(F.max("count"), F.count("*")).first()
+    if (size[0] or 0) <= task_rows:
         out = _fit_in_tasks(rows, group, features, add_constant, family, ridge)
     else:
         out = _fit_by_sums(rows, group, size[1], features, add_constant, family, ridge)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tallyveil.operators import classify as C
 from tallyveil.operators import regression as R
 from tallyveil.operators import rubin as V
+from tallyveil.operators.domain import Domain, encode
+from tallyveil.operators.marginals import count_rows
 from tallyveil.plans.base import CATS, SURVEY, coded, survey, table
 from tallyveil.plans.coverage import LEVELS, coverage_records
 from tallyveil.plans.registry import query
@@ -164,12 +166,12 @@ def c01(spark, sf):
 
 def _train_test(spark, sf):
     """Synthetic tables of the coded survey, and the real rows as the test table; target: order finished."""
-    df, domain = coded(spark, sf, CATS)
-    labelled = survey(spark, sf).select(*CATS)
-    fitted = fit(labelled, domain, Options(pairs=[("status", "priority"), ("status", "segment")], salt="clf", draws=2))
+    labels = count_rows(survey(spark, sf), CATS)
+    domain = Domain.infer(labels, CATS)
+    fitted = fit(labels, domain, Options(pairs=[("status", "priority"), ("status", "segment")], salt="clf", draws=2), "rows")
     syn = generate(spark, fitted, 2, salt="clf", labels=False).select("dataset_id", *CATS)
     target = lambda d: d.withColumn("label", (F.col("status") == 1).cast("int")).drop("status")
-    return target(syn), target(df.select(*CATS))
+    return target(syn), target(encode(survey(spark, sf).select(*CATS), domain))
 
 
 def _one_model(name, maker=None):
@@ -324,11 +326,10 @@ def v07(spark, sf):
 
 
 def coverage_run(spark, sf, repeats: int = 4, tables: int = 10):
-    df, domain = coded(spark, sf, CATS)
-    labelled = survey(spark, sf).withColumn("status", F.when(F.col("status") == "F", "F").otherwise("O")).select(*CATS)
-    small = type(domain).declare({**domain.labels, "status": ("F", "O")})
-    fitted = fit(labelled, small, Options(pairs=[("status", "priority"), ("status", "segment")], draws=repeats * tables, salt="cov"))
-    records = coverage_records(labelled, fitted, "status", repeats, tables, n=2000)
+    labels = count_rows(survey(spark, sf).withColumn("status", F.when(F.col("status") == "F", "F").otherwise("O")), CATS)
+    options = Options(pairs=[("status", "priority"), ("status", "segment")], draws=repeats * tables, salt="cov")
+    fitted = fit(labels, Domain.infer(labels, CATS), options, "rows")
+    records = coverage_records(labels, fitted, "status", repeats, tables, n=2000, rows="rows")
     return V.coverage(records, ["param", "level"], "nn_")
 
 

@@ -32,6 +32,13 @@ def _items(spark, sf) -> tuple[DataFrame, Domain]:
     return encode(rows, domain), domain
 
 
+def _orders(spark, sf, names=COLUMNS) -> tuple[DataFrame, Domain]:
+    """Orders with a two-valued status, counted in one pass."""
+    two = F.when(F.col("status") == "F", "F").otherwise("O")
+    rows = A.count_rows(binned(spark, sf).withColumn("status", two), names)
+    return rows, Domain.infer(rows, names)
+
+
 def all_pair_marginals(spark, sf):
     """Every two-way marginal of six columns over all items, zero cells included."""
     df, domain = _items(spark, sf)
@@ -50,32 +57,28 @@ def private_pair_selection(spark, sf):
 
 def fit_and_five_tables(spark, sf):
     """Fit over all orders and generate 5 tables of 2000 rows: the job the reference quotes at about a minute."""
-    labels = binned(spark, sf).select(*COLUMNS)
-    domain = Domain.infer(labels, COLUMNS)
-    _drain(generate(spark, fit(labels, domain, Options(epsilon=1.0, draws=5)), 5, 2000))
+    labels, domain = _orders(spark, sf)
+    _drain(generate(spark, fit(labels, domain, Options(epsilon=1.0, draws=5), "rows"), 5, 2000))
 
 
 def explicit_fit_and_five_tables(spark, sf):
     """The same with the noise-aware maximum-entropy fit on three columns and all their pairs."""
     names = COLUMNS[:3]
-    labels = binned(spark, sf).select(*names)
-    domain = Domain.infer(labels, names)
+    labels, domain = _orders(spark, sf, names)
     options = Options(epsilon=1.0, draws=5, method="explicit", pairs=A.all_pairs(names))
-    _drain(generate(spark, fit(labels, domain, options), 5, 2000))
+    _drain(generate(spark, fit(labels, domain, options, "rows"), 5, 2000))
 
 
 def hundred_tables(spark, sf):
     """100 tables of 30 000 rows from 20 posterior draws."""
-    labels = binned(spark, sf).select(*COLUMNS)
-    domain = Domain.infer(labels, COLUMNS)
-    _drain(generate(spark, fit(labels, domain, Options(epsilon=1.0, pairs=PAIRS)), 100, 30_000))
+    labels, domain = _orders(spark, sf)
+    _drain(generate(spark, fit(labels, domain, Options(epsilon=1.0, pairs=PAIRS), "rows"), 100, 30_000))
 
 
 def hundred_regressions(spark, sf):
     """Logistic regressions of 100 generated tables of 30 000 rows."""
-    labels = binned(spark, sf).withColumn("status", F.when(F.col("status") == "F", "F").otherwise("O")).select(*COLUMNS)
-    domain = Domain.infer(labels, COLUMNS)
-    rows = generate(spark, fit(labels, domain, Options(epsilon=1.0, pairs=PAIRS)), 100, 30_000, labels=False)
+    labels, domain = _orders(spark, sf)
+    rows = generate(spark, fit(labels, domain, Options(epsilon=1.0, pairs=PAIRS), "rows"), 100, 30_000, labels=False)
     _drain(R.fit_many(rows, ["dataset_id"], COLUMNS[1:], "status"))
 
 

@@ -16,26 +16,26 @@ from tallyveil.plans.synthesiser import Fitted, generate
 LEVELS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
 
-def true_values(original_coded: DataFrame, features: Sequence[str], target: str, add_constant: bool = False) -> DataFrame:
+def true_values(original_coded: DataFrame, features: Sequence[str], target: str, add_constant: bool = False, rows: str | float = 1.0) -> DataFrame:
     """Estimates on the original table: (param_index, param, true_value)."""
-    fit = R.fit_one(original_coded, features, target, add_constant=add_constant)
+    fit = R.fit_many(original_coded, [], features, target, rows, add_constant)
     return fit.select("param_index", "param", F.col("q").alias("true_value"))
 
 
 def coverage_records(original: DataFrame, fitted: Fitted, target: str, repeats: int, tables: int, n: int | None = None,
-                     levels: Sequence[float] = LEVELS, add_constant: bool = False, salt: str = "coverage") -> DataFrame:
+                     levels: Sequence[float] = LEVELS, add_constant: bool = False, salt: str = "coverage", rows: str | float = 1.0) -> DataFrame:
     """One record per repeat, level and parameter.
 
     All repeats * tables data sets are generated and fitted in one go; the levels are spread at the end,
-    on one row per repeat and parameter.
+    on one row per repeat and parameter. `rows` names the row numbers of an original counted before.
     """
     spark, domain = original.sparkSession, fitted.domain
     features = [c for c in domain.columns if c != target]
-    coded = encode(original.select(*domain.columns), domain)
-    truth = true_values(coded, features, target, add_constant)
+    coded = encode(original, domain)
+    truth = true_values(coded, features, target, add_constant, rows)
     n_orig = int(fitted.meta["rows"])
-    rows = generate(spark, fitted, repeats * tables, n, salt=salt, labels=False)
-    fits = R.fit_many(rows, ["dataset_id"], features, target, add_constant=add_constant)
+    synthetic = generate(spark, fitted, repeats * tables, n, salt=salt, labels=False)
+    fits = R.fit_many(synthetic, ["dataset_id"], features, target, add_constant=add_constant)
     per_repeat = fits.withColumn("repeat", F.call_function("div", F.col("dataset_id").cast("long"), F.lit(tables)).cast("int"))
     grid = truth.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     totals = V.total_variance(V.combined(per_repeat, ["repeat", "param_index"], grid), float(n or n_orig), float(n_orig))

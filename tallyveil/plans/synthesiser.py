@@ -15,7 +15,7 @@ from tallyveil.functions.keyed import hash_uniform
 from tallyveil.operators import maxent as X
 from tallyveil.operators import privacy as D
 from tallyveil.operators import treemodel as TM
-from tallyveil.operators.domain import Domain, decode, unrank
+from tallyveil.operators.domain import Domain, decode, encode, unrank
 from tallyveil.operators.factors import elimination_order, log_sum_exp
 from tallyveil.operators.marginals import Clique, canonical_count, check_cliques, count_all_cells, encode_counted
 from tallyveil.operators.sampling import code_from, sample_tree
@@ -105,9 +105,12 @@ def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool =
     return Plan(pairs, sigma, canonical_count(pairs, domain), model_width(pairs, domain.columns), scores, ledger.entries)
 
 
-def fit(df: DataFrame, domain: Domain, o: Options = Options()) -> Fitted:
-    """Fit a model to a label table over a declared domain."""
-    coded, rows = encode_counted(df, domain)
+def fit(df: DataFrame, domain: Domain, o: Options = Options(), rows: str | None = None) -> Fitted:
+    """Fit a model to a label table over a declared domain.
+
+    The table is read once, to count its distinct rows; `rows` names their number when that was done before.
+    """
+    coded, rows = (encode(df, domain), rows) if rows else encode_counted(df, domain)
     plan = plan_fit(coded, domain, o, rows=rows)
     n = coded.agg(F.sum(rows)).first()[0] if rows else coded.count()
     meta = {"rows": n, "epsilon": o.epsilon, "delta": o.delta, "sigma": plan.sigma, "method": o.method, "draws": o.draws,
