@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.operators.domain import Domain, all_rows, rank_cell
+from tallyveil.session import cut_lineage
 
 LOGW = "logw"
 _STRIDE = 256.0  # exp() of anything inside one stride stays finite
@@ -134,7 +135,10 @@ def eliminate(factors: Sequence[DataFrame], keep: Sequence[str]) -> DataFrame:
 
 
 def tree_messages(pairs: Mapping[tuple[str, str], DataFrame], root: str) -> dict[tuple[str, str], DataFrame]:
-    """Normalised marginal tables (column `p`) of all pairs of a tree, by two sweeps of messages."""
+    """Normalised marginal tables (column `p`) of all pairs of a tree, by two sweeps of messages.
+
+    A message has one row per value of a column; each is written once, since several others build on it.
+    """
     near: dict[str, list[str]] = {}
     for a, b in pairs:
         near.setdefault(a, []).append(b)
@@ -159,10 +163,10 @@ def tree_messages(pairs: Mapping[tuple[str, str], DataFrame], root: str) -> dict
         return base
 
     for c in reversed(order[1:]):
-        message[(c, parent[c])] = marginalise(gather(c, parent[c], table(c, parent[c])), c).persist()
+        message[(c, parent[c])] = cut_lineage(marginalise(gather(c, parent[c], table(c, parent[c])), c))
     for c in order[1:]:
         p = parent[c]
-        message[(p, c)] = marginalise(gather(p, c, table(p, c)), p).persist()
+        message[(p, c)] = cut_lineage(marginalise(gather(p, c, table(p, c)), p))
     out = {}
     for a, b in pairs:
         belief = gather(b, a, gather(a, b, pairs[(a, b)]))

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyveil.functions.sqltext import ident, literal, search
-
+MAX_SLOTS = 4096
+SLOT_ROWS = 1_000_000  # rows one task numbers, until there are MAX_SLOTS ranges
+QUANTILE_ACCURACY = 50_000
 
 def range_slots(df: DataFrame, key: str, slots: int | None = None, out: str = "__slot") -> DataFrame:
     """Add the number of the key range a row is in; ranges hold about equally many rows.
 
-    Split points are approximate quantiles, so they only balance work, never change results.
+    One pass finds the row count and approximate quantiles; the number of ranges grows with the rows. Split points
+    only balance work, never change results. The key is unique, so no range can be dominated by one value.
     """
-    slots = slots or max(2, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    probs = [i / slots for i in range(1, slots)]
-    found = df.select(F.percentile_approx(key, probs, 10000)).first()[0] or []
-    splits = sorted(set(found))
-    return df.withColumn(out, F.expr(search([literal(s) for s in splits], str, f"{ident(key)} <=")))
+    probs = [i / MAX_SLOTS for i in range(1, MAX_SLOTS)]
+    n, found = df.select(F.count(key), F.percentile_approx(F.col(key).cast("double"), probs, QUANTILE_ACCURACY)).first()
+    slots = slots or max(2, min(MAX_SLOTS, n // SLOT_ROWS))
+    step = max(1, MAX_SLOTS // slots)
+    splits = sorted(set((found or [])[step - 1::step]))
+    if not splits:
+        return df.withColumn(out, F.lit(0))
+    place = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="__key", outputCol="__at", handleInvalid="keep")
+    placed = place.transform(df.withColumn("__key", F.col(key).cast("double")))
+    return placed.withColumn(out, F.col("__at").cast("int")).drop("__key", "__at")
 
 
 def number_rows(df: DataFrame, key: str, out: str, slots: int | None = None, start: int = 1) -> DataFrame:

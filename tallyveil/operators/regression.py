@@ -171,7 +171,7 @@ def fit_many(df: DataFrame, group: Sequence[str], features: Sequence[str], label
     if not group:  # one table: the same code under a constant key
         one = fit_many(df.withColumn("__table", F.lit(0)), ["__table"], features, label, weight, add_constant, family, ridge, task_rows)
         return one.drop("__table")
-    rows = compress(df, group, features, label, weight).persist()
+    rows = cut_lineage(compress(df, group, features, label, weight))
     size = rows.groupBy(*group).count().agg(F.max("count"), F.count("*")).first()
     if (size[0] or 0) <= task_rows:
         out = _fit_in_tasks(rows, group, features, add_constant, family, ridge)
@@ -224,7 +224,7 @@ def fit_bootstrap(df: DataFrame, group: Sequence[str], features: Sequence[str],
 
     Resampling n rows is a multinomial draw over the compressed rows, seeded by table and sample number.
     """
-    rows = compress(df, group, features, label).persist()
+    rows = cut_lineage(compress(df, group, features, label))
     largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0]
     if largest > TASK_ROWS:
         raise ValueError(f"a table has {largest} distinct rows; bin its features first")

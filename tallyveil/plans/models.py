@@ -14,6 +14,7 @@ from tallyveil.operators import treemodel as TM
 from tallyveil.plans.base import CODED, COLUMNS, PAIRS, SURVEY, coded, counted, survey, table
 from tallyveil.plans.counting import CELLS, canonical_sql
 from tallyveil.plans.registry import query
+from tallyveil.session import cut_lineage
 
 # Parameters are taken from the counts: log of a canonical count over the average count.
 LAMS = f"""{CELLS}, lams AS (SELECT clique_id, cell, v0, v1, CAST(row_number() OVER (ORDER BY clique_id, cell) - 1 AS INT) AS query_id,
@@ -39,7 +40,7 @@ def parameters(spark, sf):
 
 def factor_tables(spark, sf):
     lams, domain, _ = parameters(spark, sf)
-    lams = lams.persist()
+    lams = cut_lineage(lams)
     return [M.from_parameters(domain, q, lams.filter(F.col("clique_id") == i), spark) for i, q in enumerate(PAIRS)], lams, domain
 
 
@@ -110,7 +111,7 @@ def m09(spark, sf):
 
 def explicit(spark, sf):
     lams, domain, df = parameters(spark, sf)
-    lams = lams.persist()
+    lams = cut_lineage(lams)
     model = X.Model.of(domain, PAIRS, lams)
     values = [r[0] for r in lams.orderBy("query_id").select("lam").collect()]
     return model, values, lams, df
@@ -206,7 +207,7 @@ SELECT draw_id, round(dot - 100.0 * z, 2) AS logp FROM dots JOIN zz USING (draw_
 def m16(spark, sf):
     model, values, lams, _ = explicit(spark, sf)
     nations = survey(spark, sf).select(F.col("nation").alias("draw_id")).distinct()
-    draws = lams.join(F.broadcast(nations)).select("draw_id", "query_id", (F.col("lam") * (1 + F.col("draw_id") / 10.0)).alias("lam"))
+    draws = nations.select("draw_id", F.posexplode(F.lit(values)).alias("query_id", "lam")).withColumn("lam", F.col("lam") * (1 + F.col("draw_id") / 10.0))
     cache = X.statistic_cache(X.domain_rows(spark, model))
     out = X.conjugate_log_density(draws, lams.select("query_id", F.col("n").alias("chi")), 100.0, cache)
     return out.withColumn("logp", F.round("logp", 2))

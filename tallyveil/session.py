@@ -39,9 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     Only when the cluster names none (local tests) a fresh temporary folder is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if configured:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     folder = tempfile.mkdtemp(prefix="tallyveil-")
