@@ -6,6 +6,7 @@ calls from Python; the expression is the same.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 
@@ -22,7 +23,7 @@ def literal(value) -> str:
     if isinstance(value, int):
         return f"{value}L" if abs(value) > 2**31 - 1 else str(value)
     if isinstance(value, float):
-        return f"double('{value!r}')"
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value!r}')"
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 

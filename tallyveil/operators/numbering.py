@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyveil.functions.sqltext import array, ident
+
 MAX_SLOTS = 4096
 SLOT_ROWS = 1_000_000  # rows one task numbers, until there are MAX_SLOTS ranges
 QUANTILE_ACCURACY = 50_000
@@ -20,7 +22,8 @@ def range_slots(df: DataFrame, key: str, slots: int | None = None, out: str = "_
     only balance work, never change results. The key is unique, so no range can be dominated by one value.
     """
     probs = [i / MAX_SLOTS for i in range(1, MAX_SLOTS)]
-    n, found = df.select(F.count(key), F.percentile_approx(F.col(key).cast("double"), probs, QUANTILE_ACCURACY)).first()
+    quantiles = f"percentile_approx(double({ident(key)}), {array(probs)}, {QUANTILE_ACCURACY})"
+    n, found = df.select(F.count(key), F.expr(quantiles)).first()
     slots = slots or max(2, min(MAX_SLOTS, n // SLOT_ROWS))
     step = max(1, MAX_SLOTS // slots)
     splits = sorted(set((found or [])[step - 1::step]))
