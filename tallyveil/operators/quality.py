@@ -14,7 +14,7 @@ from tallyveil.operators.domain import Domain
 from tallyveil.operators.marginals import Clique, all_pairs, count_cells, pair_sides
 from tallyveil.session import cut_lineage
 
-RANK_ACCURACY = 100_000
+RANK_ACCURACY = 10_000
 
 # ---------------------------------------------------------------- marginals side by side
 
@@ -157,6 +157,30 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 # ---------------------------------------------------------------- draws and traces
 
 
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact (keys..., prob, quantile): the smallest value with at least prob * n values up to it.
+
+    A bounded sketch brackets each quantile; a second pass counts what lies below the bracket and the
+    distinct values inside it, so no group is ever gathered. A bracket that misses raises.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    reach = 4.0 / RANK_ACCURACY
+    ends = [e for p in probs for e in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("__v", ends, RANK_ACCURACY).alias("__e"), F.count("*").alias("__n"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.get("__e", F.lit(2 * i)).alias("lo"), F.get("__e", F.lit(2 * i + 1)).alias("hi"))
+                               for i, p in enumerate(probs)]))
+    brackets = sketch.select(*keys, "__n", each.alias("__b")).select(*keys, "__n", "__b.*")
+    brackets = brackets.withColumn("__rank", F.greatest(F.ceil(F.col("prob") * F.col("__n")), F.lit(1)))
+    near = _join(rows, brackets, keys).filter(F.col("__v") <= F.col("hi"))
+    inside = F.when(F.col("__v") >= F.col("lo"), F.col("__v"))  # null stands for everything below
+    counts = near.groupBy(*keys, "prob", "__rank", inside.alias("__v")).agg(F.count("*").alias("__c"))
+    order = W.partitionBy(*keys, "prob").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reached = counts.withColumn("__cum", F.sum("__c").over(order)).filter(F.col("__cum") >= F.col("__rank"))
+    first = reached.groupBy(*keys, "prob").agg(F.min_by(F.struct("__v"), "__cum").alias("__q"))
+    missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
+    return first.select(*keys, "prob", F.when(F.col("__q.__v").isNull(), missed).otherwise(F.col("__q.__v")).alias("quantile"))
+
+
 def draw_summary(draws: DataFrame, keys: Sequence[str] = ("param",), value: str = "value") -> DataFrame:
     """Per parameter mean, sd, median, 5 % and 95 % points and split R-hat; `draws` has (chain, draw, keys..., value).
 
@@ -172,9 +196,10 @@ def draw_summary(draws: DataFrame, keys: Sequence[str] = ("param",), value: str
     mix = per.groupBy(*keys).agg(F.avg("__v").alias("__w"), F.var_samp("__m").alias("__bn"), F.first("__n").alias("__n"))
     pooled = (F.col("__n") - 1) / F.col("__n") * F.col("__w") + F.col("__bn")
     rhat = mix.select(*keys, F.sqrt(pooled / F.col("__w")).alias("r_hat"))
-    q = lambda p: F.percentile_approx(value, p, RANK_ACCURACY)  # a bounded sketch; exact below RANK_ACCURACY rows
-    stats = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), q(0.05).alias("p05"), q(0.5).alias("median"), q(0.95).alias("p95"))
-    return stats.join(rhat, list(keys))
+    stats = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    points = order_statistics(draws, keys, value, [0.05, 0.5, 0.95]).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.05, "p05"), (0.5, "median"), (0.95, "p95"))])
+    return stats.join(points, list(keys)).join(rhat, list(keys))
 
 
 def trace_stats(trace: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
