@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,10 +46,8 @@ def label_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def domain_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """domain(col, code, label) over all rows, codes from 0 in label order."""
-    require_categorical(df, columns)
-    rank = F.dense_rank().over(W.partitionBy("col").orderBy("label")) - 1
-    return label_rows(df, columns).filter("label IS NOT NULL").select("col", rank.alias("code"), "label")
+    """domain(col, code, label) over all rows, codes from 0 in label order; nulls have no code."""
+    return Domain.infer(df, columns, skip_nulls=True).table(df.sparkSession)
 
 
 @dataclass(frozen=True)
@@ -68,11 +65,14 @@ class Domain:
         return Domain(out)
 
     @staticmethod
-    def infer(df: DataFrame, columns: Sequence[str], null_label: str | None = None,
-              max_levels: int = MAX_LEVELS) -> "Domain":
-        """Labels seen in the rows. Reveals them, so private runs declare theirs."""
+    def infer(df: DataFrame, columns: Sequence[str], null_label: str | None = None, max_levels: int = MAX_LEVELS,
+              skip_nulls: bool = False) -> "Domain":
+        """Labels seen in the rows, all of them or an error. Reveals them, so private runs declare theirs."""
         require_categorical(df, columns)
-        rows = label_rows(df, columns).limit(max_levels + 1).collect()
+        found_rows = label_rows(df, columns)
+        if skip_nulls:
+            found_rows = found_rows.filter("label IS NOT NULL")
+        rows = found_rows.limit(max_levels + 1).collect()
         if len(rows) > max_levels:
             raise ValueError(f"more than {max_levels} labels; these columns are not categorical")
         found: dict[str, set] = {c: set() for c in columns}

@@ -6,7 +6,6 @@ most one canonical cell per set, so a row is described by the few query ids that
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyveil.operators import classify as C
 from tallyveil.operators import regression as R
 from tallyveil.operators import rubin as V
+from tallyveil.operators.cleaning import split_by_fraction
 from tallyveil.operators.domain import Domain, encode
 from tallyveil.operators.marginals import count_rows
 from tallyveil.plans.base import CATS, SURVEY, coded, survey, table
@@ -86,9 +87,9 @@ def r05(spark, sf):
 
 
 # Bootstrap means stay near the closed form and bootstrap variances near the squared standard errors.
-@query("r06_regularised_bootstrap", f"WITH {_XY}, big AS (SELECT * FROM xy WHERE nation < 5) SELECT nation, param, true AS near FROM {_logit_sql('big', 'nation')}")
+@query("r06_regularised_bootstrap", f"WITH {_XY} SELECT nation, param, true AS near FROM {_logit_sql('xy', 'nation')}")
 def r06(spark, sf):
-    df = _xy(spark, sf).filter("nation < 5")
+    df = _xy(spark, sf)
     boot = R.fit_bootstrap(df, ["nation"], ["rush"], "done", samples=50)
     plain = R.fit_many(df, ["nation"], ["rush"], "done").select("nation", "param", F.col("q").alias("q0"), F.col("u").alias("u0"))
     near = (F.abs(F.col("q") - F.col("q0")) < 5 * F.sqrt(F.col("u0") / 10)) & (F.col("u") / F.col("u0")).between(0.3, 3.0) & (F.col("low") < F.col("q0")) & (F.col("high") > F.col("q0"))
@@ -232,8 +233,8 @@ def c08(spark, sf):
 @query("c09_train_and_test_on_original")
 def c09(spark, sf):
     df = coded(spark, sf, CATS)[0].withColumn("label", (F.col("status") == 1).cast("int"))
-    part = df.withColumn("part", F.crc32(F.col("row_id").cast("string")) % 10)
-    return C.train_and_score(part.filter("part < 7"), part.filter("part >= 7"), ["priority", "segment"], "label",
+    part = split_by_fraction(df, "row_id", 0.7)
+    return C.train_and_score(part.filter("part = 'train'"), part.filter("part = 'test'"), ["priority", "segment"], "label",
                              models={"majority": None, "random_forest": _few_trees})
 
 

@@ -56,7 +56,7 @@ def private_pair_selection(spark, sf):
 
 
 def fit_and_five_tables(spark, sf):
-    """Fit over all orders and generate 5 tables of 2000 rows: the job the reference quotes at about a minute."""
+    """Fit over all orders and generate 5 tables of 2000 rows."""
     labels, domain = _orders(spark, sf)
     _drain(generate(spark, fit(labels, domain, Options(epsilon=1.0, draws=5), "rows"), 5, 2000))
 

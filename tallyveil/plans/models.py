@@ -11,7 +11,7 @@ from tallyveil.operators import maxent as X
 from tallyveil.operators import privacy as D
 from tallyveil.operators import sampling as G
 from tallyveil.operators import treemodel as TM
-from tallyveil.plans.base import CODED, COLUMNS, PAIRS, SURVEY, coded, counted, survey, table
+from tallyveil.plans.base import COLUMNS, PAIRS, coded, counted, survey, table
 from tallyveil.plans.counting import CELLS, canonical_sql
 from tallyveil.plans.registry import query
 from tallyveil.session import cut_lineage

@@ -17,12 +17,12 @@ from tallyveil.sources import tables as S
 # ---------------------------------------------------------------- sources and sinks
 
 
-@query("s01_read_table", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_totalprice > 100000")
+@query("s01_read_table", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders")
 def s01(spark, sf):
     path = scratch_path(spark, "orders-csv")
     S.write_table(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, fmt="csv")
     df = S.read_table(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double", "csv")
-    return df.filter("o_totalprice > 100000").withColumn("o_totalprice", F.round("o_totalprice", 2))
+    return df.withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 @query("s02_read_headerless", "SELECT p_partkey, p_brand, p_type, p_size FROM part")

@@ -20,12 +20,12 @@ from tallyveil.sources import store
 
 # ---------------------------------------------------------------- marginals side by side
 
-_SIDES = f"{SURVEY}, syn AS (SELECT CAST(nation % 4 AS INT) AS dataset_id, status, priority, segment FROM survey WHERE nation < 12)"
+_SIDES = f"{SURVEY}, syn AS (SELECT CAST(nation % 4 AS INT) AS dataset_id, status, priority, segment FROM survey)"
 
 
 def _sides(spark, sf):
     df = survey(spark, sf)
-    return df, df.filter("nation < 12").withColumn("dataset_id", (F.col("nation") % 4).cast("int"))
+    return df, df.withColumn("dataset_id", (F.col("nation") % 4).cast("int"))
 
 
 @query("q01_value_counts_by_kind", f"WITH {_SIDES} " + " UNION ALL ".join(
@@ -304,10 +304,10 @@ def x05(spark, sf):
 
 @query("x06_labelled_union", """
 SELECT event_id AS id, value, NULL::BIGINT AS user_id, 'first' AS experiment FROM events WHERE user_id < 50
-UNION ALL SELECT event_id, value, user_id, 'second' FROM events WHERE user_id >= 100""")
+UNION ALL SELECT event_id, value, user_id, 'second' FROM events WHERE user_id >= 50""")
 def x06(spark, sf):
     ev = table(spark, sf, "events").withColumnRenamed("event_id", "id")
-    return X.labelled_union({"first": ev.filter("user_id < 50").select("id", "value"), "second": ev.filter("user_id >= 100").select("id", "value", "user_id")})
+    return X.labelled_union({"first": ev.filter("user_id < 50").select("id", "value"), "second": ev.filter("user_id >= 50").select("id", "value", "user_id")})
 
 
 @query("x07_results_with_extremes", f"""

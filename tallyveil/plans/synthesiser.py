@@ -28,7 +28,7 @@ METHODS = ("tree", "explicit")
 @dataclass(frozen=True)
 class Options:
     """How to fit. `pairs` given: no selection. `budget="split"` shares one budget over all steps,
-    `"reference"` spends it in the selection and again in the release. `salt` computes noise from keys."""
+    `"twice"` spends it in the selection and again in the release. `salt` computes noise from keys."""
 
     epsilon: float = 1.0
     delta: float = 1e-6
@@ -81,7 +81,7 @@ def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool =
     """Choose pairs and noise; releases nothing but the choice of pairs."""
     if o.method not in METHODS:
         raise ValueError(f"unknown method {o.method!r}, expected one of {METHODS}")
-    if o.budget not in ("split", "reference"):
+    if o.budget not in ("split", "twice"):
         raise ValueError(f"unknown budget {o.budget!r}")
     check_cliques([*(o.pairs or []), *o.required], domain)
     ledger = D.Ledger(o.epsilon, o.delta)
@@ -96,7 +96,7 @@ def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool =
                                        o.required, o.salt, return_scores, rows)
     if o.no_privacy:
         sigma = 0.0
-    elif o.budget == "reference" or o.pairs is not None:
+    elif o.budget == "twice" or o.pairs is not None:
         sigma = D.statistic_sigma(len(pairs), o.epsilon, o.delta)
         if o.pairs is not None:
             ledger.spend("release", ledger.rho)
