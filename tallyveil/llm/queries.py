@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.llm import arrow_stream, line_dedup, lsh_forest, mixing, packing, quality
+from tallyveil.llm import arrow_stream, line_dedup, lsh_forest, merkle, mixing, packing, quality, url_trust
 from tallyveil.llm.common import table
 from tallyveil.session import scratch_path
 
@@ -95,3 +95,17 @@ def op7(spark, sf_dir):
 @query("op10_lsh_forest")
 def op10(spark, sf_dir):
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_url_trust")
+def op4(spark, sf_dir):
+    judged = url_trust.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+@query("op8_merkle_fingerprints")
+def op8(spark, sf_dir):
+    beside = merkle.against_next(table(spark, sf_dir, "documents"))
+    mine, edited, following = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
+    return beside.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                         merkle.likeness(mine, edited).alias("near_edited"), merkle.likeness(mine, following).alias("near_next"))
