@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.llm import arrow_stream, line_dedup, lsh_forest, merkle, mixing, packing, quality, url_trust
+from tallyveil.llm import arrow_stream, line_dedup, lsh_forest, merkle, mixing, packing, quality, suffix_dedup, url_trust
 from tallyveil.llm.common import table
 from tallyveil.session import scratch_path
 
@@ -109,3 +109,8 @@ def op8(spark, sf_dir):
     mine, edited, following = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
     return beside.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                          merkle.likeness(mine, edited).alias("near_edited"), merkle.likeness(mine, following).alias("near_next"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
