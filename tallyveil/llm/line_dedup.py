@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyveil.llm.common import saved
+
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
 SHARDS = 16
@@ -51,7 +53,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     `dropped_runs` is the keep bitmap, run-length-compressed: sorted (first, lines) runs of zeros; all other bits are one.
     """
     hashes = line_hashes(docs, min_chars)
-    keys = shared_keys(hashes, min_documents)
+    keys = saved(shared_keys(hashes, min_documents), "shared-keys")  # so Spark can split a key with very many lines
     lost = hashes.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "text_hash", "position").distinct()
     own = W.partitionBy("doc_id", "text_hash").orderBy("position")
     runs = lost.withColumn("island", F.col("position") - F.row_number().over(own)).groupBy("doc_id", "text_hash", "island").agg(

@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = saved(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     leaves = _leaves(reps)
-    regions = leaves.groupBy("region").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1")
+    # written before the join, so both sides are plain exchanges and Spark can split a region with very many leaves
+    regions = saved(leaves.groupBy("region").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1"), "region-heads")
     members = saved(leaves.join(regions, "region"), "regions")
 
     first = members.where("rep <> head").select(*_pairs(F.col("rep"), F.col("head"))).distinct()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.llm import arrow_stream, line_dedup, lsh_forest, merkle, mixing, packing, quality, suffix_dedup, url_trust
+from tallyveil.llm import arrow_stream, line_dedup, lsh_forest, merkle, mixing, packing, pii, quality, suffix_dedup, url_trust
 from tallyveil.llm.common import table
 from tallyveil.session import scratch_path
 
@@ -114,3 +114,8 @@ def op8(spark, sf_dir):
 @query("op3_suffix_dedup")
 def op3(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op5_pii_boosting")
+def op5(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))

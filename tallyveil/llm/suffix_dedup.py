@@ -235,7 +235,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, seed_bytes: int = SEED_
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
     runs = saved(hashed.mapInArrow(_runs_task(length, seed_bytes), f"doc_id {kind}, text_hash long, first int, n int, v long, content long"), "runs")
-    again = runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    # written before the join, so both sides are plain exchanges and Spark can split a hash with very many runs
+    again = saved(runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "recurring-hashes")
     found = saved(runs.join(again, "v", "left_semi"), "recurring-runs")
     contexts = saved(found.groupBy("v", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("where")), "contexts")
     kinds = contexts.groupBy("v").agg(F.count("*").alias("kinds"))
