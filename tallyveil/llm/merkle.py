@@ -12,13 +12,16 @@ Nulls: a null text is an empty one, which is one empty paragraph with one empty
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import saved
+from tallyveil.operators.numbering import range_slots
 
 PIECE = 64
 SECTION = 8
 SHORT = 12  # hex digits of a shortened hash
+SLOT_ROWS = 2_000  # rows that one task sorts, until there are MAX_SLOTS ranges
+MAX_SLOTS = 4_096
 
 
 def _hash(parts: Column) -> Column:
@@ -79,39 +82,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fingerprint", fingerprint(F.col("text")))
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """__row, __next: each row and the row of the next larger doc_id, the first after the last.
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, next_text: each text and the one of the next larger doc_id, the first after the last.
 
-    Only ids are sorted: ranges of them by separate tasks, lined up by one small row for each range.
+    Ids are dealt into ranges of about SLOT_ROWS rows, so the texts move once and each task sorts a bounded range; the first
+    row of a range is also sent to the range before it, as its last row's successor. Null ids come last; equal ids are
+    ordered by a hash of the text. Range limits and first ids, at most 4097 of each, pass the driver.
     """
-    from pyspark.sql import Window as W
-
-    order = [F.asc_nulls_first("doc_id"), F.asc("__row")]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a slot is a range of ids; its number comes from the sorted table's partitions, which are written and keep it
-    ranged = docs.select("doc_id", "__row").repartitionByRange(parts, *order).withColumn("__slot", F.spark_partition_id())
-    ids = saved(ranged, "ordered-ids")
-    ends = ids.groupBy("__slot").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "__row")).alias("first")).orderBy("__slot").collect()
-    follow = {ends[i]["__slot"]: ends[(i + 1) % len(ends)]["first"]["__row"] for i in range(len(ends))}
-    if not follow:
-        return ids.select("__row", F.col("__row").alias("__next"))
-    after = F.element_at(F.create_map(*[x for k, v in follow.items() for x in (F.lit(k), F.lit(v))]), F.col("__slot"))
-    inside = F.lead("__row").over(W.partitionBy("__slot").orderBy(*order))
-    return ids.select("__row", F.coalesce(inside, after).alias("__next"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    slots = max(2, min(MAX_SLOTS, base.count() // SLOT_ROWS))
+    ranged = range_slots(base, "doc_id", slots)
+    firsts = sorted((r["__slot"], r["first"]) for r in ranged.select("__slot", "doc_id").groupBy("__slot").agg(F.min("doc_id").alias("first")).collect())
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    guests = docs.sparkSession.createDataFrame([(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))], f"__first {kind}, __before int")
+    both = ranged.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("__first")), "left")
+    own = F.struct(F.col("__slot").alias("slot"), F.lit(0).alias("guest"))
+    guest = F.struct(F.col("__before").alias("slot"), F.lit(1).alias("guest"))
+    sent = both.select("doc_id", "text", F.explode(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("to"))
+    order = W.partitionBy("to.slot").orderBy("to.guest", F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    return sent.withColumn("next_text", F.lead("text").over(order)).where("to.guest = 0").select("doc_id", "text", "next_text")
 
 
 def against_next(docs: DataFrame) -> DataFrame:
     """Each document beside a half-edited version of itself and beside the next one.
 
     doc_id, n_chars, edited (its last half replaced by the beginning of the next document), fingerprint, edited_fingerprint,
-    next_fingerprint. Texts move once: a row sends its text to itself, and its beginning, as long as needed, to its predecessor.
+    next_fingerprint.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = saved(base.withColumn("__row", F.monotonically_increasing_id()).withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("long")), "fingerprints")
-    order = successors(rows)
-    halves = order.join(rows.select("__row", "n_chars"), "__row").select(F.col("__next").alias("__from"), F.col("__row").alias("__to"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    sent = rows.select(F.col("__row").alias("__from"), "text", F.col("fingerprint").alias("next_fingerprint")).join(halves, "__from").select(
-        F.col("__to").alias("__row"), F.expr("substring(text, 1, half)").alias("begin"), "next_fingerprint", "half")
-    kept = rows.select("__row", "doc_id", "n_chars", "fingerprint", F.expr("substring(text, 1, int(n_chars - floor(n_chars / 2)))").alias("stay"))
-    both = kept.join(sent, "__row").withColumn("edited", F.concat("stay", "begin"))
-    return both.select("doc_id", "n_chars", "edited", "fingerprint", "next_fingerprint").withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    beside = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.expr("int(floor(n_chars / 2))"))
+    edited = F.concat(F.expr("substring(text, 1, int(n_chars) - half)"), F.expr("substring(next_text, 1, half)"))
+    made = beside.select("doc_id", "n_chars", edited.alias("edited"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"))
+    return made.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
