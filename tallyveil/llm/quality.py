@@ -90,13 +90,13 @@ def _count_task(batches):
         raw += np.bincount(buckets, minlength=BUCKETS)
         trusted += np.bincount(buckets[flag[rows]], minlength=BUCKETS)
     if raw.any():
-        yield _slabs(np.arange(BUCKETS // SLAB), raw, trusted)
+        yield _slabs(np.arange(BUCKETS // SLAB), raw, trusted, np.int32)  # a task reads far less than 2^31 words
 
 
-def _slabs(slab, raw, trusted) -> pa.RecordBatch:
+def _slabs(slab, raw, trusted, kind=np.int64) -> pa.RecordBatch:
     offsets = pa.array(np.arange(len(slab) + 1, dtype=np.int32) * SLAB)
     return pa.RecordBatch.from_arrays(
-        [pa.array(slab.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(raw)), pa.ListArray.from_arrays(offsets, pa.array(trusted))],
+        [pa.array(slab.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(raw.astype(kind))), pa.ListArray.from_arrays(offsets, pa.array(trusted.astype(kind)))],
         names=["slab", "raw", "trusted"])
 
 
@@ -122,8 +122,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     good = trusted_ids(labels, 0)
     flagged = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("__good"), "left").select(
         "text", F.col("__good").isNotNull().alias("trusted"))
-    kind = "slab int, raw array<long>, trusted array<long>"
-    counted = flagged.mapInArrow(_count_task, kind).groupBy("slab").applyInArrow(_add_slabs, kind)
+    kind = "slab int, raw array<{0}>, trusted array<{0}>"
+    counted = flagged.mapInArrow(_count_task, kind.format("int")).groupBy("slab").applyInArrow(_add_slabs, kind.format("long"))
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for slab, some, good_some in zip(*counted.toArrow().to_pydict().values()):
         raw[slab * SLAB:(slab + 1) * SLAB], trusted[slab * SLAB:(slab + 1) * SLAB] = some, good_some
