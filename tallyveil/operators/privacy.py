@@ -29,6 +29,12 @@ from tallyveil.session import scratch_path
 
 SUPPORT_SIGMAS = 3.0  # a cell is supported when its noisy count reaches this many sigmas
 
+# One neighbour relation throughout: tables of equal size that differ in one row. A replaced row moves one count down and one
+# up, so the counts of a column change by sqrt(2) in all, and an L1 pair score by 2.
+COUNT_SENSITIVITY = math.sqrt(2.0)
+SCORE_SENSITIVITY = 2.0
+
+
 # ---------------------------------------------------------------- budgets
 
 
@@ -241,7 +247,7 @@ def spanning_pairs(scores: dict[Clique, float], columns: Sequence[str], rho: flo
     for a, b in required:
         if a not in part or b not in part:
             raise ValueError(f"unknown columns in {(a, b)}")
-        if (a, b) not in chosen:
+        if (a, b) not in chosen and (b, a) not in chosen:
             chosen.append((a, b))
         part[root(a)] = root(b)
     rounds = len({root(c) for c in columns}) - 1
@@ -255,7 +261,7 @@ def spanning_pairs(scores: dict[Clique, float], columns: Sequence[str], rho: flo
             best = max(open_pairs, key=lambda p: (scores[p], p))
         else:
             noise = {p: py_gumbel(salt, i, *p) if salt is not None else float(rng.gumbel()) for p in open_pairs}
-            best = max(open_pairs, key=lambda p: 0.5 * eps * scores[p] + noise[p])
+            best = max(open_pairs, key=lambda p: 0.5 * eps * scores[p] / SCORE_SENSITIVITY + noise[p])
         chosen.append(best)
         part[root(best[0])] = root(best[1])
     return chosen
@@ -282,7 +288,7 @@ def select_pairs(coded: DataFrame, domain: Domain, rho_measure: float | None, rh
     if rho_measure is None:
         measured = count_all_cells(coded, singles, domain, rows).select("clique_id", "cell", F.col("n").cast("double").alias("y"), F.lit(0.0).alias("sigma"))
     else:
-        measured = measure(coded, singles, domain, math.sqrt(1.0 / (2 * rho_measure)), salt=salt, rows=rows)
+        measured = measure(coded, singles, domain, COUNT_SENSITIVITY / math.sqrt(2 * rho_measure), salt=salt, rows=rows)
     supports, ones = compress(measured)
     lists = support_lists(supports, columns)
     small = remap(coded, lists)

@@ -113,14 +113,14 @@ def attach_score(runs: DataFrame, scores: DataFrame, run_key: str, score_key: st
 
 
 def moments_close(original: DataFrame, synthetic: DataFrame, columns: Sequence[str], tolerance: float = 0.3) -> DataFrame:
-    """(dataset_id, col, mean_gap, std_gap, close): relative differences of means and deviations."""
+    """(dataset_id, col, mean_gap, std_gap, close): relative differences of means and deviations; null where the original's is 0."""
     def stats(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
         row = df.groupBy(*keys).agg(*[f(c).alias(f"{c}|{n}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
         parts = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"{c}|m").alias(f"m_{tag}"), F.col(f"{c}|s").alias(f"s_{tag}")) for c in columns]))
         return row.select(*keys, parts.alias("p")).select(*keys, "p.*")
 
     both = stats(synthetic, ["dataset_id"], "syn").join(F.broadcast(stats(original, [], "orig")), "col")
-    gap = lambda c: F.abs(F.col(f"{c}_syn") - F.col(f"{c}_orig")) / F.abs(F.col(f"{c}_orig"))
+    gap = lambda c: F.try_divide(F.abs(F.col(f"{c}_syn") - F.col(f"{c}_orig")), F.abs(F.col(f"{c}_orig")))
     return both.select("dataset_id", "col", gap("m").alias("mean_gap"), gap("s").alias("std_gap")).withColumn(
         "close", (F.col("mean_gap") <= tolerance) & (F.col("std_gap") <= tolerance))
 
@@ -195,7 +195,7 @@ def draw_summary(draws: DataFrame, keys: Sequence[str] = ("param",), value: str
         F.avg(value).alias("__m"), F.var_samp(value).alias("__v"), F.count("*").alias("__n"))
     mix = per.groupBy(*keys).agg(F.avg("__v").alias("__w"), F.var_samp("__m").alias("__bn"), F.first("__n").alias("__n"))
     pooled = (F.col("__n") - 1) / F.col("__n") * F.col("__w") + F.col("__bn")
-    rhat = mix.select(*keys, F.sqrt(pooled / F.col("__w")).alias("r_hat"))
+    rhat = mix.select(*keys, F.sqrt(F.try_divide(pooled, F.col("__w"))).alias("r_hat"))
     stats = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     points = order_statistics(draws, keys, value, [0.05, 0.5, 0.95]).groupBy(*keys).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.05, "p05"), (0.5, "median"), (0.95, "p95"))])

@@ -105,6 +105,13 @@ def _terms(features: Sequence[str], add_constant: bool) -> list[Column]:
     return ([F.lit(1.0)] if add_constant else []) + [F.col(c) for c in features]
 
 
+def _beside(rows: DataFrame, side: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Join on the table key, where null is a key like any other."""
+    named = side.select([F.col(c).alias(f"__side_{c}") if c in key else F.col(c) for c in side.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__side_{k}")) for k in key]
+    return rows.join(named, same).drop(*[f"__side_{k}" for k in key])
+
+
 def _fit_by_sums(rows: DataFrame, group: Sequence[str], groups: int, features: Sequence[str], add_constant: bool, family: str, ridge: float) -> DataFrame:
     x = _terms(features, add_constant)
     d = len(x)
@@ -147,12 +154,14 @@ def _fit_by_sums(rows: DataFrame, group: Sequence[str], groups: int, features: S
     for _ in range(MAX_ITER):
         side = broadcast_checked(state.select(*key, "beta"), max(groups, 1), 64 + 16 * d)
         eta = sum((F.get("beta", F.lit(i)) * c for i, c in enumerate(x)), F.lit(0.0))
-        new = step(rows.join(side, key), eta, key)
+        new = step(_beside(rows, side, key), eta, key)
         old = broadcast_checked(state.select(*key, F.col("dev").alias("last")), max(groups, 1), 64)
-        state = cut_lineage(new.join(old, key))
+        state = cut_lineage(_beside(new, old, key))
         open_groups = state.filter((F.abs(F.col("last") - F.col("dev")) > TOLERANCE * (F.abs("dev") + 0.1)) & (F.col("far") >= SEPARATED)).limit(1).count()
         if not open_groups:
             break
+    else:
+        raise RuntimeError(f"the regression did not converge in {MAX_ITER} steps")
     names = (["const"] if add_constant else []) + list(features)
     ok = (F.col("far") >= SEPARATED) if family == "binomial" else F.lit(True)
     parts = F.explode(F.array(*[F.struct(F.lit(i).alias("param_index"), F.lit(n).alias("param"),
@@ -164,14 +173,16 @@ def fit_many(df: DataFrame, group: Sequence[str], features: Sequence[str], label
              add_constant: bool = True, family: str = "binomial", ridge: float = 0.0, task_rows: int = TASK_ROWS) -> DataFrame:
     """Regression of every table: (group..., param_index, param, q, u), u = squared standard error.
 
-    A perfectly separated table gets null estimates.
+    A perfectly separated table gets null estimates. A null in the key is a table of its own; rows with a null feature, label
+    or weight are left out, whatever the size of the table.
     """
     if family not in ("binomial", "poisson"):
         raise ValueError(f"unknown family {family!r}")
     if not group:  # one table: the same code under a constant key
         one = fit_many(df.withColumn("__table", F.lit(0)), ["__table"], features, label, weight, add_constant, family, ridge, task_rows)
         return one.drop("__table")
-    rows = cut_lineage(compress(df, group, features, label, weight))
+    needed = [*features, label, *([weight] if isinstance(weight, str) else [])]
+    rows = cut_lineage(compress(df.dropna(subset=needed), group, features, label, weight))
     size = rows.groupBy(*group).count().agg(F.max("count"), F.count("*")).first()
     if (size[0] or 0) <= task_rows:
         out = _fit_in_tasks(rows, group, features, add_constant, family, ridge)

@@ -85,6 +85,6 @@ def perturb(cells: DataFrame, draws: int, sigma: float, value: str = "y", salt:
     many = cells.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     by = W.partitionBy("draw_id", "clique_id")
     base = F.greatest(F.col(value).cast("double"), F.lit(0.0))
-    share = base / F.sum(base).over(by)
+    share = F.try_divide(base, F.sum(base).over(by))
     spread = F.sqrt(F.lit(sigma * sigma) + base * (1 - F.coalesce(share, F.lit(0.0))))
     return many.withColumn("n", base + spread * md5_normal(salt, "draw_id", "clique_id", "cell")).select("draw_id", "clique_id", "cell", "n")

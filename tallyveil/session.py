@@ -36,7 +36,7 @@ def build_session(app: str = "tallyveil", cores: int | str = "*") -> SparkSessio
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only when the cluster names none (local tests) a fresh temporary folder is used.
+    Only a local master may do without one; it gets a fresh temporary folder. Elsewhere every machine would write to its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -46,6 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tallyveil-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
