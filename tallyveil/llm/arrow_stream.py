@@ -55,7 +55,7 @@ class SequenceWriter:
         self.tokens += len(ids)
         self.documents += len(doc_ids)
         if self.waiting >= BATCH_SEQUENCES * self.length:
-            self._write(self.waiting // self.length)
+            self._write(self.waiting // self.length // BATCH_SEQUENCES * BATCH_SEQUENCES)  # all batches but the last are full
 
     def _write(self, count: int):
         ids, mask, size = np.concatenate(self.ids), np.concatenate(self.mask), count * self.length

@@ -91,7 +91,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     slots = max(2, min(MAX_SLOTS, base.count() // SLOT_ROWS))
-    ranged = range_slots(base, "doc_id", slots)
+    ranged = range_slots(base, "doc_id", slots).withColumn("__slot", F.coalesce("__slot", F.lit(MAX_SLOTS + 1)))
     firsts = sorted((r["__slot"], r["first"]) for r in ranged.select("__slot", "doc_id").groupBy("__slot").agg(F.min("doc_id").alias("first")).collect())
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     guests = docs.sparkSession.createDataFrame([(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))], f"__first {kind}, __before int")
