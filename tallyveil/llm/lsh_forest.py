@@ -138,8 +138,8 @@ def _shingle_task(batches):
 def _open_pairs(members: DataFrame, groups: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
     """Untried pairs of different components among documents of open regions that may be similar enough.
 
-    Two sets of similarity s >= PERCENT share a shingle among the rarest size - ceil(s * size) + 1 of each; rarity is counted
-    among the documents of open regions.
+    Two sets of that similarity share a shingle among the rarest quarter of the larger and the rarest seventh of the smaller
+    (at 75 percent); rarity is counted among the documents of open regions.
     """
     placed = members.join(groups, members["rep"] == groups["id"], "left").select("region", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
@@ -150,13 +150,15 @@ def _open_pairs(members: DataFrame, groups: DataFrame, texts: DataFrame, tried:
     ranked = sets.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     place = F.row_number().over(W.partitionBy("rep").orderBy("often", "shingle"))
     prefix = ranked.withColumn("place", place).where(f"place <= size - ceil(size * {PERCENT} / 100) + 1 AND often > 1")
-    prefix = saved(prefix.join(inside, "rep").select("rep", "shingle", "size", "component"), "open-prefixes")
-    # a shingle of one component only has nothing to compare
-    spread = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    prefix = prefix.join(spread, "shingle", "left_semi")
-    a, b = (prefix.select("shingle", F.col("rep").alias(f"rep_{x}"), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"of_{x}")) for x in "ab")
-    met = a.join(b, "shingle").where(f"rep_a < rep_b AND of_a <> of_b AND 100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)")
-    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    prefix = saved(prefix.join(inside, "rep").select("rep", "shingle", "size", "place", "component"), "open-prefixes")
+    # the smaller set needs a shorter prefix still, which keeps shingles that many sets share out of one side
+    short = prefix.where(f"place <= size - ceil(size * {2 * PERCENT} / {100 + PERCENT}) + 1")
+    a, b = (side.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "place", "component")]) for side, x in ((prefix, "a"), (short, "b")))
+    # what is left after a common shingle bounds the number of common ones
+    met = a.join(b, "shingle").where(f"""component_a <> component_b AND (size_a > size_b OR size_a = size_b AND rep_a > rep_b)
+        AND 100 * size_b >= {PERCENT} * size_a
+        AND {100 + PERCENT} * (1 + least(size_a - place_a, size_b - place_b)) >= {PERCENT} * (size_a + size_b)""")
+    return met.select(*_pairs(F.col("rep_a"), F.col("rep_b"))).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
