@@ -1,8 +1,9 @@
 """Binary token files: Arrow files whose batches hold fixed-size lists, so any sequence is read in place.
 
 A file covers a range of documents in order. Its ids are cut into equal sequences; only the last of a file is padded. Columns:
-`ids` fixed_size_list<uint32>[L], `mask` fixed_size_list<uint8>[L] (0 padding, 1 id, 2 last id of a document), `doc_ids`
-list<int64>, the documents that end in the sequence. Files are uncompressed: a memory map gives arrays without a copy.
+`ids` fixed_size_list<uint16 or uint32>[L], by the size of the vocabulary; `mask` fixed_size_list<bool>[L], false for padding;
+`doc_ids` list<int64> and `ends` list<int32>, the documents that end in the sequence and the place after their last id.
+Files are uncompressed: a memory map gives Arrow arrays, and the ids as numpy arrays, without a copy.
 
 Tasks write under a name of their own and move the finished file to its place, so a task that is run again leaves a whole file.
 Nulls: a null text is an empty document with its end id; a null doc_id sorts first and reads back as null. Repeated doc_ids
@@ -29,27 +30,25 @@ from tallyveil.llm.tokens import encoder, plain_words
 LENGTH = 1024
 BATCH_SEQUENCES = 256
 FILE_BYTES = 32 << 20  # text for one file, about
-PAD, INSIDE, END = 0, 1, 2
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length)), ("doc_ids", pa.list_(pa.int64()))])
+def _schema(length: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length)), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32()))])
 
 
 class SequenceWriter:
     """Collects documents' ids and writes whole batches of sequences; holds less than one batch and one block."""
 
-    def __init__(self, sink, length: int):
-        self.length, self.schema = length, _schema(length)
+    def __init__(self, sink, length: int, size: int):
+        self.length, self.kind = length, np.uint16 if size <= 1 << 16 else np.uint32
+        self.schema = _schema(length, pa.from_numpy_dtype(self.kind))
         self.out = ipc.new_file(sink, self.schema)
-        self.ids, self.mask, self.ended, self.waiting = [], [], [], 0
+        self.ids, self.ends, self.ended, self.waiting = [], [], [], 0
         self.tokens = self.sequences = self.documents = 0
 
     def add(self, ids: np.ndarray, bounds: np.ndarray, doc_ids: list):
-        mask = np.full(len(ids), INSIDE, np.uint8)
-        mask[bounds[1:] - 1] = END
-        self.ids.append(ids)
-        self.mask.append(mask)
+        self.ids.append(ids.astype(self.kind))
+        self.ends.append(bounds[1:] + self.waiting)
         self.ended.extend(doc_ids)
         self.waiting += len(ids)
         self.tokens += len(ids)
@@ -58,20 +57,20 @@ class SequenceWriter:
             self._write(self.waiting // self.length // BATCH_SEQUENCES * BATCH_SEQUENCES)  # all batches but the last are full
 
     def _write(self, count: int):
-        ids, mask, size = np.concatenate(self.ids), np.concatenate(self.mask), count * self.length
-        self.ids, self.mask = [ids[size:]], [mask[size:]]
-        self.waiting = max(0, len(ids) - size)
-        short = size - len(ids)
-        if short > 0:
-            ids, mask = np.append(ids, np.zeros(short, np.uint32)), np.append(mask, np.zeros(short, np.uint8))
+        ids, ends, size = np.concatenate(self.ids), np.concatenate(self.ends), count * self.length
+        inside = int(np.searchsorted(ends, size, side="right"))
+        self.ids, self.ends = [ids[size:]], [ends[inside:] - size]
+        self.waiting, mask = max(0, len(ids) - size), np.arange(size) < len(ids)
+        ids = np.append(ids[:size], np.zeros(max(0, size - len(ids)), self.kind))
+        row, held = (ends[:inside] - 1) // self.length, self.ended[:inside]
+        del self.ended[:inside]
         for at in range(0, count, BATCH_SEQUENCES):
             n = min(BATCH_SEQUENCES, count - at)
-            span = slice(at * self.length, (at + n) * self.length)
-            ends = np.concatenate([[0], np.cumsum((mask[span] == END).reshape(n, -1).sum(axis=1))]).astype(np.int32)
-            batch = [pa.FixedSizeListArray.from_arrays(pa.array(ids[span]), self.length),
-                     pa.FixedSizeListArray.from_arrays(pa.array(mask[span]), self.length),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(self.ended[:ends[-1]], pa.int64()))]
-            del self.ended[:ends[-1]]
+            span, these = slice(at * self.length, (at + n) * self.length), slice(*np.searchsorted(row, [at, at + n]))
+            offsets = pa.array(np.searchsorted(row[these], np.arange(at, at + n + 1)).astype(np.int32))
+            place = (ends[:inside][these] - row[these] * self.length).astype(np.int32)
+            batch = [pa.FixedSizeListArray.from_arrays(pa.array(ids[span]), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask[span]), self.length),
+                     pa.ListArray.from_arrays(offsets, pa.array(held[these], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(place))]
             self.out.write_batch(pa.RecordBatch.from_arrays(batch, schema=self.schema))
         self.sequences += count
 
@@ -91,7 +90,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, length: int):
                 files.create_dir(root, recursive=True)
                 mine = f"{root}/_{part}-{uuid.uuid4().hex}"
                 stream = files.open_output_stream(mine)
-                writer = SequenceWriter(stream, length)
+                writer = SequenceWriter(stream, length, encode.tokenizer.get_vocab_size())
             ids, bounds = encode.ids(*utf8(block.column("text")), end_id)
             writer.add(ids, bounds, block.column("doc_id").to_pylist())
         if writer is not None:
@@ -124,24 +123,19 @@ def write_sequences(docs: DataFrame, folder: str, vocabulary: str, end_id: int,
     return manifest
 
 
-def sequences(path: str, files=None):
-    """Memory-mapped batches of one file: (ids, mask, doc_ids) as arrays in place where the store allows it."""
-    if files is None or isinstance(files, pafs.LocalFileSystem):
-        source = pa.memory_map(path)
-    else:
-        source = files.open_input_file(path)
-    with source, ipc.open_file(source) as reader:
+def batches_of(path: str, files=None):
+    """Record batches of one file, in place where the store allows a memory map."""
+    local = files is None or isinstance(files, pafs.LocalFileSystem)
+    with (pa.memory_map(path) if local else files.open_input_file(path)) as source, ipc.open_file(source) as reader:
         for k in range(reader.num_record_batches):
-            batch = reader.get_batch(k)
-            shape = (batch.num_rows, batch.schema.field("ids").type.list_size)
-            yield (batch.column("ids").flatten().to_numpy().reshape(shape), batch.column("mask").flatten().to_numpy().reshape(shape), batch.column("doc_ids"))
+            yield reader.get_batch(k)
 
 
-def sequence_at(path: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and mask of one sequence of a local file, by its number alone."""
+def sequence_at(path: str, number: int) -> tuple[np.ndarray, pa.Array]:
+    """ids (in place) and mask of one sequence of a local file, by its number alone."""
     with pa.memory_map(path) as source, ipc.open_file(source) as reader:
         batch, row = reader.get_batch(number // BATCH_SEQUENCES), number % BATCH_SEQUENCES
-        return batch.column("ids")[row].values.to_numpy(), batch.column("mask")[row].values.to_numpy()
+        return batch.column("ids")[row].values.to_numpy(), batch.column("mask")[row].values
 
 
 def _reader(folder: str):
@@ -150,11 +144,13 @@ def _reader(folder: str):
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist()):
                 running, size = 0, 0  # of the document that goes on
-                for ids, mask, doc_ids in sequences(f"{root}/{name}", files):
-                    flat, marks = ids.ravel(), mask.ravel()
-                    flat = flat[:np.count_nonzero(marks)]
+                for held in batches_of(f"{root}/{name}", files):
+                    length = held.schema.field("ids").type.list_size
+                    flat = held.column("ids").flatten().to_numpy().astype("<u4")[:held.column("mask").flatten().true_count]
+                    row = np.repeat(np.arange(held.num_rows), np.diff(held.column("ends").offsets.to_numpy()))
+                    ends = held.column("ends").flatten().to_numpy() + row * length
                     out, at = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}, 0
-                    for end, doc in zip((np.flatnonzero(marks == END) + 1).tolist(), doc_ids.flatten().to_pylist(), strict=True):
+                    for end, doc in zip(ends.tolist(), held.column("doc_ids").flatten().to_pylist(), strict=True):
                         running, size = zlib.crc32(flat[at:end], running), size + end - at
                         for key, value in zip(out, (doc, start, size, running)):
                             out[key].append(value)
