@@ -23,6 +23,11 @@ from tallyveil.session import broadcast_checked, cut_lineage
 JITTER = 1e-12  # added to the covariance diagonal
 PRIOR_SD = 10.0
 MAX_PARAMETERS = 5000  # the parameter covariance is a driver-side matrix; a larger workload raises
+WEAK = 4.0  # standard deviations of a count below which its parameter is not drawn from a normal
+GRID = 2401  # points of the density of a weak parameter
+MAX_MOVE = 3.0  # largest change of a parameter in one step
+TOLERANCE = 1e-4  # gain in log density below which a fit stops
+CONVERGED = 1e-3  # gain in log density that a further step may promise
 
 
 @dataclass(frozen=True)
@@ -83,12 +88,12 @@ def statistic_mean(cache: DataFrame, lambdas: Sequence[float], norm: float | Non
 
 
 def _second_moments(cache: DataFrame, lambdas: Sequence[float], z: float, size: int) -> DataFrame:
-    """(i, j, value): model expectation of the product of statistics i and j.
+    """(i, j, value): model expectation of the product of statistics i and j; i = j = size is the total mass.
 
     Each Arrow batch is reduced to one matrix, so nothing but d*d sums is shuffled.
     """
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
+        total, mass = np.zeros((size, size)), 0.0
         for b in batches:
             if not len(b):
                 continue
@@ -96,8 +101,9 @@ def _second_moments(cache: DataFrame, lambdas: Sequence[float], z: float, size:
             x = np.zeros((len(b), size))
             x[np.repeat(np.arange(len(b)), lens), np.concatenate([np.asarray(a, int) for a in b["active"]])] = 1.0
             total += x.T @ (x * b["p"].to_numpy()[:, None])
+            mass += b["p"].sum()
         i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i, "j": j, "value": total[i, j]})
+        yield pd.DataFrame({"i": np.append(i, size), "j": np.append(j, size), "value": np.append(total[i, j], mass)})
 
     weighted = cache.select("active", F.exp(log_weight("active", lambdas) + F.ln("rows") - F.lit(z)).alias("p"))
     parts = weighted.mapInPandas(partial, "i long, j long, value double")
@@ -117,14 +123,19 @@ def statistic_covariance(cache: DataFrame, lambdas: Sequence[float], size: int)
     return out.select("i", "j", (cov + F.when(F.col("i") == F.col("j"), JITTER).otherwise(0.0)).alias("cov"))
 
 
-def moments_np(cache: DataFrame, lambdas: Sequence[float], size: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Normaliser, mean and covariance; only d*d sums come to the driver."""
-    z = lambda0(cache, lambdas)
+def moments_np(cache: DataFrame, lambdas: Sequence[float], size: int, shift: float | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Normaliser, mean and covariance; only d*d sums come to the driver.
+
+    `shift` is a log normaliser known to be near; with it one job does the whole work.
+    """
+    z = lambda0(cache, lambdas) if shift is None else shift
+    got = _second_moments(cache, lambdas, z, size).toArrow()
+    i, j, value = (got.column(c).to_numpy() for c in ("i", "j", "value"))
+    mass = value[i == size].sum()
     second = np.zeros((size, size))
-    for r in _second_moments(cache, lambdas, z, size).collect():
-        second[r["i"], r["j"]] = r["value"]
+    second[i[i < size], j[i < size]] = value[i < size] / mass
     mean = np.diag(second).copy()
-    return z, mean, second - np.outer(mean, mean) + np.eye(size) * JITTER
+    return z + float(np.log(mass)), mean, second - np.outer(mean, mean) + np.eye(size) * JITTER
 
 
 def row_probabilities(spark: SparkSession, model: Model, lambdas: Sequence[float]) -> DataFrame:
@@ -157,62 +168,108 @@ def conjugate_log_density(draws: DataFrame, chi: DataFrame, nu: float, cache: Da
 
 @dataclass
 class Posterior:
-    """Normal approximation of the parameters given noisy counts."""
+    """Parameters given noisy counts: a normal approximation, and what the draws of weakly measured ones need."""
 
     mean: np.ndarray
     precision: np.ndarray
     iterations: int
+    converged: bool
+    shares: np.ndarray  # model means of the statistics at `mean`
+    counts: np.ndarray  # the noisy counts
+    rows: float
+    sigma: float
+    prior_sd: float
+
+    def weak(self) -> np.ndarray:
+        """Which parameters have an expected count within WEAK standard deviations of zero."""
+        spread = np.sqrt(self.sigma ** 2 + self.rows * self.shares * (1 - self.shares))
+        return self.rows * self.shares < WEAK * spread
 
 
 def fit_noise_aware(cache: DataFrame, noisy_counts: Sequence[float], n: float, sigma: float,
-                    prior_sd: float = PRIOR_SD, max_iter: int = 60, tol: float = 1e-6) -> Posterior:
+                    prior_sd: float = PRIOR_SD, max_iter: int = 100, strict: bool = True) -> Posterior:
     """Parameters with prior N(0, prior_sd^2) given counts ~ N(n mean, n cov + sigma^2 I).
 
-    Fisher scoring: executors sum the moments, the driver solves one d*d system per step. The step is
-    halved while it makes the residual worse. The derivative of the covariance is left out.
+    Fisher scoring: executors sum the moments, the driver solves one d*d system per step. The covariance is held
+    during a step, so the step and its line search follow one objective; the curvature of the means is added where it
+    is positive, which keeps steps of nearly empty cells short. Without noise (sigma 0) the likelihood of the
+    exponential family itself is maximised, which is concave. Steps end when one more would gain less than TOLERANCE in
+    log density, a hundredth of a standard deviation. A fit that has not converged raises unless `strict`
+    is off.
     """
     y = np.asarray(noisy_counts, float)
     d = len(y)
     lam, eye = np.zeros(d), np.eye(d)
     rows = cut_lineage(cache)
-
-    def state(at: np.ndarray):
-        _, mean, cov = moments_np(rows, at, d)
+    z, mean, cov = moments_np(rows, lam, d)
+    for step in range(1, max_iter + 1):
         inner = np.linalg.inv(n * cov + (sigma ** 2 + 1e-9) * eye)
         gap = y - n * mean
-        return cov, inner, gap
-
-    cov, inner, gap = state(lam)
-    precision = eye / prior_sd ** 2
-    for step in range(1, max_iter + 1):
+        pull = inner @ gap
         precision = eye / prior_sd ** 2 + n * n * cov @ inner @ cov
-        gradient = -lam / prior_sd ** 2 + n * cov @ inner @ gap
-        move = np.linalg.solve(precision, gradient)
-        scale = 1.0
-        before = gap @ inner @ gap + lam @ lam / prior_sd ** 2
+        gradient = -lam / prior_sd ** 2 + n * cov @ pull
+        bend = np.maximum(0.0, -pull * n * mean * (1 - mean) * (1 - 2 * mean)) * (sigma > 0)
+        move = np.linalg.solve(precision + np.diag(bend), gradient)
+        gain = gradient @ move
+        if gain < TOLERANCE:
+            break
+
+        def loss(at: np.ndarray) -> float:
+            left = y - n * mean
+            return at @ at / prior_sd ** 2 + (left @ inner @ left if sigma > 0 else 2 * (n * z - y @ at))
+
+        before = loss(lam)
+        scale = min(1.0, MAX_MOVE / np.max(np.abs(move)))
         while True:
             trial = lam + scale * move
-            new_cov, new_inner, new_gap = state(trial)
-            after = new_gap @ inner @ new_gap + trial @ trial / prior_sd ** 2
-            if after <= before * (1 + 1e-9) or scale < 1e-3:
+            z, mean, cov = moments_np(rows, trial, d, z)
+            if loss(trial) <= before or scale < 1e-4:
                 break
             scale /= 2
-        lam, cov, inner, gap = trial, new_cov, new_inner, new_gap
-        if np.max(np.abs(scale * move)) < tol:
-            break
-    precision = eye / prior_sd ** 2 + n * n * cov @ inner @ cov
-    return Posterior(lam, precision, step)
+        lam = trial
+    converged = bool(gain < CONVERGED)
+    if strict and not converged:
+        raise RuntimeError(f"the fit has not converged in {step} steps: a further step would gain {gain:.3g}")
+    return Posterior(lam, precision, step, converged, mean, y, float(n), float(sigma), prior_sd)
+
+
+def _weak_quantiles(p: Posterior, which: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Quantiles `u` (draws x parameters) of single parameters, all others held at the fit.
+
+    The share of one statistic follows its own parameter exactly: its log odds move by as much as the parameter.
+    """
+    grid = np.linspace(-6.0, 6.0, GRID) * p.prior_sd
+    out = np.empty_like(u)
+    for k, q in enumerate(which):
+        share = np.clip(p.shares[q], 1e-300, 1 - 1e-12)
+        odds = np.clip(np.log(share) - np.log1p(-share) + grid - p.mean[q], -700, 700)
+        at = 1 / (1 + np.exp(-odds))
+        var = p.sigma ** 2 + p.rows * at * (1 - at) + 1e-9
+        logf = -(grid / p.prior_sd) ** 2 / 2 - (p.counts[q] - p.rows * at) ** 2 / (2 * var) - np.log(var) / 2
+        cdf = np.cumsum(np.exp(logf - logf.max()))
+        out[:, k] = np.interp(u[:, k] * cdf[-1], cdf, grid)
+    return out
 
 
 def posterior_draws(spark: SparkSession, posterior: Posterior, draws: int, seed: int = 0) -> DataFrame:
-    """(draw_id, query_id, lam) of normal draws; each draw is seeded by its own id."""
-    mean = posterior.mean
-    root = np.linalg.inv(np.linalg.cholesky(posterior.precision)).T  # root @ root.T = precision^-1
+    """(draw_id, query_id, lam); each draw is seeded by its own id.
+
+    Well measured parameters are drawn from the normal approximation. The posterior of a weak one, such as that of an
+    empty cell, is far from normal: flat below, a wall above. It is drawn from its own density, given the others.
+    """
+    mean, weak = posterior.mean, np.flatnonzero(posterior.weak())
+    strong = np.setdiff1d(np.arange(len(mean)), weak)
+    root = np.linalg.inv(np.linalg.cholesky(posterior.precision[np.ix_(strong, strong)])).T  # root @ root.T = precision^-1
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in b["id"]:
-                z = np.random.default_rng([seed, int(i)]).standard_normal(len(mean))
-                yield pd.DataFrame({"draw_id": np.full(len(mean), i), "query_id": np.arange(len(mean), dtype=np.int32), "lam": mean + root @ z})
+            sources = [np.random.default_rng([seed, int(i)]) for i in b["id"]]
+            lam = np.tile(mean, (len(b), 1))
+            for row, source in zip(lam, sources):
+                row[strong] += root @ source.standard_normal(len(strong))
+            if len(weak) and len(b):
+                lam[:, weak] = _weak_quantiles(posterior, weak, np.stack([source.random(len(weak)) for source in sources]))
+            for i, row in zip(b["id"], lam):
+                yield pd.DataFrame({"draw_id": np.full(len(mean), i), "query_id": np.arange(len(mean), dtype=np.int32), "lam": row})
 
     return spark.range(draws).mapInPandas(draw, "draw_id long, query_id int, lam double")

@@ -76,15 +76,44 @@ def conditionals(cells: DataFrame, pairs: Sequence[Clique], domain: Domain, tree
     return with_p.withColumn("cum", cum)
 
 
+def project(cells: DataFrame, pairs: Sequence[Clique], domain: Domain, n: float, value: str = "y") -> DataFrame:
+    """Noisy pair counts moved to non-negative ones that sum to n per pair: (clique_id, cell, `value`).
+
+    First the least change that gives all pairs of a column the same counts of it: the precision-weighted mean of what each
+    pair says. Then the nearest table without negative cells, where one level is taken off all cells and the rest is cut;
+    so noise in empty cells is not added up, as it is by clipping.
+    """
+    info = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(domain.size(b)).alias("width")) for a, b in pairs]), F.col("clique_id") + 1)
+    by = W.partitionBy("clique_id")
+    y = F.col(value).cast("double")
+    level = cells.select("clique_id", "cell", (y + (F.lit(float(n)) - F.sum(y).over(by)) / F.count("*").over(by)).alias("x"), info.alias("i"))
+    level = level.select("clique_id", "cell", "x", F.col("i.a").alias("a"), F.col("i.b").alias("b"),
+                         F.call_function("div", F.col("cell"), F.col("i.width")).cast("int").alias("code_a"), (F.col("cell") % F.col("i.width")).cast("int").alias("code_b"))
+    sides = F.explode(F.array(F.struct(F.col("a").alias("col"), F.col("code_a").alias("code")), F.struct(F.col("b").alias("col"), F.col("code_b").alias("code"))))
+    margins = level.select("clique_id", "x", sides.alias("s")).groupBy("clique_id", "s.col", "s.code").agg(F.sum("x").alias("m"), F.count("*").alias("w"))
+    same = W.partitionBy("col", "code")
+    shared = F.sum(F.col("m") / F.col("w")).over(same) / F.sum(F.lit(1.0) / F.col("w")).over(same)
+    shift = margins.select("clique_id", "col", "code", ((shared - F.col("m")) / F.col("w")).alias("shift"))
+    for side in "ab":
+        moves = shift.select("clique_id", F.col("col").alias(side), F.col("code").alias(f"code_{side}"), F.col("shift").alias(f"shift_{side}"))
+        level = level.join(moves, ["clique_id", side, f"code_{side}"])
+    even = level.select("clique_id", "cell", (F.col("x") + F.col("shift_a") + F.col("shift_b")).alias("x"))
+    down = by.orderBy(F.desc("x"), "cell")
+    off = (F.sum("x").over(down.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.lit(float(n))) / F.row_number().over(down)
+    return even.withColumn("off", off).select("clique_id", "cell", F.greatest(F.col("x") - F.max("off").over(by), F.lit(0.0)).alias(value))
+
+
 def perturb(cells: DataFrame, draws: int, sigma: float, value: str = "y", salt: str = "draws") -> DataFrame:
     """Cell tables per draw around the released counts: (draw_id, clique_id, cell, n).
 
-    Each draw adds the release noise and the sampling noise of a cell of n rows, so tables generated
-    from different draws vary as much as the data is uncertain.
+    Each draw has the variance of the release noise and of the sampling noise of a cell of n rows, so tables generated
+    from different draws vary as much as the data is uncertain. The factors are log-normal with mean 1: counts stay
+    non-negative and keep their mean, and an empty cell stays empty.
     """
     many = cells.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     by = W.partitionBy("draw_id", "clique_id")
     base = F.greatest(F.col(value).cast("double"), F.lit(0.0))
-    share = F.try_divide(base, F.sum(base).over(by))
-    spread = F.sqrt(F.lit(sigma * sigma) + base * (1 - F.coalesce(share, F.lit(0.0))))
-    return many.withColumn("n", base + spread * md5_normal(salt, "draw_id", "clique_id", "cell")).select("draw_id", "clique_id", "cell", "n")
+    share = F.coalesce(F.try_divide(base, F.sum(base).over(by)), F.lit(0.0))
+    spread = F.ln(1 + F.try_divide(F.lit(float(sigma * sigma)) + base * (1 - share), base * base))
+    factor = F.exp(F.sqrt(spread) * md5_normal(salt, "draw_id", "clique_id", "cell") - spread / 2)
+    return many.withColumn("n", F.when(base * base > 0, base * factor).otherwise(0.0)).select("draw_id", "clique_id", "cell", "n")

@@ -11,6 +11,8 @@ from tallyveil.operators import maxent as X
 from tallyveil.operators import privacy as D
 from tallyveil.operators import sampling as G
 from tallyveil.operators import treemodel as TM
+from tallyveil.operators.domain import Domain
+from tallyveil.plans import synthesiser as S
 from tallyveil.plans.base import COLUMNS, PAIRS, coded, counted, survey, table
 from tallyveil.plans.counting import CELLS, canonical_sql
 from tallyveil.plans.registry import query
@@ -175,6 +177,25 @@ def m12(spark, sf):
     return cpts.select("col", "parent_code", "code", F.round("p", 8).alias("p"), F.round("cum", 8).alias("cum"))
 
 
+@query("m12_projected_pair_counts", f"""
+WITH {CELLS}, noisy AS (SELECT clique_id, cell, v0, v1, n + 20.0::DOUBLE * {sql_normal('project', 'clique_id', 'cell')} AS y FROM cells),
+level AS (SELECT clique_id, cell, v0, v1, y + ((SELECT count(*) FROM survey) - sum(y) OVER w) / count(*) OVER w AS y FROM noisy WINDOW w AS (PARTITION BY clique_id)),
+names(clique_id, a, b) AS (VALUES {', '.join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(PAIRS))}),
+margins AS (SELECT clique_id, a AS col, v0 AS code, sum(y) AS m, count(*) AS w FROM level JOIN names USING (clique_id) GROUP BY ALL
+ UNION ALL SELECT clique_id, b, v1, sum(y), count(*) FROM level JOIN names USING (clique_id) GROUP BY ALL),
+moves AS (SELECT clique_id, col, code, (sum(m / w) OVER s / sum(1.0::DOUBLE / w) OVER s - m) / w AS d FROM margins WINDOW s AS (PARTITION BY col, code)),
+even AS (SELECT level.clique_id, cell, y + p.d + q.d AS y FROM level JOIN names USING (clique_id)
+ JOIN moves p ON p.clique_id = level.clique_id AND p.col = a AND p.code = v0 JOIN moves q ON q.clique_id = level.clique_id AND q.col = b AND q.code = v1),
+ranked AS (SELECT *, (sum(y) OVER o - (SELECT count(*) FROM survey)) / row_number() OVER o AS off FROM even
+ WINDOW o AS (PARTITION BY clique_id ORDER BY y DESC, cell ROWS UNBOUNDED PRECEDING))
+SELECT clique_id, cell, round(greatest(y - max(off) OVER (PARTITION BY clique_id), 0), 4) + 0.0 AS y FROM ranked""")
+def m12_projected(spark, sf):
+    df, domain = counted(spark, sf)
+    noisy = D.noisy(A.count_all_cells(df, PAIRS, domain, "rows"), "n", 20.0, ["clique_id", "cell"], "y", "project")
+    n = df.agg(F.sum("rows")).first()[0]
+    return TM.project(noisy, PAIRS, domain, n).select("clique_id", "cell", (F.round("y", 4) + 0.0).alias("y"))
+
+
 @query("m13_row_probabilities", f"WITH {ROWS} SELECT status, priority, segment, price, balance, round(p, 9) AS p FROM probs")
 def m13(spark, sf):
     model, values, _, _ = explicit(spark, sf)
@@ -243,6 +264,24 @@ def m18(spark, sf):
     return X.posterior_draws(spark, post, 200)
 
 
+@query("m18_draws_match_release", f"""
+WITH {CELLS} SELECT t.cell AS query_id, true AS close FROM (SELECT CAST(unnest(range(p * p - 1)) AS INT) AS cell FROM (SELECT count(DISTINCT priority) AS p FROM survey)) t""")
+def m18_release(spark, sf):
+    """A pair of equal columns, most cells empty: expected counts averaged over draws are within 4 sigma of the release."""
+    df, domain = counted(spark, sf, ["priority"])
+    domain = Domain.declare({"a": domain.labels["priority"], "b": domain.labels["priority"]})
+    df = df.select(F.col("priority").alias("a"), F.col("priority").alias("b"), "rows")
+    n, sigma = df.agg(F.sum("rows")).first()[0], D.statistic_sigma(1, 1.0, 1e-6)
+    stat = D.release_statistic(df, [("a", "b")], domain, sigma, "sparse", rows="rows")
+    model = X.Model.of(domain, [("a", "b")], stat)
+    cache = X.statistic_cache(X.domain_rows(spark, model))
+    post = X.fit_noise_aware(cache, [r[0] for r in stat.orderBy("query_id").select("y").collect()], n, sigma)
+    cells = S.chain_conditionals(spark, model, X.posterior_draws(spark, post, 50), 50)
+    means = cells.join(X.domain_rows(spark, model).select("cell_id", F.explode("active").alias("query_id")), "cell_id").groupBy("query_id").agg(F.sum("p").alias("mean"))
+    gap = F.abs(F.col("y") - n * F.col("mean") / 50)
+    return stat.join(means, "query_id").select("query_id", (gap <= 4 * F.sqrt(F.lit(sigma ** 2) + F.greatest("y", F.lit(0.0)))).alias("close"))
+
+
 @query("g01_sample_tree", f"""
 WITH {CPTS}, ids AS (SELECT CAST(i // n AS INT) AS dataset_id, i % n AS row_id FROM (SELECT unnest(range(2 * count(*))) AS i, count(*) AS n FROM survey)),
 s1 AS (SELECT ids.*, CAST(len(list_filter(t[:-2], lambda x: x <= {sql_uniform('sample/status', 'dataset_id', 'row_id')})) AS INT) AS status FROM ids, thresholds WHERE col = 'status'),
@@ -256,8 +295,10 @@ def g01(spark, sf):
 
 
 # Three perturbed models, six tables; the noise of each model and the choice of one per table come from keys.
-_BASE = f"""{CELLS}, pert AS (SELECT d AS draw_id, clique_id, v0, v1, n + sqrt(400.0::DOUBLE + n * (1 - n / sum(n) OVER (PARTITION BY d, clique_id))) * {sql_normal('draws', 'd', 'clique_id', 'cell')} AS x
- FROM cells, (SELECT CAST(unnest(range(3)) AS INT) AS d)),
+_BASE = f"""{CELLS}, pert AS (SELECT draw_id, clique_id, v0, v1, CASE WHEN n > 0 THEN n * exp(sqrt(l) * z - l / 2) ELSE 0 END AS x FROM
+ (SELECT d AS draw_id, clique_id, v0, v1, n::DOUBLE AS n, {sql_normal('draws', 'd', 'clique_id', 'cell')} AS z,
+  ln(1 + (400.0::DOUBLE + n * (1 - n / sum(n) OVER (PARTITION BY d, clique_id))) / nullif(n::DOUBLE * n, 0)) AS l
+  FROM cells, (SELECT CAST(unnest(range(3)) AS INT) AS d))),
 pcpt AS (SELECT draw_id, 'status' AS col, 0 AS parent_code, v0 AS code, sum(greatest(x, 0)) AS x FROM pert WHERE clique_id = 0 GROUP BY 1, 4
  UNION ALL SELECT draw_id, 'priority', v0, v1, greatest(x, 0) FROM pert WHERE clique_id = 0),
 pthr AS (SELECT draw_id, col, parent_code, list(cum ORDER BY code) AS t FROM (SELECT draw_id, col, parent_code, code,

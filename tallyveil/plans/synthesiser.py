@@ -19,7 +19,7 @@ from tallyveil.operators.domain import Domain, decode, encode, unrank
 from tallyveil.operators.factors import elimination_order, log_sum_exp
 from tallyveil.operators.marginals import Clique, canonical_count, check_cliques, count_all_cells, encode_counted
 from tallyveil.operators.sampling import code_from, sample_tree
-from tallyveil.session import broadcast_checked
+from tallyveil.session import broadcast_checked, cut_lineage
 from tallyveil.sources.store import load_model, store_model
 
 METHODS = ("tree", "explicit")
@@ -124,6 +124,7 @@ def fit(df: DataFrame, domain: Domain, o: Options = Options(), rows: str | None
     else:
         noisy = D.noisy(counts, "n", plan.sigma, ["clique_id", "cell"], "y", o.salt)
         released = noisy.drop("n") if o.salt is not None else D.release(noisy, ["n"])
+        released = TM.project(released, plan.pairs, domain, n)
     per_draw = TM.perturb(released, o.draws, plan.sigma, salt=f"{o.salt or o.seed}/draws")
     cpts = TM.conditionals(per_draw, plan.pairs, domain, tree, by=["draw_id"])
     return Fitted(cpts, tree, None, domain, plan.pairs, meta)
@@ -137,7 +138,8 @@ def _fit_explicit(coded: DataFrame, domain: Domain, o: Options, plan: Plan, n: i
     y = [r["y"] for r in released.orderBy("query_id").select("y").collect()]
     posterior = X.fit_noise_aware(cache, y, n, plan.sigma)
     lambdas = X.posterior_draws(spark, posterior, o.draws, o.seed)
-    cpts = chain_conditionals(spark, model, lambdas, o.draws)
+    cpts = cut_lineage(chain_conditionals(spark, model, lambdas, o.draws))
+    meta = {**meta, "converged": posterior.converged, "iterations": posterior.iterations}
     return Fitted(cpts, None, lambdas, domain, plan.pairs, meta)
 
 
@@ -146,10 +148,10 @@ def chain_conditionals(spark: SparkSession, model: X.Model, lambdas: DataFrame,
 
     Draws are spread from the domain rows, so both scale out; the parameters of a draw are one small row.
     """
-    vectors = lambdas.groupBy("draw_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "lam"))).alias("lams"))
+    vectors = lambdas.groupBy("draw_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "lam"))), lambda s: s["lam"]).alias("lams"))
     rows = X.domain_rows(spark, model).select("cell_id", "active").withColumn("draw_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    weight = F.aggregate("active", F.lit(0.0), lambda acc, q: acc + F.try_element_at(F.col("lams"), q))
-    weighted = rows.join(broadcast_checked(vectors, draws, 24 * model.size), "draw_id").select("draw_id", "cell_id", weight.alias("logw"))
+    weight = F.aggregate("active", F.lit(0.0), lambda acc, q: acc + F.get("lams", q))
+    weighted = rows.join(broadcast_checked(vectors, draws, 8 * model.size), "draw_id").select("draw_id", "cell_id", weight.alias("logw"))
     z = log_sum_exp(weighted, ["draw_id"], out="z")
     return weighted.join(F.broadcast(z), "draw_id").select("draw_id", "cell_id", F.exp(F.col("logw") - F.col("z")).alias("p"))
 
@@ -200,9 +202,9 @@ def select_measure_generate(df: DataFrame, domain: Domain, epsilon: float, delta
     scores = D.score_dict(D.pair_scores(small, columns, small_domain, ones.collect(), counted))
     pairs = D.spanning_pairs(scores, columns, rho / 3, salt=None if salt is None else f"{salt}/select")
     cells = D.measure(small, pairs, small_domain, math.sqrt(3 / (2 * rho)), salt=None if salt is None else f"{salt}/pairs", rows=counted)
-    tree = TM.Tree.of(pairs, columns)
-    cpts = TM.conditionals(cells, pairs, small_domain, tree, value="y")
     n = max(1, round(ones.select((F.col("y") * F.sqrt("members")).alias("x"), "clique_id").groupBy("clique_id").agg(F.sum("x").alias("s")).agg(F.avg("s")).first()[0]))
+    tree = TM.Tree.of(pairs, columns)
+    cpts = TM.conditionals(TM.project(cells, pairs, small_domain, n), pairs, small_domain, tree, value="y")
     rows = sample_tree(spark, cpts, tree, small_domain, n, 1)
     return decode(D.unmap(rows, lists, "row_id"), domain).select("row_id", *columns)
 
