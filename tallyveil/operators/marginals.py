@@ -104,8 +104,9 @@ def with_codes(cells: DataFrame, cliques: DataFrame) -> DataFrame:
 def codes_of(cell: str, sizes: str) -> Column:
     """array<int> of codes of a cell number, last column fastest."""
     strides = F.transform(sizes, lambda s, i: F.aggregate(F.slice(F.col(sizes), i + 2, F.size(sizes)), F.lit(1).cast("long"), lambda a, b: a * b))
-    return F.transform(F.arrays_zip(strides.alias("st"), F.col(sizes).alias("sz")),
-                       lambda z: (F.call_function("div", F.col(cell), z["st"]) % z["sz"]).cast("int"))
+    numbers = F.array_repeat(F.col(cell), F.size(sizes))  # outside the lambda: there Spark may overlook the column
+    return F.transform(F.arrays_zip(strides.alias("st"), F.col(sizes).alias("sz"), numbers.alias("no")),
+                       lambda z: (F.call_function("div", z["no"], z["st"]) % z["sz"]).cast("int"))
 
 
 def count_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
