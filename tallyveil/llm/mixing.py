@@ -1,12 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Token counts of source x language x topic cells are raked until their margins meet the targets; documents are then sampled
-with probabilities proportional to the raked weight of their cell, so expected tokens have the target margins.
+with the probability of their cell, so that KEEP of all tokens are kept in expectation and have the target margins. A cell
+whose probability would pass 1 is held at 1 and the others are raked anew (bounded calibration); where all tokens of a value
+are fewer than its target, all are kept and the lack is spread over the other values. So a small cell never sets the rate of
+the others.
 
 Values without a target of their own form the class `*`, which gets the share the named targets leave; so the number of cells
-is bounded by the targets, not by the data, and the whole fit is one expression over one row. Targets of values that do not
-occur are spread over those that do. Empty combinations of cells may keep the margins from being met at once; `margin_gap`
-then tells the largest relative miss.
+is bounded by the targets, not by the data, and one task fits them. Targets of values that do not occur are spread over those
+that do. Scarce values and empty combinations of cells may keep the margins from being met; `margin_gap` then tells the
+largest relative miss of a target.
 
 Nulls: null source, language or topic belongs to `*`; a null text has no tokens and the weight of its cell. A null doc_id is
 sampled like the text "null". Repeated rows are sampled alike, since the draw is a hash of doc_id.
@@ -14,11 +17,17 @@ sampled like the text "null". Repeated rows are sampled alike, since the draw is
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OTHER = "*"
-SWEEPS = 60
+KEEP = 0.3  # expected share of the tokens that sampling keeps
+SWEEPS = 1000  # bound where the margins cannot be met at once
+TOLERANCE = 1e-13  # largest change of a cell in a sweep, over the largest cell, that ends the fit
+CLOSE = 1e-9  # largest relative miss of margins that count as met
+GIVE = 0.1  # a factor is the miss of its margin to the power 1 / GIVE at most, where not all can be met
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,54 +56,92 @@ def _shares(targets: dict[str, float]) -> list[float]:
     return [*targets.values(), max(0.0, 1 - sum(targets.values()))]
 
 
-def _doubles(values) -> str:
-    return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
-
-
-def _margin(dim: int, sizes: list[int], of: str) -> str:
-    """Array of the raked margin of one dimension over its own factor; factors are `of`.f0, `of`.f1, `of`.f2."""
-    a, b = [d for d in range(3) if d != dim]
-    strides = [sizes[1] * sizes[2], sizes[2], 1]
-    cell = f"base[i * {strides[dim]} + j * {strides[a]} + k * {strides[b]}]"
-    inner = f"aggregate(sequence(0, {sizes[b] - 1}), 0D, (y, k) -> y + {cell} * {of}.f{b}[k])"
-    return f"transform(sequence(0, {sizes[dim] - 1}), i -> aggregate(sequence(0, {sizes[a] - 1}), 0D, (x, j) -> x + {of}.f{a}[j] * {inner}))"
-
-
-def rake(cells: DataFrame, targets: list[dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
+def _supplied(wanted: np.ndarray, supply: np.ndarray, total: float) -> np.ndarray:
+    """Targets in the proportions of `wanted` with the sum `total`, none above its supply; what some lack is spread over the others."""
+    held = np.zeros(len(wanted))
+    free = (wanted > 0) & (supply > 0)
+    while free.any():
+        scaled = wanted * ((total - held.sum()) / wanted[free].sum())
+        over = free & (scaled >= supply)
+        if not over.any():
+            return np.where(free, scaled, held)
+        held, free = np.where(over, supply, held), free & ~over
+    return held
+
+
+def _factors(base: np.ndarray, ratio: np.ndarray, wanted: np.ndarray, give: float) -> np.ndarray:
+    """For each row of `base` the factor f with sum(base * min(1, f * ratio)) = wanted / f ** give, by bisection of its logarithm."""
+    low, high = np.full(len(base), -80.0), np.full(len(base), 80.0)
+    for _ in range(64):
+        middle = (low + high) / 2
+        f = np.exp(middle)
+        over = (base * np.minimum(1.0, f[:, None] * ratio)).sum(axis=1) * f**give >= wanted
+        low, high = np.where(over, low, middle), np.where(over, middle, high)
+    return np.where(wanted > 0, np.exp(high), 0.0)
+
+
+def _fit(base: np.ndarray, wanted: list[np.ndarray], bounded: bool, sweeps: int, give: float = 0.0) -> np.ndarray:
+    """Multiple of each cell, a product of three factors (at most 1 if `bounded`), that has the wanted margins."""
+    factors, last = [np.ones(n) for n in base.shape], None
+    for _ in range(sweeps):
+        for d in range(3):
+            a, b = [e for e in range(3) if e != d]
+            own, ratio = np.moveaxis(base, d, 0).reshape(base.shape[d], -1), np.outer(factors[a], factors[b]).ravel()
+            if bounded:
+                factors[d] = _factors(own, ratio, wanted[d], give)
+            else:
+                factors[d] = np.divide(wanted[d], own @ ratio, out=np.zeros(len(own)), where=own @ ratio > 0)
+        multiple = np.where(base > 0, np.einsum("i,j,k->ijk", *factors), 0.0)
+        multiple = np.minimum(multiple, 1.0) if bounded else multiple
+        if last is not None and np.abs(multiple - last).max() <= TOLERANCE * multiple.max():
+            break
+        last = multiple
+    return multiple
+
+
+def _margins(cube: np.ndarray) -> list[np.ndarray]:
+    return [cube.sum(axis=tuple(e for e in range(3) if e != d)) for d in range(3)]
+
+
+def _miss(cube: np.ndarray, wanted: list[np.ndarray]) -> float:
+    return max((float((np.abs(m - w)[w > 0] / w[w > 0]).max()) for m, w in zip(_margins(cube), wanted) if (w > 0).any()), default=0.0)
+
+
+def raked(base: np.ndarray, shares: list[np.ndarray], keep: float = KEEP, sweeps: int = SWEEPS):
+    """(weight, probability, largest relative miss of a target) of a cube of token counts.
+
+    Where the cells that occur cannot have all margins at once, factors grow by a bounded power of the miss instead of without
+    end, so that no cell starves another, and are scaled to the kept share.
+    """
+    total, held = base.sum(), _margins(base)
+    wanted = [np.where(h > 0, s, 0.0) for h, s in zip(held, shares)]
+    wanted = [w * (total / w.sum()) if w.sum() > 0 else w for w in wanted]
+    weight, aims = _fit(base, wanted, False, sweeps), [_supplied(w, h, keep * total) for w, h in zip(wanted, held)]
+    probability = _fit(base, aims, True, sweeps)
+    if _miss(base * probability, aims) > CLOSE:
+        soft = _fit(base, aims, True, sweeps, GIVE)
+        scale = _factors(base.reshape(1, -1), soft.ravel(), np.array([min(keep * total, base[soft > 0].sum())]), 0.0)
+        probability = np.minimum(1.0, soft * scale[0])
+    return weight, probability, _miss(base * probability, [keep * w for w in wanted])
+
+
+def rake(cells: DataFrame, targets: list[dict[str, float]], keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
     """cell, weight (raked over observed tokens), probability, margin_gap for each cell that has tokens.
 
-    `cells` has c0, c1, c2 (class indexes) and tokens, at most one row for each combination.
+    `cells` has c0, c1, c2 (class indexes) and tokens, at most one row for each combination; so one task takes them all.
     """
-    sizes = [len(t) + 1 for t in targets]
-    number = f"c0 * {sizes[1] * sizes[2]} + c1 * {sizes[2]} + c2"
-    total = sizes[0] * sizes[1] * sizes[2]
-    entries = F.map_from_entries(F.collect_list(F.struct(F.expr(number).alias("cell"), F.col("tokens").cast("double").alias("t"))))
-    cube = cells.where("tokens > 0").groupBy().agg(entries.alias("held"))
-    cube = _row(cube, f"transform(sequence(0, {total - 1}), i -> coalesce(held[i], 0D)) AS base")
-    ones = "named_struct(" + ", ".join(f"'f{d}', array_repeat(1D, {sizes[d]})" for d in range(3)) + ")"
-    cube = _row(cube, "base", *[f"{_margin(d, sizes, ones)} AS m{d}" for d in range(3)])
-    present = [f"zip_with(m{d}, {_doubles(_shares(targets[d]))}, (m, t) -> IF(m > 0, t, 0D)) AS p{d}" for d in range(3)]
-    cube = _row(cube, "base", "aggregate(base, 0D, (a, v) -> a + v) AS mass", *present)
-    wanted = [f"transform(p{d}, t -> coalesce(try_divide(t, aggregate(p{d}, 0D, (a, v) -> a + v)), 0D) * mass) AS t{d}" for d in range(3)]
-    cube = _row(cube, "base", *wanted)
-
-    def step(d: int) -> str:
-        new = f"zip_with(t{d}, {_margin(d, sizes, 'f')}, (t, m) -> coalesce(try_divide(t, m), 0D))"
-        return "named_struct(" + ", ".join(f"'f{e}', " + (new if e == d else f"f.f{e}") for e in range(3)) + ")"
-
-    fit = f"aggregate(sequence(0, {3 * sweeps - 1}), {ones}, (f, n) -> CASE n % 3 WHEN 0 THEN {step(0)} WHEN 1 THEN {step(1)} ELSE {step(2)} END)"
-    cube = _row(cube, "base", "t0", "t1", "t2", f"{fit} AS f")
-    gaps = [f"aggregate(zip_with(zip_with({_margin(d, sizes, 'f')}, f.f{d}, (m, x) -> m * x), t{d}, (m, t) -> coalesce(try_divide(abs(m - t), t), 0D)), 0D, (a, v) -> greatest(a, v))" for d in range(3)]
-    weight = f"f.f0[int(i / {sizes[1] * sizes[2]})] * f.f1[int(i / {sizes[2]}) % {sizes[1]}] * f.f2[i % {sizes[2]}]"
-    cube = _row(cube, f"greatest({', '.join(gaps)}) AS margin_gap", f"transform(sequence(0, {total - 1}), i -> IF(base[i] > 0, {weight}, 0D)) AS w")
-    return cube.selectExpr("margin_gap", "array_max(w) AS top", "posexplode(w) AS (cell, weight)").selectExpr(
-        "cell", "weight", "coalesce(try_divide(weight, top), 0D) AS probability", "margin_gap").where("weight > 0")
-
-
-def _row(one: DataFrame, *expressions: str) -> DataFrame:
-    """Expressions over a one-row table, each computed once: an aggregation keeps the optimizer from inlining them."""
-    made = one.selectExpr(*expressions)
-    return made.groupBy().agg(*[F.first(c).alias(c) for c in made.columns])
+    sizes, shares = [len(t) + 1 for t in targets], [np.array(_shares(t)) for t in targets]
+
+    def solve(batches):
+        base = np.zeros(sizes)
+        for block in batches:
+            base[tuple(np.array(block.column(c)) for c in ("c0", "c1", "c2"))] = np.array(block.column("tokens"), dtype=float)
+        weight, probability, gap = raked(base, shares, keep, sweeps)
+        at = np.flatnonzero(base.ravel() > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weight.ravel()[at]), pa.array(probability.ravel()[at]), pa.array(np.full(len(at), gap))],
+                                         names=["cell", "weight", "probability", "margin_gap"])
+
+    return cells.where("tokens > 0").repartition(1).mapInArrow(solve, "cell int, weight double, probability double, margin_gap double")
 
 
 def draw(doc_id, seed: int):
@@ -103,7 +150,7 @@ def draw(doc_id, seed: int):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, source: dict[str, float], lang: dict[str, float], topic: dict[str, float] | None = None, topic_of=shape_topic, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, source: dict[str, float], lang: dict[str, float], topic: dict[str, float] | None = None, topic_of=shape_topic, seed: int = 1, keep: float = KEEP) -> DataFrame:
     """Add __topic, __tokens, __weight, __probability, __gap and __sampled to the documents.
 
     Cells without tokens (only empty texts) have weight 0 and are not sampled. The table of cells is bounded by the targets,
@@ -115,13 +162,13 @@ def mix(docs: DataFrame, source: dict[str, float], lang: dict[str, float], topic
     n1, n2 = len(targets[1]) + 1, len(targets[2]) + 1
     classes = [class_index(F.col(c), t) for c, t in zip(("source", "lang", "__topic"), targets)]
     cells = counted.groupBy(*[c.alias(f"c{d}") for d, c in enumerate(classes)]).agg(F.sum("__tokens").alias("tokens"))
-    raked = rake(cells, targets).select(F.col("cell").alias("__cell"), F.col("weight").alias("__weight"), F.col("probability").alias("__probability"), F.col("margin_gap").alias("__gap"))
+    fitted = rake(cells, targets, keep).select(F.col("cell").alias("__cell"), F.col("weight").alias("__weight"), F.col("probability").alias("__probability"), F.col("margin_gap").alias("__gap"))
     placed = counted.withColumn("__cell", classes[0] * (n1 * n2) + classes[1] * n2 + classes[2])
-    joined = placed.join(F.broadcast(raked), "__cell", "left").drop("__cell")
+    joined = placed.join(F.broadcast(fitted), "__cell", "left").drop("__cell")
     known = joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("__weight", "__probability", "__gap")})
     return known.withColumn("__sampled", draw(F.col("doc_id"), seed) < F.col("__probability"))
 
 
-def sample(docs: DataFrame, source: dict[str, float], lang: dict[str, float], topic: dict[str, float] | None = None, topic_of=shape_topic, seed: int = 1) -> DataFrame:
+def sample(docs: DataFrame, source: dict[str, float], lang: dict[str, float], topic: dict[str, float] | None = None, topic_of=shape_topic, seed: int = 1, keep: float = KEEP) -> DataFrame:
     """The sampled documents, with all their columns."""
-    return mix(docs, source, lang, topic, topic_of, seed).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, source, lang, topic, topic_of, seed, keep).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
