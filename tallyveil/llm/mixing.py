@@ -6,10 +6,10 @@ whose probability would pass 1 is held at 1 and the others are raked anew (bound
 are fewer than its target, all are kept and the lack is spread over the other values. So a small cell never sets the rate of
 the others.
 
-Values without a target of their own form the class `*`, which gets the share the named targets leave; so the number of cells
-is bounded by the targets, not by the data, and one task fits them. Targets of values that do not occur are spread over those
-that do. Scarce values and empty combinations of cells may keep the margins from being met; `margin_gap` then tells the
-largest relative miss of a target.
+Values without a target of their own form the class `*`, which gets the share the named targets leave, or its share of the
+observed tokens where they leave none (the named targets then share the rest). So the number of cells is bounded by the
+targets, not by the data, and one task fits them. Targets of values that do not occur are spread over those that do. Scarce values
+and empty combinations of cells may keep the margins from being met; `margin_gap` then tells the largest relative miss.
 
 Nulls: null source, language or topic belongs to `*`; a null text has no tokens and the weight of its cell. A null doc_id is
 sampled like the text "null". Repeated rows are sampled alike, since the draw is a hash of doc_id.
@@ -56,6 +56,14 @@ def _shares(targets: dict[str, float]) -> list[float]:
     return [*targets.values(), max(0.0, 1 - sum(targets.values()))]
 
 
+def _with_unnamed(shares: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Shares in which the last class has its observed share, if the named targets leave it none."""
+    if shares[-1] > 1e-9 or held[-1] == 0:
+        return shares
+    own = held[-1] / held.sum()
+    return np.append(shares[:-1] * (1 - own), own)
+
+
 def _supplied(wanted: np.ndarray, supply: np.ndarray, total: float) -> np.ndarray:
     """Targets in the proportions of `wanted` with the sum `total`, none above its supply; what some lack is spread over the others."""
     held = np.zeros(len(wanted))
@@ -114,6 +122,7 @@ def raked(base: np.ndarray, shares: list[np.ndarray], keep: float = KEEP, sweeps
     end, so that no cell starves another, and are scaled to the kept share.
     """
     total, held = base.sum(), _margins(base)
+    shares = [_with_unnamed(s, h) for s, h in zip(shares, held)]
     wanted = [np.where(h > 0, s, 0.0) for h, s in zip(held, shares)]
     wanted = [w * (total / w.sum()) if w.sum() > 0 else w for w in wanted]
     weight, aims = _fit(base, wanted, False, sweeps), [_supplied(w, h, keep * total) for w, h in zip(wanted, held)]

@@ -35,7 +35,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# Target shares of tokens; what the named values leave goes to all others together.
+# Target shares of tokens; what the named values leave goes to all others together. Where that is nothing, the others keep
+# their observed share.
 SOURCE_SHARES = {f"src{i}": 0.05 for i in range(20)}
 LANG_SHARES = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
 TOPIC_SHARES = {"prose": 0.55, "long": 0.44}
