@@ -1,10 +1,13 @@
 """Personal data: fixed base patterns, and further spans by gradient-boosted candidates.
 
 Loose generators propose overlapping candidates of each kind. Boosted trees score a candidate from its format and the words
-around it; what decides the base patterns (check digits, number ranges) is no feature, so look-alikes in a telling context
-score high. Trees are fitted on a bounded sample of documents, with the base patterns as labels. Half of the sample is held
-out; on it each kind gets the lowest threshold above which PRECISION of the candidates are base spans. Candidates over the
-threshold join the base spans, best first, where they overlap nothing taken. Base spans always stay.
+around it. Positive examples are base spans in their place with their format altered (VARIANTS); negative ones are candidates
+beside all base spans that no word of their kind tells of. So what is learned is the look of a span that the base patterns
+miss. Trees are fitted on a bounded sample of documents, one model for each half of the documents, and each document is scored
+by the trees of the other half. Each kind's threshold comes from counts of scores over all documents: the lowest one at which
+altered spans are PRECISION of what passes, were both labels equally frequent; so it does not depend on how rare a kind is.
+A kind without base spans takes the threshold of all kinds together. Candidates over the threshold join the base spans, best
+first, where they overlap nothing taken. Base spans always stay.
 
 Offsets are code points, ends exclusive. Nulls: a null text has no spans; a null doc_id stays. Repeated rows get equal results.
 """
@@ -38,9 +41,9 @@ _LOOSE = {
     "phone": re.compile(r"\+?[(0-9][\x20()./0-9-]{6,20}[0-9]"),
 }
 SAMPLE_DOCS = 40_000  # bound of the documents that the trees are fitted on
-SAMPLE_CANDIDATES = 40_000
+SAMPLE_CANDIDATES = 40_000  # bound of the examples that the trees are fitted on, in expectation
 PRECISION = 0.95
-LEAST_HELD = 20  # base spans of a kind in the held-out half, without which nothing of the kind is added
+BINS = 1000  # of scores, for thresholds
 # Words that tell a kind, in several languages: fixed values.
 HINTS = {
     "email": ("mail", "contact", "write", "correo"),
@@ -48,6 +51,13 @@ HINTS = {
     "card": ("card", "visa", "karte", "carte", "tarjeta", "account"),
     "phone": ("tel", "phone", "call", "mobile", "fax", "anruf"),
 }
+# Formats in which a base span is written by people who evade its pattern, or have not heard of it.
+VARIANTS = {
+    "email": (lambda t: t.replace("@", " [at] ").replace(".", " [dot] "), lambda t: t.replace("@", "(at)"), lambda t: t.replace("@", " (at) ").replace(".", "(dot)")),
+    "ip": (lambda t: t.replace(".", ":"),),
+    "card": (lambda t: re.sub(r"[\x20-]", "", t), lambda t: ".".join(re.findall("[0-9]{1,4}", re.sub("[^0-9]", "", t))), lambda t: re.sub(r"[\x20]", "-", t)),
+    "phone": (lambda t: t[1:], lambda t: re.sub(r"^\+[0-9]{1,3}[\x20.-]+", "", t), lambda t: re.sub(r"[\x20.-]+", "/", t[1:]), lambda t: "00" + t[1:]),
+}
 FEATURES = 18
 _MARKED = np.isin(np.arange(256), [ord(c) for c in "0123456789@["])
 _MARKED[ord("(")] = True
@@ -133,49 +143,140 @@ def _texts(block: pa.RecordBatch):
         yield r, data[offsets[r]:offsets[r + 1]].tobytes().decode()
 
 
+def _beside(c: tuple[int, int, int], known) -> bool:
+    return not any(s < c[2] and c[0] < e for s, _, e in known)
+
+
+def _told(text: str, c: tuple[int, int, int], known) -> bool:
+    """Whether a word of its kind stands before a candidate, with no base span between."""
+    begin = max([c[0] - 40, 0, *[e for _, _, e in known if e <= c[0]]])
+    before = text[begin:c[0]].lower()
+    return any(h in before for h in HINTS[KINDS[c[1]]])
+
+
+def examples(text: str):
+    """(kind, start, label, features) of altered base spans and of untold candidates beside base spans."""
+    known = base_spans(text)
+    for s, k, e in known:
+        for change in VARIANTS[KINDS[k]]:
+            span = change(text[s:e])
+            if span == text[s:e]:
+                continue
+            near = text[max(0, s - 40):s]
+            yield k, s, True, features(near + span + text[e:e + 1], len(near), k, len(near) + len(span))
+    for c in candidates(text):
+        if _beside(c, known) and not _told(text, c, known):
+            yield c[1], c[0], False, features(text, *c)
+
+
 def _feature_task(batches):
     for block in text_blocks(batches):
-        rows, kind, label, half = [], [], [], []
-        parts = block.column("half").to_pylist()
+        x, kind, start, label, half, at = [], [], [], [], [], []
+        halves, ids = block.column("half").to_pylist(), block.column("at").to_pylist()
         for r, text in _texts(block):
-            known = set(base_spans(text))
-            for c in candidates(text):
-                rows += features(text, *c)
-                kind.append(c[1])
-                label.append(c in known)
-                half.append(parts[r])
+            for k, s, y, row in examples(text):
+                x += row
+                kind.append(k)
+                start.append(s)
+                label.append(y)
+                half.append(halves[r])
+                at.append(ids[r])
         if label:
             offsets = pa.array(np.arange(len(label) + 1, dtype=np.int32) * FEATURES)
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(label), pa.array(half, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(rows, pa.float64()))],
-                                             names=["kind", "label", "half", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(kind, pa.int32()), pa.array(start, pa.int32()), pa.array(label), pa.array(half, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(x, pa.float64()))],
+                                             names=["at", "kind", "start", "label", "half", "x"])
+
+
+def _bins(score: np.ndarray) -> np.ndarray:
+    return np.minimum((score * BINS).astype(np.int64), BINS - 1)
+
+
+def _count_task(models):
+    """Numbers of examples by kind, label and bin of the score."""
+    def run(batches):
+        for block in text_blocks(batches):
+            counts = np.zeros((len(KINDS), 2, BINS), np.int64)
+            halves = block.column("half").to_pylist()
+            x, kind, label, half = [], [], [], []
+            for r, text in _texts(block):
+                for k, _, y, row in examples(text):
+                    x.append(row)
+                    kind.append(k)
+                    label.append(int(y))
+                    half.append(halves[r])
+            if x:
+                np.add.at(counts, (kind, label, _bins(_score(models, np.array(x), np.array(half)))), 1)
+                at = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays([*[pa.array(a.astype(np.int32)) for a in at], pa.array(counts[at])], names=["kind", "label", "bin", "n"])
+
+    return run
+
+
+def _score(models, x: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Scores by the trees of the other half, as if both labels of the kind were equally frequent among their examples."""
+    score = np.zeros(len(x))
+    for h in (0, 1):
+        if (half == h).any():
+            trees, share = models[1 - h]
+            p, q = trees.probability(x[half == h]), share[x[half == h, 0].astype(np.int64)]
+            score[half == h] = p * (1 - q) / (p * (1 - q) + (1 - p) * q)
+    return score
+
+
+def _trained(x: np.ndarray, y: np.ndarray):
+    """Trees, and the share of positives of each kind they saw; None without both labels."""
+    if not 0 < y.sum() < len(y):
+        return None
+    kind = x[:, 0].astype(np.int64)
+    return fit(x, y), (np.bincount(kind, y, len(KINDS)) + 1) / (np.bincount(kind, minlength=len(KINDS)) + 2)
+
+
+def threshold(counts: np.ndarray) -> int | None:
+    """Lowest bin, of the upper half, from which on positives are PRECISION of the passing, both labels given equal mass.
+
+    None without positives.
+    """
+    if not counts[1].sum():
+        return None
+    false, true = [np.cumsum(c[::-1])[::-1] / max(1, c.sum()) for c in counts]
+    good = (true > 0) & (true >= PRECISION * (true + false)) & (np.arange(BINS) >= BINS // 2)
+    return int(np.flatnonzero(good)[0]) if good.any() else BINS
+
+
+def _halves(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"half": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"), "at": F.xxhash64("doc_id")})
 
 
 def fit_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
-    """(trees, threshold of each kind), or None where the sample has no candidates of both labels.
+    """(trees and shares of each half, lowest passing bin of each kind), or None where no half has examples of both labels.
 
-    The sample is chosen by a hash of doc_id and bounded by `sample_docs` (in expectation) and SAMPLE_CANDIDATES.
+    The trees' sample is chosen by hashes of doc_id and place and bounded by `sample_docs` and SAMPLE_CANDIDATES, in
+    expectation. Thresholds are counted over all documents.
     """
     every = max(1, -(-docs.count() // sample_docs))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
-    got = chosen.mapInArrow(_feature_task, "kind int, label boolean, half int, x array<double>").limit(SAMPLE_CANDIDATES).toArrow()
+    keyed = _halves(docs.select("doc_id", "text"))
+    chosen = keyed.where(F.pmod("at", F.lit(every)) == 0).select("text", "half", "at")
+    found = chosen.mapInArrow(_feature_task, "at long, kind int, start int, label boolean, half int, x array<double>")
+    share = SAMPLE_CANDIDATES / max(1, found.count())
+    if share < 1:
+        found = found.where(F.pmod(F.xxhash64("at", "start", "kind"), F.lit(1_000_000)) < int(share * 1_000_000))
+    got = found.toArrow()
     if not got.num_rows:
         return None
-    x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, FEATURES)
-    order = np.lexsort(x.T)  # rows arrive in any order
-    x, y, half, kind = x[order], np.array(got["label"])[order].astype(float), np.array(got["half"])[order], np.array(got["kind"])[order]
-    if not 0 < y[half == 0].sum() < (half == 0).sum():
+    x, y = np.array(got["x"].combine_chunks().flatten()).reshape(-1, FEATURES), np.array(got["label"]).astype(float)
+    order = np.lexsort([y, *x.T])  # rows arrive in any order
+    x, y, half = x[order], y[order], np.array(got["half"])[order]
+    models = [_trained(x[half == h], y[half == h]) for h in (0, 1)]
+    if models == [None, None]:
         return None
-    trees = fit(x[half == 0], y[half == 0])
-    held, score = half == 1, trees.probability(x)
-    thresholds = []
-    for k in range(len(KINDS)):
-        own = held & (kind == k)
-        rank = np.argsort(-score[own], kind="stable")
-        values, hits = score[own][rank], np.cumsum(y[own][rank])
-        close = np.append(values[1:] != values[:-1], True) if len(values) else np.zeros(0, bool)  # equal scores stand or fall together
-        good = close & (hits / np.arange(1, len(values) + 1) >= PRECISION) & (hits >= LEAST_HELD)
-        thresholds.append(float(values[np.flatnonzero(good)[-1]]) if good.any() else float("inf"))
-    return trees, thresholds
+    models = [m or models[1 - h] for h, m in enumerate(models)]
+    summed = keyed.select("text", "half").mapInArrow(_count_task(models), "kind int, label int, bin int, n long").groupBy("kind", "label", "bin").agg(F.sum("n")).collect()
+    counts = np.zeros((len(KINDS), 2, BINS), np.int64)
+    for k, label, place, n in summed:
+        counts[k, label, place] = n
+    lowest = [threshold(c) for c in counts]
+    together = threshold(counts.sum(axis=0))
+    return models, [(BINS if together is None else together) if t is None else t for t in lowest]
 
 
 def _shown(spans) -> str:
@@ -187,7 +288,7 @@ def _find_task(fitted):
         for block in text_blocks(batches):
             n = block.num_rows
             counts, base, spans = np.zeros((n, len(KINDS)), np.int64), [""] * n, [""] * n
-            rows, places, texts = [], [], {}
+            rows, places, texts, halves = [], [], {}, np.array(block.column("half"))
             for r, text in _texts(block):
                 known = base_spans(text)
                 for _, k, _ in known:
@@ -196,16 +297,17 @@ def _find_task(fitted):
                 texts[r] = known
                 if fitted is not None:
                     for c in candidates(text):
-                        if not any(s < c[2] and c[0] < e for s, _, e in known):
+                        if _beside(c, known):
                             rows.append(features(text, *c))
                             places.append((r, c))
             if rows:
-                score = fitted[0].probability(np.array(rows))
+                score = _score(fitted[0], np.array(rows), halves[[r for r, _ in places]])
+                place = _bins(score)
                 added: dict[int, list] = {}
                 for i in np.argsort(-score, kind="stable").tolist():
                     r, c = places[i]
                     taken = added.setdefault(r, [])
-                    if score[i] >= fitted[1][c[1]] and not any(s < c[2] and c[0] < e for s, _, e in taken):
+                    if place[i] >= fitted[1][c[1]] and _beside(c, taken):
                         taken.append(c)
                 for r, more in added.items():
                     if more:
@@ -221,7 +323,7 @@ def find(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, numbers of base spans, base_sha256 and all spans of each row."""
     model = fit_model(docs, sample_docs)  # a few thousand numbers, shipped with the task
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_find_task(model), f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return _halves(docs.select("doc_id", "text")).mapInArrow(_find_task(model), f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def redact(text: str, spans: str) -> str:
