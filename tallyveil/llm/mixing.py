@@ -8,7 +8,7 @@ the others.
 
 Values without a target of their own form the class `*`, which gets the share the named targets leave, or its share of the
 observed tokens where they leave none (the named targets then share the rest). So the number of cells is bounded by the
-targets, not by the data, and one task fits them. Targets of values that do not occur are spread over those that do. Scarce values
+targets, not by the data, and the driver fits them. Targets of values that do not occur are spread over those that do. Scarce values
 and empty combinations of cells may keep the margins from being met; `margin_gap` then tells the largest relative miss.
 
 Nulls: null source, language or topic belongs to `*`; a null text has no tokens and the weight of its cell. A null doc_id is
@@ -18,7 +18,6 @@ sampled like the text "null". Repeated rows are sampled alike, since the draw is
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,20 +136,16 @@ def raked(base: np.ndarray, shares: list[np.ndarray], keep: float = KEEP, sweeps
 def rake(cells: DataFrame, targets: list[dict[str, float]], keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
     """cell, weight (raked over observed tokens), probability, margin_gap for each cell that has tokens.
 
-    `cells` has c0, c1, c2 (class indexes) and tokens, at most one row for each combination; so one task takes them all.
+    `cells` has c0, c1, c2 (class indexes) and tokens, at most one row for each combination; they are few enough for the
+    driver, which fits them here and hands the result out as literals.
     """
-    sizes, shares = [len(t) + 1 for t in targets], [np.array(_shares(t)) for t in targets]
-
-    def solve(batches):
-        base = np.zeros(sizes)
-        for block in batches:
-            base[tuple(np.array(block.column(c)) for c in ("c0", "c1", "c2"))] = np.array(block.column("tokens"), dtype=float)
-        weight, probability, gap = raked(base, shares, keep, sweeps)
-        at = np.flatnonzero(base.ravel() > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weight.ravel()[at]), pa.array(probability.ravel()[at]), pa.array(np.full(len(at), gap))],
-                                         names=["cell", "weight", "probability", "margin_gap"])
-
-    return cells.where("tokens > 0").repartition(1).mapInArrow(solve, "cell int, weight double, probability double, margin_gap double")
+    base, shares = np.zeros([len(t) + 1 for t in targets]), [np.array(_shares(t)) for t in targets]
+    for c0, c1, c2, tokens in cells.select("c0", "c1", "c2", "tokens").where("tokens > 0").collect():
+        base[c0, c1, c2] = tokens
+    weight, probability, gap = raked(base, shares, keep, sweeps)
+    rows = [(int(i), weight.flat[i], probability.flat[i]) for i in np.flatnonzero(base)]
+    values = ", ".join(f"({i}, {float(w)!r}D, {float(p)!r}D, {gap!r}D)" for i, w, p in [*rows, (-1, 0.0, 0.0)])
+    return cells.sparkSession.sql(f"SELECT * FROM VALUES {values} AS raked(cell, weight, probability, margin_gap) WHERE cell >= 0")
 
 
 def draw(doc_id, seed: int):
