@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.llm import arrow_stream, line_dedup, lsh_forest, merkle, mixing, packing, pii, quality, suffix_dedup, url_trust
+from tallyveil.llm import arrow_stream, importance, line_dedup, lsh_forest, merkle, mixing, packing, pii, quality, suffix_dedup, url_trust
 from tallyveil.llm.common import table
 from tallyveil.session import scratch_path
 
@@ -120,3 +120,8 @@ def op3(spark, sf_dir):
 @query("op5_pii_boosting")
 def op5(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op13_importance_resampling")
+def op13(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
