@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.llm import arrow_stream, importance, line_dedup, lsh_forest, merkle, mixing, packing, pii, quality, suffix_dedup, url_trust
+from tallyveil.llm import arrow_stream, conversations, importance, line_dedup, lsh_forest, merkle, mixing, packing, pii, quality, suffix_dedup, url_trust
 from tallyveil.llm.common import table
 from tallyveil.session import scratch_path
 
@@ -125,3 +125,9 @@ def op5(spark, sf_dir):
 @query("op13_importance_resampling")
 def op13(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_conversation_repair")
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(rows, conversations.damage(rows))
