@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.llm import arrow_stream, conversations, importance, line_dedup, lsh_forest, merkle, mixing, packing, pii, quality, suffix_dedup, url_trust
+from tallyveil.llm import arrow_stream, conversations, html_extract, importance, line_dedup, lsh_forest, merkle, mixing, packing, pii, quality, suffix_dedup, url_trust
 from tallyveil.llm.common import table
 from tallyveil.session import scratch_path
 
@@ -131,3 +131,8 @@ def op13(spark, sf_dir):
 def op11(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return conversations.repair(rows, conversations.damage(rows))
+
+
+@query("op12_html_extraction")
+def op12(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
