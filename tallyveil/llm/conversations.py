@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +184,8 @@ def sequence_facts(rows: DataFrame) -> DataFrame:
 _CHUNK_KIND = "{0}, part int, piece int, symbols binary, blank long, duplicate long, truncated long, illegal long"
 
 
-def _chunk_task(batches):
-    """Chunks of the sorted rows of this task: runs of at most CHUNK symbols of one conversation."""
+def _chunk_task(batches, chunk: int = CHUNK):
+    """Chunks of the sorted rows of this task: runs of at most `chunk` symbols of one conversation."""
     part, pieces = TaskContext.get().partitionId(), itertools.count()
     tail, held = None, np.zeros(0, np.uint8)
     kind = None
@@ -225,10 +226,10 @@ def _chunk_task(batches):
             elif tail is not None:
                 whose.append(tail[0])
                 runs.append(held)
-            while len(some) > CHUNK:
+            while len(some) > chunk:
                 whose.append(ids[a])
-                runs.append(some[:CHUNK])
-                some = some[CHUNK:]
+                runs.append(some[:chunk])
+                some = some[chunk:]
             tail, held = (ids[a],), some
         if runs:
             yield packed(whose, runs)
@@ -236,14 +237,14 @@ def _chunk_task(batches):
         yield packed([tail[0]], [held])
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
+def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
     """Numbered chunks of all conversations: conv_id, place (0, 1, ...), last, symbols and counts of faults."""
     spark, facts = rows.sparkSession, saved(sequence_facts(rows), "turn-symbols")
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("digest")]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), facts.count() // 500_000)
     ranged = facts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("conv_id", "fault", "initial", "n", "again")
     kind = f"conv_id {rows.select('conv_id').schema[0].dataType.simpleString()}"
-    cut = saved(ranged.mapInArrow(_chunk_task, _CHUNK_KIND.format(kind)), "turn-chunks")
+    cut = saved(ranged.mapInArrow(partial(_chunk_task, chunk=chunk), _CHUNK_KIND.format(kind)), "turn-chunks")
     # a conversation has one row here for each task that met it
     held = cut.groupBy("conv_id", "part").agg(F.count("*").alias("held"), F.min("piece").alias("low"))
     line = W.partitionBy("conv_id").orderBy("part")
@@ -349,9 +350,9 @@ def _entries(exits: DataFrame) -> DataFrame:
     return exits.drop("exits").join(after, _same("conv_id", "__c") & (F.col("place") == F.col("__p")), "left").drop("__c", "__p").withColumn("entry", F.coalesce("entry", F.lit(0)))
 
 
-def edits(rows: DataFrame) -> DataFrame:
+def edits(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Edit letters of each chunk of the given rows: conv_id, place, letters, spent and counts of faults."""
-    chunks = _chunks(rows)
+    chunks = _chunks(rows, chunk)
     begun = saved(chunks.mapInArrow(_speculate_task, _extended(chunks, end="array<long>", start="array<long>")), "turn-costs")
     long = converge(begun.where("chunks > 1"))
     exits = saved(long.mapInArrow(_exit_task, _extended(long, exits="array<long>")), "turn-exits")
@@ -441,13 +442,13 @@ def _repair_task(batches):
         yield out()
 
 
-def repair(original: DataFrame, rows: DataFrame) -> DataFrame:
+def repair(original: DataFrame, rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Every conv_id of `original` with the faults of `rows`, the cheapest edits, and the hash of the repaired conversation."""
     kind = original.select("conv_id").schema[0].dataType.simpleString()
     turn = rows.select("turn").schema[0].dataType.simpleString()
     none = original.select("conv_id").distinct().select(
         "conv_id", F.lit(-1).cast("long").alias("place"), F.lit(b"").alias("letters"), *[F.lit(0).cast("long").alias(c) for c in _COUNTS])
-    heads = none.unionByName(edits(rows).select("conv_id", F.col("place").cast("long"), "letters", *_COUNTS)).select(
+    heads = none.unionByName(edits(rows, chunk).select("conv_id", F.col("place").cast("long"), "letters", *_COUNTS)).select(
         "conv_id", F.lit(False).alias("row"), "place", F.lit(None).cast(turn).alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "letters", *_COUNTS)
     texts = rows.select("conv_id", F.lit(True).alias("row"), F.lit(0).cast("long").alias("place"), "turn", "role", "text", F.lit(None).cast("binary").alias("letters"),
                         *[F.lit(None).cast("long").alias(c) for c in _COUNTS])
