@@ -1,33 +1,41 @@
 """MinHash near-duplicates with an LSH forest: every document is a leaf of TREES sorted signature orders.
 
 A tree orders documents by its own sequence of MinHash values. Documents that share the first DEPTH values form a region; its
-candidates are neighbours in the order, which have the longest common prefixes, and each member with the region's smallest id.
-Where a region is dense, the order is read at twice the depth, so windows stay small. Candidates are confirmed on full
-shingle sets. Regions that still hold more than one component after that are open: there all pairs of different components
-are compared, found by the rarest quarter of their shingles, which any two sets of that similarity share. So no number of
-partners is capped; what can be missed are links whose documents meet in no tree, at the threshold 5 in a million.
+candidates are the WINDOW neighbours before each in the order, which have the longest common prefixes, and each member with
+the region's smallest id. Where a region is dense, neighbours must share twice the depth, so that a region of copies with small
+edits is not compared all over. All orders are one range-partitioned sort, read as a stream: a region of any size is spread
+over tasks, and what meets at the border of two tasks is compared in a small pass over the border rows. Candidates are
+confirmed on full shingle sets. Regions with more than WINDOW + 1 members that still hold more than one component after that
+are open: there all pairs of different components are compared, found by the rarest quarter of their shingles, which any two
+sets of that similarity share. So no number of partners is capped; what can be missed are links whose documents meet in no
+tree, at the threshold 5 in a million.
 
 Copies of a shingle set are one leaf. A null text or one without words is linked with nothing. A row with a null doc_id is
-linked with nothing and is its own. Rows that share a doc_id get the component of their own text.
+linked with nothing and is its own. Rows that share a doc_id get the component of their own text. Ties have no effect: groups
+are named by their smallest id. An empty table gives an empty result; texts of any length are hashed whole, one block for a
+long text. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyveil.llm.blocks import LOWER, SEED, byte_hashes, mix, text_blocks, utf8, words
-from tallyveil.llm.common import saved
+from tallyveil.llm.common import discard, saved
 from tallyveil.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 TREES = 32
 DEPTH = 4  # MinHash values that leaves of a region share; DEPTH / 2 longs
-DENSE = 64  # members above which a region is read at twice the depth
+DENSE = 64  # members of a region after which neighbours must share twice the depth
+WINDOW = 3  # neighbours before a leaf that are candidates
+TASK_LEAVES = 2_000_000
 _RNG = np.random.default_rng(20240229)
 _FACTORS = (_RNG.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -88,7 +96,74 @@ def _leaves(reps: DataFrame) -> DataFrame:
 
     leaf = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
         F.xxhash64(t, *[at(t, k) for k in range(half)]).alias("region"), at(t, half).alias("deeper")))
-    return reps.select("rep", F.explode(leaf).alias("leaf")).select("rep", "leaf.region", "leaf.deeper")
+    return reps.select("rep", F.explode(leaf).alias("leaf")).select("leaf.region", "leaf.deeper", "rep")
+
+
+def _neighbour_task(batches):
+    """Regions of several leaves in a sorted run: a row (region, rep, null) for each member, and one for each neighbour before it.
+
+    Rows at the start and end of the task come again with `edge` set.
+    """
+    held, behind, edge, kind = None, 0, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.schema
+        if len(edge) < WINDOW:
+            edge.append(batch.slice(0, WINDOW))
+        rows = pa.concat_batches([held, batch]) if held is not None else batch
+        old = held.num_rows if held is not None else 0
+        region, deeper = rows.column("region").to_numpy(), rows.column("deeper").to_numpy()
+        rep = rows.column("rep")
+        code = pc.fill_null(rep.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        n = len(region)
+        starts = np.ones(n, bool)
+        starts[1:] = region[1:] != region[:-1]
+        place = np.arange(n) - np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+        first_run = np.cumsum(starts) == 1
+        place[first_run] += behind  # members of the first run that came before what is held
+        whose, who, beside = [], [], []
+        new = np.arange(n) >= old
+        second = np.flatnonzero(new & (place == 1))
+        second = second[second > 0]
+        members = np.concatenate([second - 1, np.flatnonzero(new & (place > 0))])
+        whose.append(region[members])
+        who.append(members)
+        beside.append(np.full(len(members), -1))
+        for k in range(1, WINDOW + 1):
+            i = np.arange(max(old, k), n)
+            near = (region[i] == region[i - k]) & (code[i] != code[i - k]) & ((place[i] < DENSE) | (deeper[i] == deeper[i - k]))
+            i = i[near]
+            whose.append(region[i])
+            who.append(i)
+            beside.append(i - k)
+        who, beside = np.concatenate(who), np.concatenate(beside)
+        if len(who):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(whose)), rep.take(pa.array(who)), rep.take(pa.array(np.where(beside < 0, 0, beside), mask=beside < 0)),
+                 pa.nulls(len(who), pa.int64()), pa.array(np.zeros(len(who), bool))], names=["region", "rep", "beside", "deeper", "edge"])
+        keep = min(WINDOW, n)
+        behind = int(place[n - keep]) if n else 0
+        held = rows.slice(n - keep, keep)
+    if held is not None:
+        for some in [*edge, held]:
+            yield pa.RecordBatch.from_arrays([some.column("region"), some.column("rep"), pa.nulls(some.num_rows, kind.field("rep").type), some.column("deeper"), pa.array(np.ones(some.num_rows, bool))],
+                                             names=["region", "rep", "beside", "deeper", "edge"])
+
+
+def neighbours(leaves: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Members of regions (region, rep), and pairs of neighbours (region, rep, beside), of all sorted orders."""
+    kind = leaves.select("rep").schema[0].dataType.simpleString()
+    shape = f"region long, rep {kind}, beside {kind}, deeper long, edge boolean"
+    parts = max(int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * TREES // TASK_LEAVES)
+    ordered = leaves.repartitionByRange(parts, "region", "deeper", "rep").sortWithinPartitions("region", "deeper", "rep")
+    found = saved(ordered.select("region", "deeper", "rep").mapInArrow(_neighbour_task, shape), "regions")
+    # a few rows of each task, in one order: what meets where one task ends and the next begins
+    border = found.where("edge").select("region", "deeper", "rep").distinct().repartition(1).sortWithinPartitions("region", "deeper", "rep")
+    every = found.where("NOT edge").union(border.mapInArrow(_neighbour_task, shape).where("NOT edge"))
+    every = saved(every.select("region", "rep", "beside").distinct(), "region-pairs")
+    discard(found)
+    return every.where("beside IS NULL").select("region", "rep"), every.where("beside IS NOT NULL")
 
 
 def _pairs(left, right) -> list:
@@ -142,7 +217,7 @@ def _open_pairs(members: DataFrame, groups: DataFrame, texts: DataFrame, tried:
     (at 75 percent); rarity is counted among the documents of open regions.
     """
     placed = members.join(groups, members["rep"] == groups["id"], "left").select("region", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+    mixed = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(f"low < high AND n > {WINDOW + 1}").select("region")
     inside = placed.join(mixed, "region", "left_semi").select("rep", "component").distinct()
     kind = texts.select("rep").schema[0].dataType.simpleString()
     sets = saved(texts.join(inside.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(_shingle_task, f"rep {kind}, shingle long, size long"), "open-sets")
@@ -151,6 +226,7 @@ def _open_pairs(members: DataFrame, groups: DataFrame, texts: DataFrame, tried:
     place = F.row_number().over(W.partitionBy("rep").orderBy("often", "shingle"))
     prefix = ranked.withColumn("place", place).where(f"place <= size - ceil(size * {PERCENT} / 100) + 1 AND often > 1")
     prefix = saved(prefix.join(inside, "rep").select("rep", "shingle", "size", "place", "component"), "open-prefixes")
+    discard(sets)
     # the smaller set needs a shorter prefix still, which keeps shingles that many sets share out of one side
     short = prefix.where(f"place <= size - ceil(size * {2 * PERCENT} / {100 + PERCENT}) + 1")
     a, b = (side.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "place", "component")]) for side, x in ((prefix, "a"), (short, "b")))
@@ -165,17 +241,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: one kept row for each group of near-duplicates."""
     sketched = saved(docs.select("doc_id", "text").mapInArrow(
         _sketch_task, f"doc_id {docs.select('doc_id').schema[0].dataType.simpleString()}, n_shingles long, k1 long, k2 long, sketch array<long>"), "sketches")
-    real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = saved(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
-    leaves = _leaves(reps)
-    # written before the join, so both sides are plain exchanges and Spark can split a region with very many leaves
-    regions = saved(leaves.groupBy("region").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1"), "region-heads")
-    members = saved(leaves.join(regions, "region"), "regions")
-
-    first = members.where("rep <> head").select(*_pairs(F.col("rep"), F.col("head"))).distinct()
-    order = W.partitionBy("region", F.when(F.col("n") > DENSE, F.col("deeper"))).orderBy("deeper", "rep")
-    beside = members.withColumn("before", F.lag("rep").over(order)).where("before <> rep").select(*_pairs(F.col("rep"), F.col("before"))).distinct()
-    tried = saved(first.withColumn("turn", F.lit(0)).union(beside.withColumn("turn", F.lit(1))).groupBy("a", "b").agg(F.min("turn").alias("turn")), "candidates")
+    facts = saved(sketched.drop("sketch"), "set-facts")
+    reps = saved(facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    # joined by document too, so that a class of very many copies is spread over tasks
+    first_of = reps.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "rep")
+    leaves = _leaves(sketched.join(first_of, (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2"))))
+    members, beside = neighbours(leaves, reps.count())
+    discard(sketched)
+
+    heads = saved(members.groupBy("region").agg(F.min("rep").alias("head")), "region-heads")
+    first = members.join(heads, "region").where("rep <> head").select(*_pairs(F.col("rep"), F.col("head"))).distinct()
+    near = beside.select(*_pairs(F.col("rep"), F.col("beside"))).distinct()
+    tried = saved(first.withColumn("turn", F.lit(0)).union(near.withColumn("turn", F.lit(1))).groupBy("a", "b").agg(F.min("turn").alias("turn")), "candidates")
     needed = tried.select(F.col("a").alias("rep")).union(tried.select(F.col("b").alias("rep"))).distinct()
     texts = saved(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi").distinct(), "candidate-texts")
 
@@ -184,12 +261,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.union(saved(confirm(_apart(tried.where("turn = 1").select("a", "b"), groups), texts), "confirmed"))
     groups = saved(components(links), "groups")
     last = saved(confirm(_open_pairs(members, groups, texts, tried.select("a", "b")), texts), "confirmed")
-    groups = components(links.union(last))
+    groups = saved(components(links.union(last)), "groups")
+    discard(texts)
 
     classes = reps.select("k1", "k2", "rep").join(groups, reps["rep"] == groups["id"], "left").select(
         F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("component", "rep").alias("component"))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    joined = sketched.select("doc_id", "n_shingles", "k1", "k2").join(classes, linkable & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left")
+    joined = facts.join(classes, linkable & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
