@@ -1,15 +1,22 @@
 """Quality rules: word statistics of each text, and a hashed n-gram likelihood ratio of trusted text against the whole corpus.
 
-Counts run over all documents; tasks add their n-grams into fixed vectors, so what is shuffled is one vector for each task
-whatever the words are. The model has a fixed number of buckets, hence a fixed broadcast size.
+Raw counts run over all documents; tasks add their n-grams into vectors, so what is shuffled is one vector for each task
+whatever the words are. The number of buckets follows the amount of text, between LEAST_BUCKETS and MOST_BUCKETS, which
+bounds the model's size. Trusted counts come from at most about FIT_DOCUMENTS labelled documents, chosen by hash: their ids are
+a broadcast of known size, so no text is moved to meet its label. The threshold is exact and the same for any partitioning:
+scores are whole millionths, and their counts over all held-out trusted documents are summed.
 
 Nulls: a null text has no words; it fails the base rules. A null doc_id is kept as a row and never counts as labelled.
-Repeated doc_ids are rows of their own; several labels of a doc_id count as the worst of them.
+Repeated doc_ids are rows of their own; several labels of a doc_id count as the worst of them. Ties with the threshold pass.
+Empty tables: no document, no result; no label, no threshold. Texts of any length are read whole, one block for a long text.
+Other columns are carried along by `keep_good` and ignored elsewhere, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.llm.blocks import BLANK, Parts, byte_hashes, lines, mix, per_row, text_blocks, utf8, words
-from tallyveil.llm.common import saved
+from tallyveil.llm.common import discard, saved
 
-BUCKETS = 1 << 18
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 18, 1 << 21
+BUCKET_CHARS = 4096  # characters of text for each bucket, between those bounds
+FIT_DOCUMENTS = 100_000  # labelled documents that the trusted counts come from, at most
+MICRO = 1_000_000  # scores are kept as whole numbers of this part of one
 SLAB = 1 << 8  # buckets in one shuffled row
 PRIOR = 8.0  # occurrences added to observed and expected counts of a bucket
 KEEP_TRUSTED = 0.995  # share of trusted documents that pass the base rules and must pass the threshold
@@ -73,24 +83,26 @@ def word_stats(data: np.ndarray, offsets: np.ndarray, found: Parts) -> dict[str,
     }
 
 
-def gram_buckets(found: Parts) -> tuple[np.ndarray, np.ndarray]:
+def gram_buckets(found: Parts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and word pairs of a block, and the row of each."""
     hashed, rows = byte_hashes(found.distinct)[found.ids], found.rows()
     paired = rows[1:] == rows[:-1]
     pair = mix(hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashed[1:])[paired]
-    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
     return (np.concatenate([hashed, pair]) >> shift).astype(np.int64), np.concatenate([rows, rows[1:][paired]])
 
 
-def _count_task(batches):
-    raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+def _count_task(batches, size: int):
+    raw, trusted = np.zeros(size, np.int32), np.zeros(size, np.int32)  # a task reads far less than 2^31 words
     for block in text_blocks(batches):
-        buckets, rows = gram_buckets(words(*utf8(block.column("text"))))
+        found, rows = gram_buckets(words(*utf8(block.column("text"))), size)
         flag = block.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-        raw += np.bincount(buckets, minlength=BUCKETS)
-        trusted += np.bincount(buckets[flag[rows]], minlength=BUCKETS)
-    if raw.any():
-        yield _slabs(np.arange(BUCKETS // SLAB), raw, trusted, np.int32)  # a task reads far less than 2^31 words
+        raw += np.bincount(found, minlength=size).astype(np.int32)
+        if flag.any():
+            trusted += np.bincount(found[flag[rows]], minlength=size).astype(np.int32)
+    some = np.flatnonzero(raw.reshape(-1, SLAB).any(axis=1))
+    if len(some):
+        yield _slabs(some, raw.reshape(-1, SLAB)[some].ravel(), trusted.reshape(-1, SLAB)[some].ravel(), np.int32)
 
 
 def _slabs(slab, raw, trusted, kind=np.int64) -> pa.RecordBatch:
@@ -114,68 +126,105 @@ def trusted_ids(labels: DataFrame, part: int) -> DataFrame:
     return worst.where("quality = 1 AND toxic = 0").where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part).select(F.col("doc_id").alias("__good"))
 
 
+def fitted_ids(labels: DataFrame) -> DataFrame:
+    """About FIT_DOCUMENTS of the trusted documents that fit the ratios, or all of them where they are fewer."""
+    good = trusted_ids(labels, 0)
+    share = min(1.0, FIT_DOCUMENTS / max(good.count(), 1))
+    place = F.pmod(F.xxhash64("__good", F.lit(1)), F.lit(1 << 20))
+    return F.broadcast(good.where(place < int(share * (1 << 20)))) if share < 1 else F.broadcast(good)
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """A power of two that follows the characters of all texts."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(chars // BUCKET_CHARS, 1).bit_length()))
+
+
 def fit_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of each bucket: trusted documents against all documents.
 
-    One vector of BUCKETS numbers (2 MB) reaches the driver, whatever the corpus.
+    Two vectors of at most MOST_BUCKETS numbers reach the driver, whatever the corpus.
     """
-    good = trusted_ids(labels, 0)
-    flagged = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("__good"), "left").select(
+    size = bucket_count(docs)
+    flagged = docs.select("doc_id", "text").join(fitted_ids(labels), F.col("doc_id") == F.col("__good"), "left").select(
         "text", F.col("__good").isNotNull().alias("trusted"))
     kind = "slab int, raw array<{0}>, trusted array<{0}>"
-    counted = flagged.mapInArrow(_count_task, kind.format("int")).groupBy("slab").applyInArrow(_add_slabs, kind.format("long"))
-    raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    counted = flagged.mapInArrow(partial(_count_task, size=size), kind.format("int")).groupBy("slab").applyInArrow(_add_slabs, kind.format("long"))
+    raw, trusted = np.zeros(size), np.zeros(size)
     for slab, some, good_some in zip(*counted.toArrow().to_pydict().values()):
         raw[slab * SLAB:(slab + 1) * SLAB], trusted[slab * SLAB:(slab + 1) * SLAB] = some, good_some
     expected = raw * (trusted.sum() / max(raw.sum(), 1.0))
     return np.log((trusted + PRIOR) / (expected + PRIOR)).astype(np.float32)
 
 
-def scorer(weights, carry: list[str]):
-    """Task function: the carried columns, the base statistics and the length-normalised score of each row."""
+def judged_rows(model: np.ndarray, block: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Base statistics and the length-normalised score (in millionths) of each row."""
+    data, offsets = utf8(block.column("text"))
+    found = words(data, offsets)
+    out = word_stats(data, offsets, found)
+    buckets, rows = gram_buckets(found, len(model))
+    grams = np.bincount(rows, minlength=block.num_rows)
+    score = np.bincount(rows, weights=model[buckets], minlength=block.num_rows) / np.maximum(grams, 1)
+    return out | {"micro": np.rint(score * MICRO).astype(np.int64)}
 
-    def run(batches):
-        model = weights.value
-        for block in text_blocks(batches):
-            data, offsets = utf8(block.column("text"))
-            found = words(data, offsets)
-            out = word_stats(data, offsets, found)
-            buckets, rows = gram_buckets(found)
-            n = block.num_rows
-            grams = np.bincount(rows, minlength=n)
-            score = np.bincount(rows, weights=model[buckets], minlength=n) / np.maximum(grams, 1)
-            columns = [block.column(c) for c in carry] + [pa.array(v) for v in out.values()] + [pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carry, *out, "score"])
 
-    return run
+def score_documents(docs: DataFrame, weights) -> DataFrame:
+    """doc_id, base statistics, micro: the mean log ratio of the text's n-grams in millionths (0 without words)."""
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
+    def run(batches):
+        for block in text_blocks(batches):
+            out = judged_rows(weights.value, block)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *[pa.array(v) for v in out.values()]], names=["doc_id", *out])
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base statistics, score: the mean log ratio of the text's n-grams (0 without words)."""
-    weights = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels))
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(scorer(weights, ["doc_id", "text_hash"]), f"doc_id {kind}, text_hash long, {STATS}, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {STATS}, micro long")
 
 
-def trusted_threshold(scores: DataFrame, labels: DataFrame) -> float:
+def trusted_threshold(scores: DataFrame, labels: DataFrame) -> int | None:
     """The score that the share KEEP_TRUSTED of held-out trusted documents reaches, among those that pass the base rules.
 
-    Without any such document nothing is rejected.
+    Exact: counts by thousandths first, then by millionths within the one that holds the place; a score lies within a few
+    units, so either is a few thousand rows. Without any such document nothing is rejected.
     """
     held = scores.where("NOT base_failed").join(trusted_ids(labels, 1), F.col("doc_id") == F.col("__good"), "left_semi")
-    cut = held.agg(F.percentile_approx("score", 1 - KEEP_TRUSTED, 100_000)).first()[0]
-    return float("-inf") if cut is None else float(cut)
+    counted = saved(held.groupBy("micro").agg(F.count("*").alias("n")), "trusted-scores")
+    coarse = sorted(counted.groupBy(F.floor(F.col("micro") / 1000).alias("at")).agg(F.sum("n")).collect())
+    total = sum(n for _, n in coarse)
+    may_miss = total - math.ceil(KEEP_TRUSTED * total)  # documents that may lie below the threshold
+    for at, n in coarse:
+        if may_miss < n:
+            for micro, some in sorted(tuple(r) for r in counted.where(F.floor(F.col("micro") / 1000) == at).collect()):
+                if may_miss < some:
+                    return micro
+                may_miss -= some
+        may_miss -= n
+    return None
+
+
+def _fit(docs: DataFrame, labels: DataFrame):
+    """The broadcast model, the scores of all documents, and the threshold as a column condition's bound."""
+    weights = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels))
+    scores = saved(score_documents(docs, weights), "quality-scores")
+    cut = trusted_threshold(scores, labels)
+    return weights, scores, -(1 << 62) if cut is None else cut
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base statistics, score and `kept`: base rules and threshold passed."""
-    scores = saved(score_documents(docs, labels), "quality-scores")
-    cut = trusted_threshold(scores, labels)
-    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut)))
+    """doc_id, base statistics, score and `kept`: base rules and threshold passed."""
+    _, scores, cut = _fit(docs, labels)
+    return scores.withColumn("score", F.col("micro") / MICRO).withColumn("kept", ~F.col("base_failed") & (F.col("micro") >= F.lit(cut))).drop("micro")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    good = judge(docs, labels).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
+    """The documents that the rules keep, with all their columns, filtered where they are read."""
+    weights, scores, cut = _fit(docs, labels)
+    discard(scores)
+
+    def run(batches):
+        for block in text_blocks(batches):
+            out = judged_rows(weights.value, block)
+            kept = block.filter(pa.array(~out["base_failed"] & (out["micro"] >= cut)))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(run, docs.schema)
