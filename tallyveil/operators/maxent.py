@@ -6,7 +6,7 @@ most one canonical cell per set, so a row is described by the few query ids that
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyveil.functions.sqltext import array, ident
+from tallyveil.operators.cliquetree import CliqueTree, Statistics
 from tallyveil.operators.domain import Domain, all_rows, rank_text
 from tallyveil.operators.factors import log_sum_exp
 from tallyveil.operators.marginals import Clique
@@ -186,13 +187,34 @@ class Posterior:
         return self.rows * self.shares < WEAK * spread
 
 
-def fit_noise_aware(cache: DataFrame, noisy_counts: Sequence[float], n: float, sigma: float,
+Moments = Callable[[np.ndarray, float], "tuple[float, np.ndarray, Callable[[], np.ndarray]]"]
+
+
+def cached_moments(cache: DataFrame, size: int) -> Moments:
+    """Moments summed over the distinct statistic vectors of the whole domain, for models that have no clique tree."""
+    rows = cut_lineage(cache)
+
+    def moments(lam: np.ndarray, near: float | None):
+        z, mean, cov = moments_np(rows, lam, size, near)
+        return z, mean, lambda: cov
+
+    return moments
+
+
+def message_moments(spark: SparkSession, model: Model) -> Moments:
+    """Moments by messages between the tables of a clique tree; the domain is never enumerated."""
+    statistics = Statistics(CliqueTree.of(model.cliques, model.domain), model.cliques, model.ids)
+    return lambda lam, near: statistics.moments(spark, lam)
+
+
+def fit_noise_aware(source: DataFrame | Moments, noisy_counts: Sequence[float], n: float, sigma: float,
                     prior_sd: float = PRIOR_SD, max_iter: int = 150, strict: bool = True) -> Posterior:
     """Parameters with prior N(0, prior_sd^2) given counts ~ N(n mean, n cov + sigma^2 I).
 
-    Fisher scoring: executors sum the moments, the driver solves one d*d system per step. The covariance is held
-    during a step, so the step and its line search follow one objective; half the curvature of the means is added where it
-    is positive, which keeps steps of nearly empty cells short. Without noise (sigma 0) the likelihood of the
+    `source` gives the moments: a table of distinct statistic vectors, or a function such as `message_moments` makes.
+    Fisher scoring: the driver solves one d*d system per step. The covariance is held
+    during a step, so the step and its line search follow one objective. A full step is tried first; where it does not help,
+    half the curvature of the means is added where it is positive, which keeps steps of nearly empty cells short. Without noise (sigma 0) the likelihood of the
     exponential family itself is maximised, which is concave. Steps end when one more would gain less than TOLERANCE in
     log density, a hundredth of a standard deviation. A fit that has not converged raises unless `strict`
     is off.
@@ -200,9 +222,10 @@ def fit_noise_aware(cache: DataFrame, noisy_counts: Sequence[float], n: float, s
     y = np.asarray(noisy_counts, float)
     d = len(y)
     lam, eye = np.zeros(d), np.eye(d)
-    rows = cut_lineage(cache)
-    z, mean, cov = moments_np(rows, lam, d)
+    moments = cached_moments(source, d) if isinstance(source, DataFrame) else source
+    z, mean, covariance = moments(lam, None)
     for step in range(1, max_iter + 1):
+        cov = covariance()
         inner = np.linalg.inv(n * cov + (sigma ** 2 + 1e-9) * eye)
         gap = y - n * mean
         pull = inner @ gap
@@ -219,13 +242,16 @@ def fit_noise_aware(cache: DataFrame, noisy_counts: Sequence[float], n: float, s
             return at @ at / prior_sd ** 2 + (left @ inner @ left if sigma > 0 else 2 * (n * z - y @ at))
 
         before = loss(lam)
-        move, scale = np.clip(move, -MAX_MOVE, MAX_MOVE), 1.0
-        while True:
-            trial = lam + scale * move
-            z, mean, cov = moments_np(rows, trial, d, z)
-            if loss(trial) <= before or scale < 1e-4:
+        for direction, least in ((np.linalg.solve(precision, gradient), 0.2), (move, 1e-4)):
+            direction, scale = np.clip(direction, -MAX_MOVE, MAX_MOVE), 1.0
+            while True:
+                trial = lam + scale * direction
+                z, mean, covariance = moments(trial, z)
+                if (better := loss(trial) <= before) or scale < least:
+                    break
+                scale /= 2
+            if better:
                 break
-            scale /= 2
         lam = trial
     converged = bool(gain < CONVERGED)
     if strict and not converged:

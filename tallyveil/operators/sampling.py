@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.keyed import hash_uniform, md5_normal, md5_uniform
 from tallyveil.functions.sqltext import ident
-from tallyveil.operators.domain import Domain, decode, unrank
+from tallyveil.operators.cliquetree import CliqueTree
+from tallyveil.operators.domain import Domain, decode, rank_cell, unrank
 from tallyveil.operators.numbering import number_rows
-from tallyveil.operators.treemodel import Tree
+from tallyveil.operators.treemodel import DRAWS_AT_ONCE, Tree
 from tallyveil.session import BROADCAST_BYTES, broadcast_checked
 
 UNROLL = 64  # columns with at most this many levels compare thresholds one by one in generated code
@@ -30,11 +31,11 @@ def code_from(thresholds: str, u: str, levels: int) -> Column:
     return F.expr(f"least(size(filter({t}, v -> v <= {x})), {levels - 1})")
 
 
-def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain, n: int, m: int, draws: int = 0,
+def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree | CliqueTree, domain: Domain, n: int, m: int, draws: int = 0,
                 salt: str = "sample", uniform: Uniform = hash_uniform, partitions: int | None = None) -> DataFrame:
     """m tables of n rows as one table (dataset_id, row_id, codes...).
 
-    Columns are drawn in tree order. Each step looks up the thresholds of the row's parent value by an
+    Columns are drawn in tree order. Each step looks up the thresholds of the row's given values by an
     equality join with the conditional tables. Those are small (their size is checked), so they are
     broadcast and the m*n rows never move. With draws > 0 the tables `cpts` carry a `draw_id` and every
     data set takes one draw, chosen with replacement.
@@ -47,17 +48,48 @@ def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain
     arrays = cpts.groupBy(*keys, "col", "parent_code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("code", "cum"))), lambda s: s["cum"]).alias("thresholds")).persist()
     for c in tree.order:
-        parent = tree.parent[c]
-        levels, parents = domain.size(c), domain.size(parent) if parent else 1
+        given = tree.given(c)
+        levels, parents = domain.size(c), domain.cells(given) if given else 1
         table = arrays.filter(F.col("col") == c).select(*keys, F.col("parent_code").alias("__parent"), F.col("thresholds").alias("__t"))
         table = broadcast_checked(table, max(draws, 1) * parents, 32 + 8 * levels)
-        lookup = rows.withColumn("__parent", F.col(parent) if parent else F.lit(0))
+        lookup = rows.withColumn("__parent", rank_cell(given, domain.sizes(given)) if given else F.lit(0))
         joined = lookup.join(table, [*keys, "__parent"])
         rows = joined.withColumn("__u", uniform(f"{salt}/{c}", "dataset_id", "row_id"))
         rows = rows.withColumn(c, code_from("__t", "__u", levels)).drop("__parent", "__t", "__u")
     return rows.select("dataset_id", "row_id", *(["draw_id"] if draws else []), *domain.columns)
 
 
+def sample_counts(cpts: DataFrame, tree: Tree | CliqueTree, domain: Domain, n: int, seed: int = 0) -> DataFrame:
+    """One table of n rows from every draw, as distinct rows with their number: (dataset_id, codes..., rows).
+
+    Splits n by multinomial draws, column after column, so a table costs its distinct rows whatever n is; that has the law of
+    n rows drawn one by one. Some draws together are one group with a random source of its own.
+    """
+    columns = domain.columns
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        draws, place = np.unique(frame["draw_id"].to_numpy(np.int64), return_inverse=True)
+        names, parent, code, p = frame["col"].to_numpy(), frame["parent_code"].to_numpy(np.int64), frame["code"].to_numpy(np.int64), frame["p"].to_numpy()
+        source = np.random.default_rng([seed, int(draws[0])])
+        codes, draw, number = {}, np.arange(len(draws)), np.full(len(draws), n, np.int64)
+        for c in tree.order:
+            mine, given = names == c, tree.given(c)
+            table = np.zeros((len(draws), domain.cells(given) if given else 1, domain.size(c)))
+            table[place[mine], parent[mine], code[mine]] = p[mine]
+            at = np.zeros(len(number), np.int64)
+            for g in given:
+                at = at * domain.size(g) + codes[g]
+            chance = table[draw, at]
+            split = source.multinomial(number, chance / chance.sum(axis=1, keepdims=True))
+            row, level = np.nonzero(split)
+            codes = {k: v[row] for k, v in codes.items()} | {c: level}
+            draw, number = draw[row], split[row, level]
+        return pd.DataFrame({"dataset_id": draws[draw], **{c: codes[c].astype(np.int32) for c in columns}, "rows": number})
+
+    shape = ", ".join(["dataset_id long", *[f"{ident(c)} int" for c in columns], "rows long"])
+    return cpts.groupBy(F.call_function("div", F.col("draw_id").cast("long"), F.lit(DRAWS_AT_ONCE)).alias("block")).applyInPandas(work, shape)
+
+
 def generate(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain, n: int, m: int, draws: int = 0, **kw) -> DataFrame:
     """m labelled synthetic tables in one DataFrame with `dataset_id`."""
     return decode(sample_tree(spark, cpts, tree, domain, n, m, draws, **kw), domain)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from tallyveil.operators.domain import Domain
 from tallyveil.operators.marginals import Clique
 
 
+DRAWS_AT_ONCE = 50  # draws of one group
+
+
 @dataclass(frozen=True)
 class Tree:
     """Columns in drawing order with the parent of each (None for a root) and the pair that links them."""
@@ -22,8 +27,13 @@ class Tree:
     parent: dict[str, str | None]
     pair: dict[str, int]
 
+    def given(self, column: str) -> tuple[str, ...]:
+        """The column whose code a column's distribution depends on, if any."""
+        return () if self.parent[column] is None else (self.parent[column],)
+
     @staticmethod
-    def of(pairs: Sequence[Clique], columns: Sequence[str]) -> "Tree":
+    def of(pairs: Sequence[Clique], columns: Sequence[str], partly: bool = False) -> "Tree":
+        """`partly`: only cycles raise; columns in no pair are for the pairs still to come."""
         near: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
         for i, (a, b) in enumerate(pairs):
             near[a].append((b, i))
@@ -32,10 +42,10 @@ class Tree:
         for root in columns:
             if root in parent:
                 continue
-            if not near[root]:
+            if not near[root] and not partly:
                 raise ValueError(f"column {root!r} is in no pair")
             parent[root], queue = None, [root]
-            pair[root] = near[root][0][1]
+            pair[root] = near[root][0][1] if near[root] else -1
             while queue:
                 c = queue.pop(0)
                 order.append(c)
@@ -117,3 +127,70 @@ def perturb(cells: DataFrame, draws: int, sigma: float, value: str = "y", salt:
     spread = F.ln(1 + F.try_divide(F.lit(float(sigma * sigma)) + base * (1 - share), base * base))
     factor = F.exp(F.sqrt(spread) * md5_normal(salt, "draw_id", "clique_id", "cell") - spread / 2)
     return many.withColumn("n", F.when(base * base > 0, base * factor).otherwise(0.0)).select("draw_id", "clique_id", "cell", "n")
+
+
+def agree(tables: Sequence[np.ndarray], pairs: Sequence[Clique], n: float, rounds: int = 400) -> list[np.ndarray]:
+    """The nearest tables without negative cells in which all pairs of a column have the same counts of it and sum to n.
+
+    Tables may have leading axes, for many draws at once. Alternating projections (Dykstra): onto equal margins and the total,
+    and onto non-negative cells. What the last round leaves over is removed by scaling rows and columns to the agreed margins,
+    so those hold to rounding.
+    """
+    def margins(now):
+        """Precision-weighted mean of what the pairs say about each column."""
+        said: dict[str, list] = {}
+        for (a, b), t in zip(pairs, now):
+            said.setdefault(a, []).append((t.sum(axis=-1), t.shape[-1]))
+            said.setdefault(b, []).append((t.sum(axis=-2), t.shape[-2]))
+        return {c: sum(m / w for m, w in each) / sum(1 / w for _, w in each) for c, each in said.items()}
+
+    size, now = max(n, 1), [np.asarray(t, float) for t in tables]
+    left = [np.zeros_like(t) for t in now]
+    for _ in range(rounds):
+        even = [t + (n - t.sum(axis=(-2, -1), keepdims=True)) / (t.shape[-1] * t.shape[-2]) for t in now]
+        agreed = margins(even)
+        even = [t + ((agreed[a] - t.sum(axis=-1)) / t.shape[-1])[..., :, None] + ((agreed[b] - t.sum(axis=-2)) / t.shape[-2])[..., None, :]
+                for (a, b), t in zip(pairs, even)]
+        now = [np.maximum(t + r, 0) for t, r in zip(even, left)]
+        left = [t + r - x for t, r, x in zip(even, left, now)]
+        if max(np.abs(x - t).max() for x, t in zip(now, even)) <= 1e-6 * size:
+            break
+    now = [t + 1e-9 * size / (t.shape[-1] * t.shape[-2]) for t in now]  # no row or column without mass
+    agreed = {c: np.maximum(m, 0) * n / np.maximum(m.sum(axis=-1, keepdims=True), 1e-300) for c, m in margins(now).items()}
+    for i, (a, b) in enumerate(pairs):
+        t = now[i]
+        for _ in range(1000):
+            t = t * (agreed[a] / t.sum(axis=-1))[..., :, None]
+            t = t * (agreed[b] / t.sum(axis=-2))[..., None, :]
+            if np.abs(t.sum(axis=-1) - agreed[a]).max() <= 1e-11 * size:
+                break
+        now[i] = t
+    return now
+
+
+def consistent_draws(cells: DataFrame, pairs: Sequence[Clique], domain: Domain, n: float, draws: int, sigma: float,
+                     salt: str, value: str = "y", by: Sequence[str] = (), spread: bool = True) -> DataFrame:
+    """Cell tables per draw around noisy pair counts: (by..., draw_id, clique_id, cell, n). Without `spread`, the agreed tables.
+
+    A draw adds normal noise of the variance that the release noise and the sampling of n rows leave, to empty cells as well,
+    and is then moved to tables whose margins agree. So every draw is a set of counts that some table could have, and what is
+    not known about empty cells shows as rows in them. A group is DRAWS_AT_ONCE draws of some hundred cells.
+    """
+    shapes = [(domain.size(a), domain.size(b)) for a, b in pairs]
+    firsts = np.concatenate([[0], np.cumsum([a * b for a, b in shapes])])
+    total = float(n)
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["draw_id", "clique_id", "cell"])
+        y, z = frame[value].to_numpy(float).reshape(-1, firsts[-1]), frame["z"].to_numpy(float).reshape(-1, firsts[-1])
+        if spread:
+            centre = np.clip(y, 0, total)
+            y = y + np.sqrt(sigma * sigma + centre * (1 - centre / max(total, 1.0))) * z * (1 if sigma else y > 0)
+        out = agree([y[:, s:e].reshape(-1, *k) for s, e, k in zip(firsts, firsts[1:], shapes)], pairs, total)
+        return frame[[*by, "draw_id", "clique_id", "cell"]].assign(n=np.concatenate([t.reshape(len(y), -1) for t in out], axis=1).ravel())
+
+    many = cells.select(*by, "clique_id", "cell", F.col(value).cast("double").alias(value)).withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    many = many.withColumn("z", md5_normal(salt, *by, "draw_id", "clique_id", "cell"))
+    kinds = {f.name: f.dataType.simpleString() for f in many.schema}
+    shape = ", ".join([*[f"{c} {kinds[c]}" for c in (*by, "draw_id", "clique_id", "cell")], "n double"])
+    return many.groupBy(*by, F.call_function("div", F.col("draw_id").cast("long"), F.lit(DRAWS_AT_ONCE)).alias("block")).applyInPandas(work, shape)

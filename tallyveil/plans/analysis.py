@@ -13,9 +13,11 @@ from tallyveil.operators.cleaning import split_by_fraction
 from tallyveil.operators.domain import Domain, encode
 from tallyveil.operators.marginals import count_rows
 from tallyveil.plans.base import CATS, SURVEY, coded, survey, table
-from tallyveil.plans.coverage import LEVELS, coverage_records
+from tallyveil.plans.coverage import LEVELS, repeated_records
 from tallyveil.plans.registry import query
-from tallyveil.plans.synthesiser import Options, fit, generate
+from tallyveil.plans.synthesiser import Options, fit, generate_counts
+
+REPEATS, TABLES = 50, 100  # fixed values: releases and synthetic tables of the experiments
 
 # One binary feature: the estimates have a closed form, so SQL can check the iterations.
 _XY = f"""{SURVEY}, xy AS (SELECT row_id, nation, CAST(priority IN ('1-URGENT', '2-HIGH') AS INT) AS rush, CAST(status = 'F' AS INT) AS done, price FROM survey)"""
@@ -169,40 +171,22 @@ def _train_test(spark, sf):
     """Synthetic tables of the coded survey, and the real rows as the test table; target: order finished."""
     labels = count_rows(survey(spark, sf), CATS)
     domain = Domain.infer(labels, CATS)
-    fitted = fit(labels, domain, Options(pairs=[("status", "priority"), ("status", "segment")], salt="clf", draws=2), "rows")
-    syn = generate(spark, fitted, 2, salt="clf", labels=False).select("dataset_id", *CATS)
+    fitted = fit(labels, domain, Options(pairs=[("status", "priority"), ("status", "segment")], salt="clf", draws=TABLES), "rows")
     target = lambda d: d.withColumn("label", (F.col("status") == 1).cast("int")).drop("status")
-    return target(syn), target(encode(survey(spark, sf).select(*CATS), domain))
+    return target(generate_counts(fitted)), target(encode(labels, domain))
 
 
-def _one_model(name, maker=None):
+def _one_model(name):
     def run(spark, sf):
         train, test = _train_test(spark, sf)
-        return C.train_and_score(train.drop("dataset_id"), test, ["priority", "segment"], "label", models={name: maker or C.MODELS[name]})
+        return C.train_all(train, test, ["priority", "segment"], "label", models=[name], rows="rows", test_rows="rows")
     return run
 
 
-# Fewer trees and steps than the library defaults, which run for minutes on a laptop.
-def _few_boosts(d):
-    return C.MODELS["gradient_boosting"](d).setMaxIter(10)
-
-
-def _few_trees(d):
-    return C.MODELS["random_forest"](d).setNumTrees(20)
-
-
-def _few_steps(d):
-    return C.MODELS["linear_svc"](d).setMaxIter(50)
-
-
-def _few_epochs(d):
-    return C.MODELS["neural_net"](d).setMaxIter(20)
-
-
-query("c02_gradient_boosting")(_one_model("gradient_boosting", _few_boosts))
-query("c03_random_forest")(_one_model("random_forest", _few_trees))
-query("c04_linear_support_vectors")(_one_model("linear_svc", _few_steps))
-query("c05_neural_net")(_one_model("neural_net", _few_epochs))
+query("c02_gradient_boosting")(_one_model("gradient_boosting"))
+query("c03_random_forest")(_one_model("random_forest"))
+query("c04_linear_support_vectors")(_one_model("linear_svc"))
+query("c05_neural_net")(_one_model("neural_net"))
 
 _PRED = "(SELECT l_returnflag, CAST(l_linestatus = 'F' AS INT) AS y, CAST(l_quantity > 25 AS INT) AS p FROM lineitem)"
 
@@ -218,9 +202,9 @@ def c06(spark, sf):
 
 @query("c07_train_synthetic_test_real")
 def c07(spark, sf):
+    """All models on each of 100 synthetic tables and on all of them together."""
     train, test = _train_test(spark, sf)
-    models = {"majority": None, "random_forest": _few_trees, "linear_svc": _few_steps}
-    return C.train_and_score(train, test, ["priority", "segment"], "label", "dataset_id", models, tables=[0, 1])
+    return C.train_all(train, test, ["priority", "segment"], "label", "dataset_id", rows="rows", test_rows="rows")
 
 
 @query("c08_single_class_tables", """
@@ -234,8 +218,7 @@ def c08(spark, sf):
 def c09(spark, sf):
     df = coded(spark, sf, CATS)[0].withColumn("label", (F.col("status") == 1).cast("int"))
     part = split_by_fraction(df, "row_id", 0.7)
-    return C.train_and_score(part.filter("part = 'train'"), part.filter("part = 'test'"), ["priority", "segment"], "label",
-                             models={"majority": None, "random_forest": _few_trees})
+    return C.train_all(part.filter("part = 'train'"), part.filter("part = 'test'"), ["priority", "segment"], "label")
 
 
 # ---------------------------------------------------------------- combining estimates
@@ -326,11 +309,11 @@ def v07(spark, sf):
     return c.select("level", F.round("coverage", 6).alias("coverage"), F.round("mean_width", 4).alias("mean_width"), "n")
 
 
-def coverage_run(spark, sf, repeats: int = 4, tables: int = 10):
+def coverage_run(spark, sf, repeats: int = REPEATS, tables: int = TABLES):
+    """Every repeat releases anew; tables are as large as the original."""
     labels = count_rows(survey(spark, sf).withColumn("status", F.when(F.col("status") == "F", "F").otherwise("O")), CATS)
-    options = Options(pairs=[("status", "priority"), ("status", "segment")], draws=repeats * tables, salt="cov")
-    fitted = fit(labels, Domain.infer(labels, CATS), options, "rows")
-    records = coverage_records(labels, fitted, "status", repeats, tables, n=2000, rows="rows")
+    options = Options(pairs=[("status", "priority"), ("status", "segment")], salt="cov")
+    records = repeated_records(labels, Domain.infer(labels, CATS), options, "status", repeats, tables, "rows")
     return V.coverage(records, ["param", "level"], "nn_")
 
 

@@ -83,8 +83,8 @@ def hundred_regressions(spark, sf):
 
 
 def coverage_experiment(spark, sf):
-    """10 repeats x 19 levels x 20 tables of 2000 rows."""
-    _drain(coverage_run(spark, sf, 10, 20))
+    """50 repeats with a release each x 19 levels x 100 tables as large as the original."""
+    _drain(coverage_run(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (

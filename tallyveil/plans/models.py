@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyveil.functions.keyed import md5_uniform, sql_normal, sql_uniform
 from tallyveil.operators import factors as M
 from tallyveil.operators import marginals as A
+from tallyveil.operators import cliquetree as T
 from tallyveil.operators import maxent as X
 from tallyveil.operators import privacy as D
 from tallyveil.operators import sampling as G
@@ -143,6 +144,45 @@ def m10_cov(spark, sf):
     return cov.withColumn("cov", F.round("cov", 8) + 0.0)
 
 
+def _statistics(model):
+    return T.Statistics(T.CliqueTree.of(PAIRS, model.domain), PAIRS, model.ids)
+
+
+@query("m10_moments_by_messages", f"""
+WITH {ROWS}, hits AS ({_HITS}), means AS (SELECT query_id, sum(p) AS m FROM hits GROUP BY 1),
+second AS (SELECT a.query_id AS i, b.query_id AS j, sum(a.p) AS s FROM hits a JOIN hits b USING (status, priority, segment, price, balance) GROUP BY 1, 2)
+SELECT CAST(x.query_id AS BIGINT) AS i, CAST(y.query_id AS BIGINT) AS j, round(x.m, 8) AS mean_i, round(coalesce(s, 0) - x.m * y.m, 8) + 0.0 AS cov
+FROM means x CROSS JOIN means y LEFT JOIN second ON second.i = x.query_id AND second.j = y.query_id""")
+def m10_messages(spark, sf):
+    """The moments again without the domain: messages between small tables."""
+    model, values, _, _ = explicit(spark, sf)
+    out = T.model_moments(spark, _statistics(model), values)
+    return out.select("i", "j", F.round("mean_i", 8).alias("mean_i"), (F.round("cov", 8) + 0.0).alias("cov"))
+
+
+@query("m11_step_conditionals", f"WITH {ROWS} " + " UNION ALL ".join(
+    f"SELECT '{a}|{b}' AS pair, {a} AS v0, {b} AS v1, round(sum(p) / sum(sum(p)) OVER (PARTITION BY {a}), 8) AS p_v1_given_v0 FROM probs GROUP BY {a}, {b}" for a, b in PAIRS))
+def m11_steps(spark, sf):
+    """Conditional tables that rows are drawn from; the chance of the second column of a pair given the first by Bayes' rule."""
+    model, values, lams, _ = explicit(spark, sf)
+    statistics = _statistics(model)
+    cpts = T.step_conditionals(statistics, lams.select(F.lit(0).cast("long").alias("draw_id"), "query_id", "lam"))
+    domain, rows = model.domain, None
+    for column, given, _ in statistics.tree.steps():  # joint chances of the columns drawn so far, two at a time
+        part = cpts.where(F.col("col") == column).select(*([F.col("parent_code").cast("int").alias(given[0])] if given else []), F.col("code").alias(column), F.col("p").alias(f"p_{column}"))
+        rows = part if rows is None else rows.join(part, list(given)) if given else rows.crossJoin(part)
+    p = rows.withColumn("p", F.lit(1.0))
+    for column in domain.columns:
+        p = p.withColumn("p", F.col("p") * F.col(f"p_{column}"))
+    out = None
+    for a, b in PAIRS:
+        joint = p.groupBy(F.col(a).alias("v0"), F.col(b).alias("v1")).agg(F.sum("p").alias("p"))
+        total = F.sum("p").over(W.partitionBy("v0"))
+        one = joint.select(F.lit(f"{a}|{b}").alias("pair"), "v0", "v1", F.round(F.col("p") / total, 8).alias("p_v1_given_v0"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("m11_pair_marginals_by_messages", f"WITH {ROWS} " + " UNION ALL ".join(
     f"SELECT {i} AS clique_id, {a} AS v0, {b} AS v1, round(sum(p), 8) AS p FROM probs GROUP BY {a}, {b}" for i, (a, b) in enumerate(PAIRS)))
 def m11(spark, sf):

@@ -8,17 +8,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyveil.functions.keyed import hash_uniform
 from tallyveil.operators import maxent as X
 from tallyveil.operators import privacy as D
 from tallyveil.operators import treemodel as TM
-from tallyveil.operators.domain import Domain, decode, encode, unrank
+from tallyveil.operators.cliquetree import CliqueTree, Statistics, step_conditionals
+from tallyveil.operators.domain import Domain, decode, encode
 from tallyveil.operators.factors import elimination_order, log_sum_exp
 from tallyveil.operators.marginals import Clique, canonical_count, check_cliques, count_all_cells, encode_counted
-from tallyveil.operators.sampling import code_from, sample_tree
+from tallyveil.operators.sampling import sample_counts, sample_tree
 from tallyveil.session import broadcast_checked, cut_lineage
 from tallyveil.sources.store import load_model, store_model
 
@@ -56,10 +55,10 @@ class Plan:
 
 @dataclass
 class Fitted:
-    """A fitted model: conditional tables per posterior draw, and what is needed to decode them."""
+    """A fitted model: conditional tables per posterior draw, the order in which columns are drawn, and what decodes them."""
 
     cpts: DataFrame
-    tree: TM.Tree | None
+    tree: TM.Tree | CliqueTree
     lambdas: DataFrame | None
     domain: Domain
     pairs: list[Clique]
@@ -77,6 +76,20 @@ def model_width(pairs: Sequence[Clique], columns: Sequence[str]) -> int:
     return widest
 
 
+def generate_counts(fitted: Fitted, n: int | None = None, seed: int = 0) -> DataFrame:
+    """One synthetic table of n rows from every draw, as distinct coded rows with their number: (dataset_id, columns..., rows)."""
+    return sample_counts(fitted.cpts, fitted.tree, fitted.domain, n or int(fitted.meta["rows"]), seed)
+
+
+def check_shape(o: Options, domain: Domain, whole: bool = False) -> None:
+    """Refuse pairs that the method cannot use before anything is measured or selected; `whole`: all pairs are there."""
+    fixed = [tuple(p) for p in (o.required if o.pairs is None else o.pairs)]
+    if o.method == "tree":
+        TM.Tree.of(fixed, domain.columns, partly=o.pairs is None or not whole)
+    else:
+        CliqueTree.of(fixed, domain)
+
+
 def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool = False, rows: str | None = None) -> Plan:
     """Choose pairs and noise; releases nothing but the choice of pairs."""
     if o.method not in METHODS:
@@ -84,6 +97,7 @@ def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool =
     if o.budget not in ("split", "twice"):
         raise ValueError(f"unknown budget {o.budget!r}")
     check_cliques([*(o.pairs or []), *o.required], domain)
+    check_shape(o, domain)
     ledger = D.Ledger(o.epsilon, o.delta)
     scores = None
     if o.pairs is not None:
@@ -110,6 +124,8 @@ def fit(df: DataFrame, domain: Domain, o: Options = Options(), rows: str | None
 
     The table is read once, to count its distinct rows; `rows` names their number when that was done before.
     """
+    check_cliques([*(o.pairs or []), *o.required], domain)
+    check_shape(o, domain, whole=True)
     coded, rows = (encode(df, domain), rows) if rows else encode_counted(df, domain)
     plan = plan_fit(coded, domain, o, rows=rows)
     n = coded.agg(F.sum(rows)).first()[0] if rows else coded.count()
@@ -124,8 +140,7 @@ def fit(df: DataFrame, domain: Domain, o: Options = Options(), rows: str | None
     else:
         noisy = D.noisy(counts, "n", plan.sigma, ["clique_id", "cell"], "y", o.salt)
         released = noisy.drop("n") if o.salt is not None else D.release(noisy, ["n"])
-        released = TM.project(released, plan.pairs, domain, n)
-    per_draw = TM.perturb(released, o.draws, plan.sigma, salt=f"{o.salt or o.seed}/draws")
+    per_draw = TM.consistent_draws(released, plan.pairs, domain, n, o.draws, plan.sigma, f"{o.salt or o.seed}/draws")
     cpts = TM.conditionals(per_draw, plan.pairs, domain, tree, by=["draw_id"])
     return Fitted(cpts, tree, None, domain, plan.pairs, meta)
 
@@ -134,13 +149,14 @@ def _fit_explicit(coded: DataFrame, domain: Domain, o: Options, plan: Plan, n: i
     spark = coded.sparkSession
     released = D.release_statistic(coded, plan.pairs, domain, plan.sigma, o.salt, rows=rows).persist()
     model = X.Model.of(domain, plan.pairs, released)
-    cache = X.statistic_cache(X.domain_rows(spark, model))
     y = [r["y"] for r in released.orderBy("query_id").select("y").collect()]
-    posterior = X.fit_noise_aware(cache, y, n, plan.sigma)
-    lambdas = X.posterior_draws(spark, posterior, o.draws, o.seed)
-    cpts = cut_lineage(chain_conditionals(spark, model, lambdas, o.draws))
+    tree = CliqueTree.of(plan.pairs, domain)
+    statistics = Statistics(tree, plan.pairs, model.ids)
+    posterior = X.fit_noise_aware(lambda lam, near: statistics.moments(spark, lam), y, n, plan.sigma)
+    lambdas = cut_lineage(X.posterior_draws(spark, posterior, o.draws, o.seed))
+    cpts = cut_lineage(step_conditionals(statistics, lambdas))
     meta = {**meta, "converged": posterior.converged, "iterations": posterior.iterations}
-    return Fitted(cpts, None, lambdas, domain, plan.pairs, meta)
+    return Fitted(cpts, tree, lambdas, domain, plan.pairs, meta)
 
 
 def chain_conditionals(spark: SparkSession, model: X.Model, lambdas: DataFrame, draws: int) -> DataFrame:
@@ -160,51 +176,57 @@ def generate(spark: SparkSession, fitted: Fitted, m: int, n: int | None = None,
     """m synthetic tables of n rows in one DataFrame with `dataset_id`, each from one posterior draw."""
     n = n or int(fitted.meta["rows"])
     draws = int(fitted.meta["draws"])
-    if fitted.tree is not None:
-        out = sample_tree(spark, fitted.cpts, fitted.tree, fitted.domain, n, m, draws, salt=salt, **kw)
-    else:
-        out = _sample_cells(spark, fitted, n, m, draws, salt)
+    out = sample_tree(spark, fitted.cpts, fitted.tree, fitted.domain, n, m, draws, salt=salt, **kw)
     return decode(out, fitted.domain) if labels else out
 
 
-def _sample_cells(spark: SparkSession, fitted: Fitted, n: int, m: int, draws: int, salt: str) -> DataFrame:
-    """Rows of explicit models column by column: conditional tables of each column given the drawn ones.
+def release_repeats(df: DataFrame, domain: Domain, o: Options, repeats: int, tables: int, rows: str) -> Fitted:
+    """As many releases of the same counts as `repeats`, each with draws for its own tables, in one plan.
 
-    Each row does one equality join per column with the thresholds of its prefix, so nothing searches the
-    whole domain. Small threshold tables are broadcast, large ones are joined by their prefix.
+    Table d belongs to release d / tables and has a posterior draw of its own. A release spends the budget of the options,
+    so this is for experiments on how intervals behave.
     """
-    columns, sizes = fitted.domain.columns, fitted.domain.sizes()
-    cells = fitted.cpts.select("draw_id", "p", *[c.alias(x) for c, x in zip(unrank("cell_id", sizes), columns)])
-    rows = spark.range(m * n).select(F.call_function("div", F.col("id"), F.lit(n).cast("long")).cast("int").alias("dataset_id"), (F.col("id") % n).alias("row_id"))
-    rows = rows.withColumn("draw_id", F.floor(hash_uniform(f"{salt}/draw", "dataset_id") * draws))
-    for i, c in enumerate(columns):
-        prefix = columns[:i]
-        sums = cells.groupBy("draw_id", *prefix, c).agg(F.sum("p").alias("p"))
-        by = W.partitionBy("draw_id", *prefix)
-        cum = F.sum("p").over(by.orderBy(c).rowsBetween(W.unboundedPreceding, W.currentRow)) / F.sum("p").over(by)
-        table = sums.withColumn("cum", cum).groupBy("draw_id", *prefix).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(c, "cum"))), lambda s: s["cum"]).alias("__t"))
-        table = broadcast_checked(table, draws * math.prod(sizes[:i]), 48 + 8 * sizes[i])
-        rows = rows.join(table, ["draw_id", *prefix]).withColumn("__u", hash_uniform(f"{salt}/{c}", "dataset_id", "row_id"))
-        rows = rows.withColumn(c, code_from("__t", "__u", sizes[i])).drop("__t", "__u")
-    return rows.select("dataset_id", "row_id", "draw_id", *columns)
+    if o.pairs is None or o.method != "tree":
+        raise ValueError("repeated releases take given pairs and the tree model")
+    check_cliques(o.pairs, domain)
+    check_shape(o, domain, whole=True)
+    coded = encode(df, domain)
+    plan = plan_fit(coded, domain, o, rows=rows)
+    n = coded.agg(F.sum(rows)).first()[0]
+    tree = TM.Tree.of(plan.pairs, domain.columns)
+    counts = count_all_cells(coded, plan.pairs, domain, rows).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    if plan.sigma == 0:
+        released = counts.withColumn("y", F.col("n").cast("double")).drop("n")
+    else:
+        noisy = D.noisy(counts, "n", plan.sigma, ["repeat", "clique_id", "cell"], "y", o.salt)
+        released = noisy.drop("n") if o.salt is not None else D.release(noisy, ["n"])
+    per_draw = TM.consistent_draws(released, plan.pairs, domain, n, tables, plan.sigma, f"{o.salt or o.seed}/draws", by=["repeat"])
+    per_draw = per_draw.withColumn("draw_id", F.col("repeat") * tables + F.col("draw_id")).drop("repeat")
+    meta = {"rows": n, "epsilon": o.epsilon, "delta": o.delta, "sigma": plan.sigma, "method": o.method, "draws": repeats * tables}
+    return Fitted(TM.conditionals(per_draw, plan.pairs, domain, tree, by=["draw_id"]), tree, None, domain, plan.pairs, meta)
+
+
+def count_sigma(rho: float) -> float:
+    """Noise that spends rho on a table of counts under one replaced row."""
+    return D.COUNT_SENSITIVITY / math.sqrt(2 * rho)
 
 
 def select_measure_generate(df: DataFrame, domain: Domain, epsilon: float, delta: float, salt: str | None = None) -> DataFrame:
     """Shrink the domain, choose pairs, measure them, generate one table of the same size, undo the shrinking."""
     spark, columns = df.sparkSession, domain.columns
-    rho = D.rho_number(epsilon, delta)
+    ledger = D.Ledger(epsilon, delta)
     coded, counted = encode_counted(df, domain)
-    measured = D.measure(coded, [(c,) for c in columns], domain, math.sqrt(3 / (2 * rho)), salt=salt, rows=counted)
+    measured = D.measure(coded, [(c,) for c in columns], domain, count_sigma(ledger.spend("measure columns", ledger.rho / 3)), salt=salt, rows=counted)
     supports, ones = D.compress(measured)
     lists = D.support_lists(supports, columns)
     small, small_domain = D.remap(coded, lists), D.compressed_domain(lists)
     scores = D.score_dict(D.pair_scores(small, columns, small_domain, ones.collect(), counted))
-    pairs = D.spanning_pairs(scores, columns, rho / 3, salt=None if salt is None else f"{salt}/select")
-    cells = D.measure(small, pairs, small_domain, math.sqrt(3 / (2 * rho)), salt=None if salt is None else f"{salt}/pairs", rows=counted)
+    pairs = D.spanning_pairs(scores, columns, ledger.spend("select pairs", ledger.rho / 3), salt=None if salt is None else f"{salt}/select")
+    cells = D.measure(small, pairs, small_domain, count_sigma(ledger.spend("measure pairs", ledger.rho / 3)), salt=None if salt is None else f"{salt}/pairs", rows=counted)
     n = max(1, round(ones.select((F.col("y") * F.sqrt("members")).alias("x"), "clique_id").groupBy("clique_id").agg(F.sum("x").alias("s")).agg(F.avg("s")).first()[0]))
     tree = TM.Tree.of(pairs, columns)
-    cpts = TM.conditionals(TM.project(cells, pairs, small_domain, n), pairs, small_domain, tree, value="y")
+    agreed = TM.consistent_draws(cells, pairs, small_domain, n, 1, 0.0, "", spread=False)
+    cpts = TM.conditionals(agreed, pairs, small_domain, tree)
     rows = sample_tree(spark, cpts, tree, small_domain, n, 1)
     return decode(D.unmap(rows, lists, "row_id"), domain).select("row_id", *columns)
 
@@ -222,5 +244,5 @@ def load(spark: SparkSession, path: str) -> Fitted:
     tables, meta = load_model(spark, path)
     domain = Domain.declare(json.loads(meta["labels"]))
     pairs = [tuple(p) for p in json.loads(meta["pairs"])]
-    tree = TM.Tree.of(pairs, domain.columns) if meta["method"] == "tree" else None
+    tree = TM.Tree.of(pairs, domain.columns) if meta["method"] == "tree" else CliqueTree.of(pairs, domain)
     return Fitted(tables["cpts"], tree, tables.get("lambdas"), domain, pairs, {**meta, "rows": int(meta["rows"]), "draws": int(meta["draws"])})
