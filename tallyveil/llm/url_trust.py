@@ -2,12 +2,16 @@
 
 Trust is personalised PageRank from hosts with allowed pages along links; distrust is the same from hosts with blocked pages
 against the links. Both run in one table keyed by (direction, host): an iteration is one join with the edges and one
-pre-aggregated sum. Edges are host pairs with the number of pages that link, counted before any iteration, so copies of a
+pre-aggregated sum. Scores are sums of ever longer walks from the seeds, so they only grow, and the growth of their total is
+the whole change; iterations end when it is at most TOLERANCE. What ends at a host without onward links goes back to the
+seeds, which is the same as scaling the scores of a direction to the sum 1 at the end. Edges are host pairs with the number of pages that link, counted before any iteration, so copies of a
 link cost nothing later. A host is blocked when its distrust is at least MARGIN times its trust, and more than the noise
 floor of FLOOR times the mean share of a host.
 
 Nulls: a null url or one without `://` has empty host and path, which no rule fits; its verdict comes from the scores of
-the empty host, which has none: allow. A null html links nowhere. Repeated rows count as pages of their own.
+the empty host, which has none: allow. A null html links nowhere. Repeated rows count as pages of their own. Where distrust
+equals trust (MARGIN 1) the host is blocked. An empty table, or one without seeds, has no scores. Html of any length is
+searched whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import saved
+from tallyveil.llm.common import discard, saved
 
 DAMPING = 0.85
-STEPS = 12
-SAVE_EVERY = 3
+TOLERANCE = 1e-5  # growth of all scores of a direction, whose sum is 1 at most, that ends the iterations
+SAVE_EVERY = 6  # iterations between written tables
 MARGIN = 1.0
 FLOOR = 0.1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,31 +68,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("source <> '' AND target <> ''").groupBy("source", "target").agg(F.count("*").alias("pages"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, steps: int = STEPS) -> DataFrame:
-    """host, trust, distrust after `steps` iterations.
-
-    `seeds` has host, allowed, blocked (numbers of pages). Each kind of seed shares one unit; what reaches a host without
-    onward links returns to nobody, which lowers all scores of a kind alike.
-    """
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust. `seeds` has host, allowed, blocked (numbers of pages); each kind of seed shares one unit."""
     both = edges.select(F.lit(0).alias("way"), F.col("source").alias("at"), F.col("target").alias("to"), "pages").union(
         edges.select(F.lit(1).alias("way"), F.col("target").alias("at"), F.col("source").alias("to"), "pages"))
     out = both.groupBy("way", "at").agg(F.sum("pages").alias("all"))
-    flow = saved(both.join(out, ["way", "at"]).select("way", "at", "to", (F.col("pages") / F.col("all")).alias("part")), "host-edges")
+    flow = saved(both.join(out, ["way", "at"]).select("way", "at", "to", (F.col("pages") / F.col("all") * DAMPING).alias("part")), "host-edges")
     sums = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
-    start = saved(seeds.where("allowed > 0").select(F.lit(0).alias("way"), F.col("host").alias("at"), (F.col("allowed") / F.lit(float(sums["a"] or 1))).alias("score")).union(
-        seeds.where("blocked > 0").select(F.lit(1).alias("way"), F.col("host").alias("at"), (F.col("blocked") / F.lit(float(sums["b"] or 1))).alias("score"))), "seeds")
-    rank = start
-    again = start.select("way", "at", (F.col("score") * (1 - DAMPING)).alias("score"))
-    for step in range(steps):
-        moved = rank.join(flow, ["way", "at"]).select("way", F.col("to").alias("at"), (F.col("score") * F.col("part") * DAMPING).alias("score"))
-        rank = moved.union(again).groupBy("way", "at").agg(F.sum("score").alias("score"))
-        if (step + 1) % SAVE_EVERY == 0 and step + 1 < steps:
-            rank = saved(rank, "host-scores")
-    of = lambda way: F.sum(F.when(F.col("way") == way, F.col("score")).otherwise(0.0))
+    start = saved(seeds.where("allowed > 0").select(F.lit(0).alias("way"), F.col("host").alias("at"), (F.col("allowed") / F.lit(float(sums["a"] or 1)) * (1 - DAMPING)).alias("score")).union(
+        seeds.where("blocked > 0").select(F.lit(1).alias("way"), F.col("host").alias("at"), (F.col("blocked") / F.lit(float(sums["b"] or 1)) * (1 - DAMPING)).alias("score"))), "seeds")
+    rank, before = start, None
+    while True:
+        totals = {r["way"]: r["total"] for r in rank.groupBy("way").agg(F.sum("score").alias("total")).collect()}
+        if before is not None and max((totals[w] - before[w] for w in totals), default=0.0) <= tolerance:
+            break
+        before, last = totals, rank
+        for _ in range(SAVE_EVERY):
+            moved = rank.join(flow, ["way", "at"]).select("way", F.col("to").alias("at"), (F.col("score") * F.col("part")).alias("score"))
+            rank = moved.union(start).groupBy("way", "at").agg(F.sum("score").alias("score"))
+        rank = saved(rank, "host-scores")
+        if last is not start:
+            discard(last)
+    of = lambda way: F.sum(F.when(F.col("way") == way, F.col("score") / F.lit(float(totals.get(way) or 1))).otherwise(0.0))
     return rank.groupBy(F.col("at").alias("host")).agg(of(0).alias("trust"), of(1).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, steps: int = STEPS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page."""
     h, p = host(F.col("url")), path(F.col("url"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
@@ -96,7 +101,7 @@ def judge(pages: DataFrame, rules=RULES, steps: int = STEPS) -> DataFrame:
     edges = saved(host_edges(placed), "host-links")
     seeds = saved(placed.groupBy("host").agg(F.count_if(F.col("__says") == "allow").alias("allowed"), F.count_if(F.col("__says") == "block").alias("blocked")), "host-seeds")
     hosts = max(1, seeds.count())
-    scores = saved(spread(edges, seeds, steps), "host-scores")
+    scores = saved(spread(edges, seeds, tolerance), "host-scores")
     bad = (F.col("distrust") >= MARGIN * F.col("trust")) & (F.col("distrust") > F.lit(FLOOR / hosts))
     judged = scores.select(F.col("host").alias("__host"), "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("__method"))
     joined = placed.drop("html").join(judged, F.col("host") == F.col("__host"), "left")
