@@ -301,7 +301,9 @@ def fit_model(pages: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """Trees fitted on made pages; the texts in them come from `sample` pages, the same ones every time."""
     from tallyveil.llm.html_training import made_pages
 
-    some = pages.where("html IS NOT NULL").select("html").distinct().orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    hashed = pages.where("html IS NOT NULL").select(F.xxhash64("html").alias("at"), "html")
+    least = [r[0] for r in hashed.select("at").distinct().orderBy("at").limit(sample).collect()]  # only hashes are sorted
+    some = hashed.where(F.col("at").isin(least)).groupBy("at").agg(F.min("html").alias("html")).collect() if least else []
     texts = sorted({t for r in some for t in parse(r.html).text if t})
     made = made_pages(texts)
     if not made:
