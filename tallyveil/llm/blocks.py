@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 BLOCK_BYTES = 1 << 20  # text handled at once inside a task; a longer single text is a block of its own
 
@@ -102,11 +101,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def hashes(distinct: pa.Array) -> np.ndarray:
-    """64-bit hashes of byte strings, equal on every machine."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
-
-
 def byte_hashes(parts: pa.Array, salt: int = 0) -> np.ndarray:
     """64-bit hashes of byte strings from prefix sums of a polynomial, without Python objects."""
     data, offsets = utf8(parts)
