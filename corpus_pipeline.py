@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: quality rules, line and near-duplicate removal, mixing, packing.
 
 Each stage works on everything its predecessor kept and is written as Parquet before the next begins, so lost executors
-cost at most the stage at hand.
+cost at most the stage at hand. The stages' own modules say what they do with nulls, ties and repeated rows; together: a null
+or empty text fails the quality rules and goes, a null doc_id is a document of its own, repeated rows go together where a
+stage decides by doc_id, and columns beyond those of documents are carried up to the packing. An empty table gives no
+pieces. Texts of any length are read whole.
 """
 
 from __future__ import annotations
