@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyveil.functions.sqltext import array, ident
-from tallyveil.operators.cliquetree import CliqueTree, Statistics
+from tallyveil.operators.cliquetree import CliqueTree, Statistics, marginals
 from tallyveil.operators.domain import Domain, all_rows, rank_text
 from tallyveil.operators.factors import log_sum_exp
 from tallyveil.operators.marginals import Clique
@@ -264,19 +264,26 @@ def _weak_quantiles(p: Posterior, which: np.ndarray, u: np.ndarray) -> np.ndarra
 
     The share of one statistic follows its own parameter exactly: its log odds move by as much as the parameter.
     """
-    grid = np.linspace(-6.0, 6.0, GRID) * p.prior_sd
     out = np.empty_like(u)
     for k, q in enumerate(which):
-        share = np.clip(p.shares[q], 1e-300, 1 - 1e-12)
-        odds = np.clip(np.log(share) - np.log1p(-share) + grid - p.mean[q], -700, 700)
-        at = 1 / (1 + np.exp(-odds))
-        var = p.sigma ** 2 + p.rows * at * (1 - at) + 1e-9
-        logf = -(grid / p.prior_sd) ** 2 / 2 - (p.counts[q] - p.rows * at) ** 2 / (2 * var) - np.log(var) / 2
+        grid, logf = _weak_density(p, q)
         cdf = np.cumsum(np.exp(logf - logf.max()))
         out[:, k] = np.interp(u[:, k] * cdf[-1], cdf, grid)
     return out
 
 
+def _weak_density(p: Posterior, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and normalised log density of one parameter, all others held at the fit."""
+    grid = np.linspace(-6.0, 6.0, GRID) * p.prior_sd
+    share = np.clip(p.shares[q], 1e-300, 1 - 1e-12)
+    odds = np.clip(np.log(share) - np.log1p(-share) + grid - p.mean[q], -700, 700)
+    at = 1 / (1 + np.exp(-odds))
+    var = p.sigma ** 2 + p.rows * at * (1 - at) + 1e-9
+    logf = -(grid / p.prior_sd) ** 2 / 2 - (p.counts[q] - p.rows * at) ** 2 / (2 * var) - np.log(var) / 2
+    top = logf.max()
+    return grid, logf - top - np.log(np.exp(logf - top).sum() * (grid[1] - grid[0]))
+
+
 def posterior_draws(spark: SparkSession, posterior: Posterior, draws: int, seed: int = 0) -> DataFrame:
     """(draw_id, query_id, lam); each draw is seeded by its own id.
 
@@ -299,3 +306,57 @@ def posterior_draws(spark: SparkSession, posterior: Posterior, draws: int, seed:
                 yield pd.DataFrame({"draw_id": np.full(len(mean), i), "query_id": np.arange(len(mean), dtype=np.int32), "lam": row})
 
     return spark.range(draws).mapInPandas(draw, "draw_id long, query_id int, lam double")
+
+
+def log_posterior(posterior: Posterior, lam: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> float:
+    """Unnormalised noise-aware log density of parameters with the given moments."""
+    spread = posterior.rows * cov + (posterior.sigma ** 2 + 1e-9) * np.eye(len(lam))
+    left = posterior.counts - posterior.rows * mean
+    return -lam @ lam / (2 * posterior.prior_sd ** 2) - (left @ np.linalg.solve(spread, left) + np.linalg.slogdet(spread)[1]) / 2
+
+
+def draw_weights(posterior: Posterior, statistics: Statistics, lambdas: DataFrame) -> DataFrame:
+    """(draw_id, logw): how much more likely each draw is than the approximation that it was drawn from says.
+
+    Draws are spread over tasks; each costs the moments at its parameters.
+    """
+    weak = np.flatnonzero(posterior.weak())
+    strong = np.setdiff1d(np.arange(len(posterior.mean)), weak)
+    inside = posterior.precision[np.ix_(strong, strong)]
+    densities = [_weak_density(posterior, q) for q in weak]
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for lam in b["lams"]:
+                lam = np.asarray(lam, float)
+                beliefs = marginals(statistics.tree, statistics.potentials(lam))[1]
+                mean = statistics.read(beliefs)
+                second = statistics.second_moments(beliefs, range(statistics.size))
+                off = lam[strong] - posterior.mean[strong]
+                drawn = -off @ inside @ off / 2 + sum(np.interp(lam[q], *d) for q, d in zip(weak, densities))
+                out.append(log_posterior(posterior, lam, mean, (second + second.T) / 2 - np.outer(mean, mean)) - drawn)
+            yield pd.DataFrame({"draw_id": b["draw_id"], "logw": out})
+
+    vectors = lambdas.groupBy("draw_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "lam"))), lambda s: s["lam"]).alias("lams"))
+    return vectors.mapInPandas(weigh, "draw_id long, logw double")
+
+
+def effective_draws(weights: DataFrame) -> float:
+    """How many equally weighted draws the weighted ones are worth."""
+    w = F.exp(F.col("logw") - F.lit(weights.agg(F.max("logw")).first()[0]))
+    a, b = weights.agg(F.sum(w), F.sum(w * w)).first()
+    return float(a * a / b)
+
+
+def resample_draws(lambdas: DataFrame, weights: DataFrame, draws: int, least: float = 10.0, seed: int = 0) -> DataFrame:
+    """`draws` draws chosen by weight, evenly spaced over the running sum; raises where they are worth fewer than `least`."""
+    rows = sorted(tuple(r) for r in weights.collect())  # one number for each draw
+    w = np.exp(np.array([v for _, v in rows]) - max(v for _, v in rows))
+    worth = float(w.sum() ** 2 / (w * w).sum())
+    if worth < least:
+        raise RuntimeError(f"{len(rows)} draws are worth {worth:.1f}: the approximation does not fit the posterior")
+    at = (np.arange(draws) + np.random.default_rng(seed).random()) / draws * w.sum()
+    taken = np.minimum(np.searchsorted(np.cumsum(w), at, side="right"), len(rows) - 1)
+    chosen = lambdas.sparkSession.createDataFrame([(k, rows[i][0]) for k, i in enumerate(taken.tolist())], "draw_id long, __from long")
+    return lambdas.withColumnRenamed("draw_id", "__from").join(F.broadcast(chosen), "__from").select("draw_id", "query_id", "lam")

@@ -305,6 +305,21 @@ def m18(spark, sf):
     return X.posterior_draws(spark, post, 200)
 
 
+@query("m18_reweighted_draws")
+def m18_weighted(spark, sf):
+    """Draws weighted by the full noise-aware density and drawn again: mean and spread of each parameter, and their worth."""
+    df, domain = coded(spark, sf, ["status", "priority", "segment"])
+    sigma, n = D.statistic_sigma(2, 1.0, 1e-6), df.count()
+    stat = cut_lineage(D.release_statistic(df, PAIRS[:2], domain, sigma, "stat"))
+    model = X.Model.of(domain, PAIRS[:2], stat)
+    statistics = T.Statistics(T.CliqueTree.of(PAIRS[:2], domain), PAIRS[:2], model.ids)
+    post = X.fit_noise_aware(X.message_moments(spark, model), [r[0] for r in stat.orderBy("query_id").select("y").collect()], n, sigma)
+    lambdas = cut_lineage(X.posterior_draws(spark, post, 400))
+    weights = cut_lineage(X.draw_weights(post, statistics, lambdas))
+    again = X.resample_draws(lambdas, weights, 400, least=1.0)
+    return again.groupBy("query_id").agg(F.avg("lam").alias("mean"), F.stddev("lam").alias("spread")).withColumn("effective_draws", F.lit(X.effective_draws(weights)))
+
+
 @query("m18_draws_match_release", f"""
 WITH {CELLS} SELECT t.cell AS query_id, true AS close FROM (SELECT CAST(unnest(range(p * p - 1)) AS INT) AS cell FROM (SELECT count(DISTINCT priority) AS p FROM survey)) t""")
 def m18_release(spark, sf):
