@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tallyveil.functions.sqltext import array, ident, literal, search
 from tallyveil.functions.text import clean_name
 from tallyveil.operators.cleaning import target_last
-from tallyveil.session import broadcast_checked
+from tallyveil.session import broadcast_checked, cut_lineage
 
 MAX_LEVELS = 200_000  # labels of all columns a driver-side domain may hold; more raises
 TREE_LEVELS = 256  # up to here codes come from nested comparisons, above from a join
@@ -46,8 +47,46 @@ def label_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def domain_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """domain(col, code, label) over all rows, codes from 0 in label order; nulls have no code."""
-    return Domain.infer(df, columns, skip_nulls=True).table(df.sparkSession)
+    """domain(col, code, label) over all rows, codes from 0 in label order; nulls have no code.
+
+    Any number of labels: they are sorted by ranges and numbered inside each range, and the ranges are lined up by their counts,
+    so no label leaves the executors. The sorted labels are written first, which fixes the ranges.
+    """
+    require_categorical(df, columns)
+    labels = label_rows(df, columns).filter("label IS NOT NULL").repartitionByRange("col", "label")
+    ranged = cut_lineage(labels.withColumn("__range", F.spark_partition_id()))
+    counts = ranged.groupBy("col", "__range").agg(F.count("*").alias("n"))  # a row per column and range
+    before = W.partitionBy("col").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    first = counts.select("col", "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    within = F.row_number().over(W.partitionBy("col", "__range").orderBy("label")) - 1
+    numbered = ranged.withColumn("__no", within).join(first, ["col", "__range"])
+    return numbered.select("col", (F.col("__first") + F.col("__no")).cast("int").alias("code"), "label")
+
+
+def encode_by_table(df: DataFrame, domain: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Labels -> codes through a domain table of any size; other columns pass, nulls and unknown labels give null.
+
+    Labels are counted first. Those that hold more rows than an even share of a shuffle partition, fewer than there are
+    partitions, are looked up in a broadcast table; all others by an equality join, in which rows that have nothing to find any more
+    are spread over all partitions.
+    """
+    require_categorical(df, columns)
+    clash = {"__label", "__code", "__top", "__part", "__key", "__spread"} & set(df.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are used while encoding")
+    parts, order = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns
+    counts = df.select(*columns).unpivot([], list(columns), "col", "label").groupBy("col", "label").agg(F.count("*").alias("n"))
+    frequent = counts.filter(F.col("label").isNotNull() & (F.col("n") > F.lit(df.count() / parts)))
+    top = cut_lineage(frequent.join(domain, ["col", "label"]).select("col", F.col("label").alias("__label"), F.col("code").alias("__top")))
+    for c in columns:
+        mine = top.filter(F.col("col") == c).drop("col")
+        keyed = df.join(F.broadcast(mine), F.col(c) == F.col("__label"), "left").drop("__label")
+        keyed = keyed.withColumn("__key", F.when(F.col("__top").isNull(), F.col(c)))
+        keyed = keyed.withColumn("__spread", F.when(F.col("__key").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(-1))
+        table = domain.filter(F.col("col") == c).select(F.col("label").alias("__label"), F.col("code").alias("__code"), F.lit(-1).cast("long").alias("__part"))
+        found = keyed.join(table, (F.col("__key") == F.col("__label")) & (F.col("__spread") == F.col("__part")), "left")
+        df = found.withColumn(c, F.coalesce("__top", "__code")).select(order)
+    return df
 
 
 @dataclass(frozen=True)
@@ -55,6 +94,7 @@ class Domain:
     """Ordered labels per column; small by construction (`MAX_LEVELS`)."""
 
     labels: Mapping[str, tuple[str, ...]]
+    inferred: bool = field(default=False, compare=False)  # read off rows: not for private runs
 
     @staticmethod
     def declare(labels: Mapping[str, Sequence]) -> "Domain":
@@ -65,14 +105,10 @@ class Domain:
         return Domain(out)
 
     @staticmethod
-    def infer(df: DataFrame, columns: Sequence[str], null_label: str | None = None, max_levels: int = MAX_LEVELS,
-              skip_nulls: bool = False) -> "Domain":
+    def infer(df: DataFrame, columns: Sequence[str], null_label: str | None = None, max_levels: int = MAX_LEVELS) -> "Domain":
         """Labels seen in the rows, all of them or an error. Reveals them, so private runs declare theirs."""
         require_categorical(df, columns)
-        found_rows = label_rows(df, columns)
-        if skip_nulls:
-            found_rows = found_rows.filter("label IS NOT NULL")
-        rows = found_rows.limit(max_levels + 1).collect()
+        rows = label_rows(df, columns).limit(max_levels + 1).collect()
         if len(rows) > max_levels:
             raise ValueError(f"more than {max_levels} labels; these columns are not categorical")
         found: dict[str, set] = {c: set() for c in columns}
@@ -80,7 +116,7 @@ class Domain:
             if r["label"] is None and null_label is None:
                 raise ValueError(f"column {r['col']!r} has nulls; clean them or give null_label")
             found[r["col"]].add(null_label if r["label"] is None else r["label"])
-        return Domain({c: tuple(sorted(found[c], key=lambda v: v.encode())) for c in columns})
+        return Domain({c: tuple(sorted(found[c], key=lambda v: v.encode())) for c in columns}, inferred=True)
 
     @property
     def columns(self) -> list[str]:
@@ -97,7 +133,12 @@ class Domain:
         return math.prod(self.sizes(columns))
 
     def only(self, columns: Sequence[str]) -> "Domain":
-        return Domain({c: self.labels[c] for c in columns})
+        return Domain({c: self.labels[c] for c in columns}, self.inferred)
+
+    def require_declared(self) -> None:
+        """Refuse labels that were read off the rows: which labels occur is not protected by any noise."""
+        if self.inferred:
+            raise ValueError("a private run needs a declared domain; if the labels are public, declare them: Domain.declare(domain.labels)")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The domain as domain(col, code, label)."""

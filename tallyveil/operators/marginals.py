@@ -8,20 +8,25 @@ follows the number of cells and not the number of columns.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyveil.functions.sqltext import array, search
+from tallyveil.operators import slabs
 from tallyveil.operators.domain import Domain, encode, rank_text
 from tallyveil.session import broadcast_checked, cut_lineage
 
 Clique = tuple[str, ...]
 
 JOINT_CELLS = 5_000_000  # joint domains up to this size are counted once, then marginalised
-GROUPING_SETS = 30  # above this many sets rows are exploded instead of expanded by grouping sets
+GROUPING_SETS = 30  # above this many sets rows are not expanded by grouping sets
+VECTOR_CELLS = 8_000_000  # cells of a workload whose counts one task may hold (8 bytes each)
 GRID_CELLS = 200_000_000
 
 
@@ -82,15 +87,10 @@ def cell_grid(spark: SparkSession, cliques: Sequence[Clique], domain: Domain,
     cliques' running totals.
     """
     check_cliques(cliques, domain)
-    sizes = [domain.cells(c) for c in cliques]
-    if sum(sizes) > max_cells:
-        raise ValueError(f"{sum(sizes)} cells are more than {max_cells}")
-    ends, total = [], 0
-    for s in sizes:
-        total += s
-        ends.append(total)
-    which = search([str(e) for e in ends[:-1]], str, "id <")
-    starts = array([e - s for e, s in zip(ends, sizes)])
+    total = sum(domain.cells(c) for c in cliques)
+    if total > max_cells:
+        raise ValueError(f"{total} cells are more than {max_cells}")
+    which, starts = _clique_of(cliques, domain, "id")
     grid = spark.range(total).selectExpr(f"{which} AS clique_id", "id")
     return grid.selectExpr("clique_id", f"id - get({starts}, clique_id) AS cell")
 
@@ -148,9 +148,59 @@ def count_cells(coded: DataFrame, cliques: Sequence[Clique], domain: Domain, wei
         rows = rows.groupBy(*by, *used).agg(F.sum("n").alias("n"))
     if len(cliques) <= GROUPING_SETS:
         return _by_grouping_sets(rows, cliques, domain, used, by)
+    if not by and isinstance(rows.schema["n"].dataType, T.LongType) and sum(domain.cells(c) for c in cliques) <= VECTOR_CELLS:
+        return _by_vectors(rows, cliques, domain, used)
     return _by_explode(rows, cliques, domain, by)
 
 
+def _clique_of(cliques: Sequence[Clique], domain: Domain, place: str) -> tuple[str, str]:
+    """Texts of clique id and first place of a number that runs over all cells of all cliques."""
+    ends, total = [], 0
+    for c in cliques:
+        total += domain.cells(c)
+        ends.append(total)
+    return search([str(e) for e in ends[:-1]], str, f"{place} <"), array([0, *ends[:-1]])
+
+
+def _by_vectors(rows: DataFrame, cliques: Sequence[Clique], domain: Domain, used: Sequence[str]) -> DataFrame:
+    """Many column sets: every task fills one vector of counts, the vectors are added slab by slab.
+
+    Rows are not multiplied by the sets, and what is shuffled depends on the cells and tasks alone.
+    """
+    starts = np.concatenate([[0], np.cumsum([domain.cells(c) for c in cliques])])
+    sizes = {c: domain.size(c) for c in used}
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(starts[-1], np.int64)
+        for b in batches:
+            codes = {c: b.column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in used}
+            n = b.column("n").to_numpy(zero_copy_only=False)
+            ones = bool((n == 1).all())
+            for q, start, end in zip(cliques, starts[:-1], starts[1:]):
+                cell, known = np.zeros(len(n), np.int64), np.ones(len(n), bool)
+                for c in q:
+                    cell, known = cell * sizes[c] + codes[c], known & (codes[c] >= 0)
+                if known.all():
+                    counts[start:end] += _tally(cell, None if ones else n, end - start)
+                else:
+                    counts[start:end] += _tally(cell[known], None if ones else n[known], end - start)
+        yield pa.RecordBatch.from_pydict(slabs.pack(counts))
+
+    found = rows.select(*used, "n").mapInArrow(fill, slabs.schema("long"))
+    cells = slabs.spread(slabs.add_up(found), [], "place", "n")
+    which, first = _clique_of(cliques, domain, "place")
+    return cells.selectExpr(f"{which} AS clique_id", "place", "n").selectExpr("clique_id", f"place - get({first}, clique_id) AS cell", "n")
+
+
+def _tally(cell: np.ndarray, n: np.ndarray | None, cells: int) -> np.ndarray:
+    """Exact whole-number counts per cell of one batch."""
+    if n is None or int(n.max(initial=0)) * len(n) < 1 << 53:  # doubles hold these sums exactly
+        return np.bincount(cell, n, cells).astype(np.int64)
+    out = np.zeros(cells, np.int64)
+    np.add.at(out, cell, n)
+    return out
+
+
 def _cell_structs(cliques: Sequence[Clique], domain: Domain) -> Column:
     """One (clique_id, cell) per column set of a row."""
     parts = [f"named_struct('clique_id', {i}, 'cell', {rank_text(q, domain.sizes(q))})" for i, q in enumerate(cliques)]

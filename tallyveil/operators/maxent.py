@@ -151,19 +151,45 @@ def query_means(probabilities: DataFrame, columns: Sequence[str]) -> DataFrame:
     return probabilities.groupBy(*columns).agg(F.sum("p").alias("mean"))
 
 
-def conjugate_log_density(draws: DataFrame, chi: DataFrame, nu: float, cache: DataFrame) -> DataFrame:
+def conjugate_log_density(draws: DataFrame, chi: DataFrame, nu: float, cache: DataFrame, draws_at_once: int = 256,
+                          vectors_at_once: int = 8192) -> DataFrame:
     """Unnormalised log density of the conjugate prior per draw: (draw_id, logp).
 
-    `draws` has (draw_id, query_id, lam), `chi` (query_id, chi). The normaliser of each draw is a grouped
-    log-sum-exp over the cached statistic vectors.
+    `draws` has (draw_id, query_id, lam), `chi` (query_id, chi). The normaliser of a draw is a log-sum-exp over the cached
+    statistic vectors. Draws are cut into blocks and vectors into chunks; a task takes one block and one chunk as
+    matrices, and its log-sums, one per draw, are combined over the chunks. Neither draws nor vectors come to the driver.
     """
-    dot = draws.join(F.broadcast(chi), "query_id").groupBy("draw_id").agg(F.sum(F.col("chi") * F.col("lam")).alias("dot"))
-    vectors = draws.groupBy("draw_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "lam"))).alias("lams"))
-    ids = [r[0] for r in draws.select("draw_id").distinct().collect()]
-    each = cache.withColumn("draw_id", F.explode(F.lit(ids)))
-    keyed = each.join(broadcast_checked(vectors, len(ids), 24 * MAX_PARAMETERS), "draw_id")
-    weight = F.aggregate("active", F.lit(0.0), lambda acc, q: acc + F.try_element_at(F.col("lams"), q))
-    z = log_sum_exp(keyed.select("draw_id", (weight + F.ln("rows")).alias("logw")), ["draw_id"], out="z")
+    dot = draws.join(chi, "query_id").groupBy("draw_id").agg(F.sum(F.col("chi") * F.col("lam")).alias("dot"))
+    blocks = max(1, -(-draws.select("draw_id").distinct().count() // draws_at_once))
+    chunks = max(1, -(-cache.count() // vectors_at_once))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = draws.select("draw_id", "query_id", "lam", F.pmod(F.xxhash64("draw_id"), F.lit(blocks)).cast("int").alias("__block"), to(chunks).alias("__chunk"))
+    right = cache.select("active", "rows", F.pmod(F.xxhash64("active"), F.lit(chunks)).cast("int").alias("__chunk"), to(blocks).alias("__block"))
+
+    def work(some: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        names, place = np.unique(some["draw_id"].to_numpy(), return_inverse=True)
+        if not len(names) or not len(vectors):
+            return pd.DataFrame({"draw_id": names[:0], "logw": np.zeros(0)})
+        size = 1 + max(int(some["query_id"].max()), max((max(a, default=0) for a in vectors["active"]), default=0))
+        lam = np.full((len(names), size + 1), np.nan)
+        lam[place, some["query_id"].to_numpy()] = some["lam"].to_numpy()
+        lam[:, size] = 0.0  # stands in behind the end of short vectors
+        width = int(vectors["active"].map(len).max())
+        ids = np.full((len(vectors), width), size)
+        for i, a in enumerate(vectors["active"]):
+            ids[i, :len(a)] = a
+        logw = np.broadcast_to(np.log(vectors["rows"].to_numpy(float)), (len(names), len(vectors))).copy()
+        for j in range(width):
+            logw += lam[:, ids[:, j]]
+        logw[np.isnan(logw)] = -np.inf  # a vector whose parameter the draw does not have
+        peak = logw.max(axis=1)
+        known = np.isfinite(peak)
+        sums = peak[known] + np.log(np.exp(logw[known] - peak[known, None]).sum(axis=1))
+        return pd.DataFrame({"draw_id": names[known], "logw": sums})
+
+    by, kind = ["__block", "__chunk"], draws.schema["draw_id"].dataType.simpleString()
+    sums = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(work, f"draw_id {kind}, logw double")
+    z = log_sum_exp(sums, ["draw_id"], "logw", out="z")
     return dot.join(z, "draw_id").select("draw_id", (F.col("dot") - nu * F.col("z")).alias("logp"))
 
 

@@ -15,10 +15,12 @@ from tallyveil.operators.cliquetree import CliqueTree
 from tallyveil.operators.domain import Domain, decode, rank_cell, unrank
 from tallyveil.operators.numbering import number_rows
 from tallyveil.operators.treemodel import DRAWS_AT_ONCE, Tree
-from tallyveil.session import BROADCAST_BYTES, broadcast_checked
+from tallyveil.session import broadcast_checked
 
 UNROLL = 64  # columns with at most this many levels compare thresholds one by one in generated code
-MAX_THRESHOLDS = BROADCAST_BYTES // 8  # cells of an explicit model a task may hold
+RANGE_CELLS = 4096  # least number of cells in a range of an explicit model
+RANGE_ROWS = 200_000  # rows one task looks up
+MAX_RANGES = 65_536  # ranges of cells; beyond that they get wider
 
 Uniform = Callable[..., Column]
 
@@ -96,28 +98,43 @@ def generate(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain, n
 
 
 def sample_explicit(spark: SparkSession, probabilities: DataFrame, domain: Domain, n: int, salt: str = "explicit",
-                    uniform: Uniform = md5_uniform) -> DataFrame:
+                    uniform: Uniform = md5_uniform, range_cells: int = RANGE_CELLS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """n rows by inverse cumulative probability over the whole domain; `probabilities` has (cell_id, p).
 
-    The thresholds travel to the tasks once (8 bytes per cell, checked); rows are searched in batches.
+    Cells are cut into ranges of their number. Only the sums of the ranges come to the driver, at most MAX_RANGES of them; they
+    tell each row's uniform its range, and each range searches its own cells. A range that expects more than `range_rows` rows is
+    searched by several tasks, so a cell that holds most of the mass does not gather its rows in one.
     """
-    cells = domain.cells()
-    if cells > MAX_THRESHOLDS:
-        raise ValueError(f"{cells} cells are more than {MAX_THRESHOLDS}; sample from a tree model instead")
-    p = np.zeros(cells)
-    part = probabilities.select("cell_id", "p").toPandas()
-    p[part["cell_id"].to_numpy()] = part["p"].to_numpy()
-    thresholds = np.cumsum(p)
-    shared = spark.sparkContext.broadcast(thresholds)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
+    width = max(range_cells, -(-domain.cells() // MAX_RANGES))
+    cells = probabilities.filter("p > 0").select("cell_id", "p", F.call_function("div", F.col("cell_id"), F.lit(width)).alias("__range"))
+    sums = cells.groupBy("__range").agg(F.sum("p").alias("p")).toArrow().sort_by("__range")
+    ids, mass = sums.column("__range").to_numpy(), sums.column("p").to_numpy()
+    if not len(ids):
+        raise ValueError("no cell has a probability above 0")
+    ends = np.cumsum(mass)
+    shares = np.maximum(1, np.ceil(n * mass / ends[-1] / range_rows)).astype(np.int64)
+    starts = ends - mass
+    ranges = spark.createDataFrame(pd.DataFrame({"__range": ids, "__low": starts, "__shares": shares}), "__range long, __low double, __shares long")
+    cells = cells.join(broadcast_checked(ranges, len(ids), 64), "__range").select(
+        "__range", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__shares") - 1)).alias("__share"), "cell_id", "p", "__low")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cell = np.minimum(np.searchsorted(t, b["u"].to_numpy(), side="right"), len(t) - 1)
-            yield pd.DataFrame({"row_id": b["row_id"], "cell_id": cell})
-
+            at = np.minimum(np.searchsorted(ends, b["u"].to_numpy(), side="right"), len(ends) - 1)
+            yield pd.DataFrame({"__range": ids[at], "__share": b["row_id"].to_numpy() % shares[at], "row_id": b["row_id"], "u": b["u"]})
+
+    def search(rows: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"row_id": [], "cell_id": []})
+        part = part.sort_values("cell_id")
+        t = part["__low"].iloc[0] + np.cumsum(part["p"].to_numpy())
+        at = np.minimum(np.searchsorted(t, rows["u"].to_numpy(), side="right"), len(t) - 1)
+        return pd.DataFrame({"row_id": rows["row_id"].to_numpy(), "cell_id": part["cell_id"].to_numpy()[at]})
+
+    by = ["__range", "__share"]
     keyed = spark.range(n).select(F.col("id").alias("row_id"), uniform(salt, "id").alias("u"))
-    hit = keyed.mapInPandas(search, "row_id long, cell_id long")
+    placed = keyed.mapInPandas(place, "__range long, __share long, row_id long, u double")
+    hit = placed.groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(search, "row_id long, cell_id long")
     codes = unrank("cell_id", domain.sizes())
     return hit.select("row_id", *[c.alias(name) for c, name in zip(codes, domain.columns)])
 

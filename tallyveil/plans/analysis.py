@@ -12,7 +12,7 @@ from tallyveil.operators import rubin as V
 from tallyveil.operators.cleaning import split_by_fraction
 from tallyveil.operators.domain import Domain, encode
 from tallyveil.operators.marginals import count_rows
-from tallyveil.plans.base import CATS, SURVEY, coded, survey, table
+from tallyveil.plans.base import CATS, SURVEY, coded, declared, survey, table
 from tallyveil.plans.coverage import LEVELS, repeated_records
 from tallyveil.plans.registry import query
 from tallyveil.plans.synthesiser import Options, fit, generate_counts
@@ -91,13 +91,28 @@ def r05(spark, sf):
 # Bootstrap means stay near the closed form and bootstrap variances near the squared standard errors.
 @query("r06_regularised_bootstrap", f"WITH {_XY} SELECT nation, param, true AS near FROM {_logit_sql('xy', 'nation')}")
 def r06(spark, sf):
-    df = _xy(spark, sf)
-    boot = R.fit_bootstrap(df, ["nation"], ["rush"], "done", samples=50)
+    return _near_plain(_xy(spark, sf))
+
+
+def _near_plain(df, **kw):
+    boot = R.fit_bootstrap(df, ["nation"], ["rush"], "done", samples=50, **kw)
     plain = R.fit_many(df, ["nation"], ["rush"], "done").select("nation", "param", F.col("q").alias("q0"), F.col("u").alias("u0"))
     near = (F.abs(F.col("q") - F.col("q0")) < 5 * F.sqrt(F.col("u0") / 10)) & (F.col("u") / F.col("u0")).between(0.3, 3.0) & (F.col("low") < F.col("q0")) & (F.col("high") > F.col("q0"))
     return boot.join(plain, ["nation", "param"]).select("nation", "param", near.alias("near"))
 
 
+@query("r06_bootstrap_by_sums", f"WITH {_XY} SELECT nation, param, true AS near FROM {_logit_sql('xy', 'nation')}")
+def r06_sums(spark, sf):
+    return _near_plain(_xy(spark, sf), task_rows=0)
+
+
+@query("r06_resample_totals", f"WITH {_XY} SELECT nation, boot_id, count(*) AS n FROM xy, (SELECT CAST(unnest(range(50)) AS INT) AS boot_id) GROUP BY ALL")
+def r06_totals(spark, sf):
+    rows = R.compress(_xy(spark, sf), ["nation"], ["rush", "price"], "done")
+    drawn = R.resample_counts(rows, ["nation"], ["rush", "price"], 50, 0, part_rows=100)
+    return drawn.select("nation", F.posexplode("counts").alias("boot_id", "n")).groupBy("nation", "boot_id").agg(F.sum("n").alias("n"))
+
+
 @query("r07_score_rows", """
 SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(-1.5 + 0.04 * l_quantity + 3.0 * l_discount))), 8) AS p,
  CAST(1 / (1 + exp(-(-1.5 + 0.04 * l_quantity + 3.0 * l_discount))) >= 0.5 AS INT) AS label FROM lineitem""")
@@ -111,6 +126,11 @@ def r08(spark, sf):
     return _round_qu(R.fit_per_table_and_pooled(_xy(spark, sf), "nation", ["rush"], "done"))
 
 
+@query("r08_per_table_and_pooled_by_sums", f"WITH {_XY} SELECT nation, {_QU} FROM {_logit_sql('xy', 'nation')} UNION ALL SELECT NULL, {_QU} FROM {_logit_sql('xy', '')}")
+def r08_sums(spark, sf):
+    return _round_qu(R.fit_per_table_and_pooled(_xy(spark, sf), "nation", ["rush"], "done", task_rows=0))
+
+
 @query("r09_original_fit_with_interval", f"""
 WITH {_XY} SELECT param, round(q, 6) + 0.0 AS q, round(q - {_Z[0.95]!r}::DOUBLE * sqrt(u), 5) AS low, round(q + {_Z[0.95]!r}::DOUBLE * sqrt(u), 5) AS high FROM {_logit_sql('xy', '')}""")
 def r09(spark, sf):
@@ -170,7 +190,7 @@ def c01(spark, sf):
 def _train_test(spark, sf):
     """Synthetic tables of the coded survey, and the real rows as the test table; target: order finished."""
     labels = count_rows(survey(spark, sf), CATS)
-    domain = Domain.infer(labels, CATS)
+    domain = declared(CATS)
     fitted = fit(labels, domain, Options(pairs=[("status", "priority"), ("status", "segment")], salt="clf", draws=TABLES), "rows")
     target = lambda d: d.withColumn("label", (F.col("status") == 1).cast("int")).drop("status")
     return target(generate_counts(fitted)), target(encode(labels, domain))
@@ -313,7 +333,7 @@ def coverage_run(spark, sf, repeats: int = REPEATS, tables: int = TABLES):
     """Every repeat releases anew; tables are as large as the original."""
     labels = count_rows(survey(spark, sf).withColumn("status", F.when(F.col("status") == "F", "F").otherwise("O")), CATS)
     options = Options(pairs=[("status", "priority"), ("status", "segment")], salt="cov")
-    records = repeated_records(labels, Domain.infer(labels, CATS), options, "status", repeats, tables, "rows")
+    records = repeated_records(labels, declared(CATS, status=["F", "O"]), options, "status", repeats, tables, "rows")
     return V.coverage(records, ["param", "level"], "nn_")
 
 

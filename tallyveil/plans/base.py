@@ -12,6 +12,21 @@ from tallyveil.operators.marginals import count_rows
 CATS = ["status", "priority", "segment"]
 
 
+# The labels the survey may hold, for private runs.
+LABELS = {
+    "status": ["F", "O", "P"],
+    "priority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "price": ["0", "1", "2", "3", "4"],
+    "balance": ["0", "1", "2", "3", "4"],
+}
+
+
+def declared(columns: list[str], **other: list[str]) -> Domain:
+    """Declared domain of survey columns; `other` replaces the labels of some."""
+    return Domain.declare({c: other.get(c, LABELS[c]) for c in columns})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,7 @@ from tallyveil.operators import regression as R
 from tallyveil.operators.binning import bin_code, fit_edges
 from tallyveil.operators.domain import Domain, encode
 from tallyveil.plans.analysis import coverage_run
-from tallyveil.plans.base import COLUMNS, PAIRS, binned, items
+from tallyveil.plans.base import COLUMNS, PAIRS, binned, declared, items
 from tallyveil.plans.synthesiser import Options, fit, generate
 
 ITEM_COLUMNS = ["flag", "line", "discount", "tax", "quantity", "price"]
@@ -36,7 +36,7 @@ def _orders(spark, sf, names=COLUMNS) -> tuple[DataFrame, Domain]:
     """Orders with a two-valued status, counted in one pass."""
     two = F.when(F.col("status") == "F", "F").otherwise("O")
     rows = A.count_rows(binned(spark, sf).withColumn("status", two), names)
-    return rows, Domain.infer(rows, names)
+    return rows, declared(names, status=["F", "O"])
 
 
 def all_pair_marginals(spark, sf):

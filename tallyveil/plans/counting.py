@@ -63,6 +63,34 @@ def e01(spark, sf):
     return coded(spark, sf)[0]
 
 
+_KEYS = ["part", "supplier", "day"]
+_KEYED = """keyed AS (SELECT l_orderkey AS row_id, l_linenumber AS line, CAST(l_partkey AS VARCHAR) AS part,
+ CAST(l_suppkey AS VARCHAR) AS supplier, CASE WHEN l_linenumber > 1 THEN CAST(date_diff('day', TIMESTAMP '1970-01-01', l_shipdate) AS VARCHAR) END AS day FROM lineitem),
+keys AS (SELECT col, CAST(dense_rank() OVER (PARTITION BY col ORDER BY label) - 1 AS INT) AS code, label FROM (
+ SELECT DISTINCT 'part' AS col, part AS label FROM keyed UNION SELECT 'supplier', supplier FROM keyed UNION SELECT 'day', day FROM keyed) WHERE label IS NOT NULL)"""
+
+
+def _keyed(spark, sf):
+    """Sold items with label columns of thousands of labels; first lines have no day."""
+    text = lambda c: F.col(c).cast("string")
+    day = F.when(F.col("l_linenumber") > 1, F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("string"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("line"), text("l_partkey").alias("part"),
+                                               text("l_suppkey").alias("supplier"), day.alias("day"))
+
+
+@query("e01_encode_many_labels", f"""WITH {_KEYED} SELECT row_id, line, p.code AS part, s.code AS supplier, d.code AS day FROM keyed k
+ JOIN keys p ON p.col = 'part' AND p.label = k.part JOIN keys s ON s.col = 'supplier' AND s.label = k.supplier
+ LEFT JOIN keys d ON d.col = 'day' AND d.label = k.day""")
+def e01_many(spark, sf):
+    df = _keyed(spark, sf)
+    return E.encode_by_table(df, E.domain_table(df, _KEYS), _KEYS)
+
+
+@query("e02_domain_table_many_labels", f"WITH {_KEYED} SELECT * FROM keys")
+def e02_many(spark, sf):
+    return E.domain_table(_keyed(spark, sf), _KEYS)
+
+
 @query("e02_domain_table", f"WITH {SURVEY}, {_DOMAIN} SELECT * FROM dom")
 def e02(spark, sf):
     return E.domain_table(survey(spark, sf), CATS).select("col", F.col("code").cast("int").alias("code"), "label")
@@ -184,6 +212,21 @@ def a01(spark, sf):
 _FEW = [{"status": 1, "segment": 1}, {"status": 1, "segment": 0}, {"priority": 1, "segment": 1}, {"status": 1, "priority": 1}, {"status": 1, "priority": 0}]
 
 
+_WIDE = 40  # columns of a wide survey; column i has 2 + i % 4 levels
+
+
+@query("a08_all_pairs_of_forty_columns", f"""
+WITH x AS (SELECT [{', '.join(f"(l_partkey * {i + 3} + l_suppkey * {i} + l_linenumber * {i + 1} + l_orderkey) % {7 + i} % {2 + i % 4}" for i in range(_WIDE))}] AS c FROM lineitem),
+p AS (SELECT CAST(row_number() OVER (ORDER BY i, j) - 1 AS INT) AS clique_id, i, j FROM (SELECT unnest(range({_WIDE})) AS i), (SELECT unnest(range({_WIDE})) AS j) WHERE i < j)
+SELECT clique_id, CAST(c[i + 1] * (2 + j % 4) + c[j + 1] AS BIGINT) AS cell, count(*) AS n FROM x, p GROUP BY 1, 2""")
+def a08_wide(spark, sf):
+    names = [f"c{i}" for i in range(_WIDE)]
+    value = lambda i: f"int((l_partkey * {i + 3} + l_suppkey * {i} + l_linenumber * {i + 1} + l_orderkey) % {7 + i} % {2 + i % 4}) AS c{i}"
+    df = table(spark, sf, "lineitem").selectExpr(*[value(i) for i in range(_WIDE)])
+    domain = E.Domain.declare({c: range(2 + i % 4) for i, c in enumerate(names)})
+    return A.count_cells(df, A.all_pairs(names), domain)
+
+
 @query("a02_query_list_wide", f"WITH {CODED} SELECT row_id, " + ", ".join(
     "CAST(" + " AND ".join(f"{c} = {v}" for c, v in q.items()) + f" AS INT) AS q{i}" for i, q in enumerate(_FEW)) + " FROM coded")
 def a02(spark, sf):

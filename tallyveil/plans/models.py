@@ -275,6 +275,23 @@ def m16(spark, sf):
     return out.withColumn("logp", F.round("logp", 2))
 
 
+@query("m16_many_draws", f"""
+WITH {ROWS}, draws AS (SELECT d AS draw_id, query_id, lam * (1 + d / 2000.0::DOUBLE) AS lam FROM lams, (SELECT DISTINCT row_id % 2000 AS d FROM survey)),
+w AS (SELECT h.status, h.priority, h.segment, h.price, h.balance, d.draw_id, sum(d.lam) AS w FROM ({_HITS}) h JOIN draws d USING (query_id) GROUP BY ALL),
+full_w AS (SELECT r.d AS draw_id, coalesce(w.w, 0) AS w FROM (SELECT probs.*, d FROM probs, (SELECT DISTINCT row_id % 2000 AS d FROM survey)) r LEFT JOIN w
+ ON w.draw_id = r.d AND w.status = r.status AND w.priority = r.priority AND w.segment = r.segment AND w.price = r.price AND w.balance = r.balance),
+zz AS (SELECT draw_id, max(w) + ln(sum(exp(w - m))) AS z FROM full_w JOIN (SELECT draw_id, max(w) AS m FROM full_w GROUP BY 1) USING (draw_id) GROUP BY 1),
+dots AS (SELECT draw_id, sum(draws.lam * n) AS dot FROM draws JOIN (SELECT query_id, n FROM lams JOIN cells USING (clique_id, cell)) USING (query_id) GROUP BY 1)
+SELECT draw_id, round(dot - 100.0 * z, 2) AS logp FROM dots JOIN zz USING (draw_id)""")
+def m16_many(spark, sf):
+    model, values, lams, _ = explicit(spark, sf)
+    ids = survey(spark, sf).select((F.col("row_id") % 2000).alias("draw_id")).distinct()
+    draws = ids.select("draw_id", F.posexplode(F.lit(values)).alias("query_id", "lam")).withColumn("lam", F.col("lam") * (1 + F.col("draw_id") / 2000.0))
+    cache = X.statistic_cache(X.domain_rows(spark, model))
+    out = X.conjugate_log_density(draws, lams.select("query_id", F.col("n").alias("chi")), 100.0, cache)
+    return out.withColumn("logp", F.round("logp", 2))
+
+
 def _noise_aware(spark, sf):
     """A small noise-aware fit on two pairs of the survey."""
     df, domain = coded(spark, sf, ["status", "priority", "segment"])

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from tallyveil.operators import experiments as X
 from tallyveil.operators import quality as Q
-from tallyveil.operators.domain import Domain
 from tallyveil.operators.marginals import all_pairs, count_rows
 from tallyveil.operators.privacy import statistic_sigma
 from tallyveil.plans import synthesiser as S
-from tallyveil.plans.base import CATS, CODED, COLUMNS, PAIRS, SURVEY, binned, coded, counted, survey, table
+from tallyveil.plans.base import CATS, CODED, COLUMNS, PAIRS, SURVEY, binned, coded, counted, declared, survey, table
 from tallyveil.plans.counting import counts_sql, grid_sql
 from tallyveil.plans.registry import query
 from tallyveil.session import scratch_path
@@ -330,7 +329,7 @@ def x08(spark, sf):
 
 def _fitted(spark, sf, **kw):
     labels = count_rows(survey(spark, sf), CATS)
-    return S.fit(labels, Domain.infer(labels, CATS), S.Options(pairs=PAIRS[:2], draws=3, salt="fit", **kw), "rows")
+    return S.fit(labels, declared(CATS), S.Options(pairs=PAIRS[:2], draws=3, salt="fit", **kw), "rows")
 
 
 @query("m19_fit_plan_sweep", f"""
@@ -351,7 +350,7 @@ def m19(spark, sf):
 @query("m20_fit_and_generate_tree")
 def m20(spark, sf):
     labels = count_rows(binned(spark, sf), COLUMNS)
-    fitted = S.fit(labels, Domain.infer(labels, COLUMNS), S.Options(epsilon=3.0, draws=4), "rows")
+    fitted = S.fit(labels, declared(COLUMNS), S.Options(epsilon=3.0, draws=4), "rows")
     return S.generate(spark, fitted, 4).groupBy("dataset_id", "status", "priority").agg(F.count("*").alias("n"))
 
 
@@ -364,7 +363,7 @@ def m20_explicit(spark, sf):
 @query("d18_select_measure_generate")
 def d18(spark, sf):
     labels = binned(spark, sf)
-    out = S.select_measure_generate(labels, Domain.infer(labels, COLUMNS), 1.0, 1e-6)
+    out = S.select_measure_generate(labels, declared(COLUMNS), 1.0, 1e-6)
     return out.groupBy("priority", "price").agg(F.count("*").alias("n"))
 
 

@@ -82,7 +82,12 @@ def generate_counts(fitted: Fitted, n: int | None = None, seed: int = 0) -> Data
 
 
 def check_shape(o: Options, domain: Domain, whole: bool = False) -> None:
-    """Refuse pairs that the method cannot use before anything is measured or selected; `whole`: all pairs are there."""
+    """Refuse pairs that the method cannot use before anything is measured or selected; `whole`: all pairs are there.
+
+    What spends budget also needs a declared domain: a release, or a choice of pairs.
+    """
+    if not o.no_privacy and (whole or o.pairs is None):
+        domain.require_declared()
     fixed = [tuple(p) for p in (o.required if o.pairs is None else o.pairs)]
     if o.method == "tree":
         TM.Tree.of(fixed, domain.columns, partly=o.pairs is None or not whole)
@@ -213,6 +218,7 @@ def count_sigma(rho: float) -> float:
 
 def select_measure_generate(df: DataFrame, domain: Domain, epsilon: float, delta: float, salt: str | None = None) -> DataFrame:
     """Shrink the domain, choose pairs, measure them, generate one table of the same size, undo the shrinking."""
+    domain.require_declared()
     spark, columns = df.sparkSession, domain.columns
     ledger = D.Ledger(epsilon, delta)
     coded, counted = encode_counted(df, domain)
