@@ -96,13 +96,14 @@ def check_shape(o: Options, domain: Domain, whole: bool = False) -> None:
 
 
 def plan_fit(coded: DataFrame, domain: Domain, o: Options, return_scores: bool = False, rows: str | None = None) -> Plan:
-    """Choose pairs and noise; releases nothing but the choice of pairs."""
+    """Choose pairs and noise; releases nothing but the choice of pairs. Given pairs may have any shape, as nothing is spent."""
     if o.method not in METHODS:
         raise ValueError(f"unknown method {o.method!r}, expected one of {METHODS}")
     if o.budget not in ("split", "twice"):
         raise ValueError(f"unknown budget {o.budget!r}")
     check_cliques([*(o.pairs or []), *o.required], domain)
-    check_shape(o, domain)
+    if o.pairs is None:
+        check_shape(o, domain)
     ledger = D.Ledger(o.epsilon, o.delta)
     scores = None
     if o.pairs is not None:
