@@ -29,7 +29,8 @@ from tallyveil.llm.tokens import encoder, plain_words
 
 LENGTH = 1024
 BATCH_SEQUENCES = 256
-FILE_BYTES = 32 << 20  # text for one file, about
+FILE_BYTES = 32 << 20  # text for one file, about, until there are MAX_FILES
+MAX_FILES = 100_000  # then files grow with the input, so neither the shuffle nor the manifest does
 
 
 def _schema(length: int, kind: pa.DataType) -> pa.Schema:
@@ -108,11 +109,11 @@ def write_sequences(docs: DataFrame, folder: str, vocabulary: str, end_id: int,
     """Tokenise documents in doc_id order into Arrow files under `folder` (a URI that all executors reach).
 
     Returns the manifest, one row for each file in order: part, file, documents, tokens, sequences, first (ids before the
-    file). The manifest is also the only thing that passes the driver; it has one row for some FILE_BYTES of text.
+    file). The manifest is also the only thing that passes the driver: at most MAX_FILES rows.
     """
     if parts is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(1, -(-size // FILE_BYTES), docs.sparkSession.sparkContext.defaultParallelism if size > FILE_BYTES else 1)
+        parts = max(1, min(MAX_FILES, -(-size // FILE_BYTES)), docs.sparkSession.sparkContext.defaultParallelism if size > FILE_BYTES else 1)
     order = ["doc_id", F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     written = ranged.mapInArrow(_writer(folder, vocabulary, end_id, length), "part long, file string, documents long, tokens long, sequences long").collect()

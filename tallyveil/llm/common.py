@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 
 from tallyveil.session import scratch_path
@@ -24,5 +27,22 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carrying(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return the columns of their documents: the caller's columns with names like the operator's own
+    working columns (two leading underscores) have other names inside, so neither overwrites the other."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        inside = list(docs.columns)
+        for i, name in enumerate(inside):
+            while inside[i].startswith("__") or inside.count(inside[i]) > 1:
+                inside[i] = f"carried_{inside[i]}"
+        if inside == docs.columns:
+            return operator(docs, *args, **options)
+        return operator(docs.toDF(*inside), *args, **options).toDF(*docs.columns)
+
+    return run
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,12 +1,15 @@
 """Line deduplication: lines found in several documents stay only in the document with the largest doc_id.
 
 Hashes of lines (128 bits, no text) are range-partitioned with a secondary sort by document and position; first occurrences
-stream out of the sorted ranges and give each hash its number of documents and its keeper. A hash is dealt over SHARDS ranges
-by document, so a line in a third of all documents is sorted by many tasks; the shards' first occurrences are then combined.
+stream out of the sorted ranges and give each hash its number of documents and its keeper. A hash is dealt by document over as
+many shards as there are shuffle partitions, so a line in a third of all documents is sorted by all tasks; the shards' first
+occurrences are then combined. Texts are split and hashed once: the hashes are written, read by the range sort and the lookup of
+shared keys, and deleted.
 The result is a run-length-compressed keep bitmap for each document that loses lines; texts are not shuffled for it.
 
 Nulls: a null or empty text is one empty line and loses nothing. A null doc_id counts as one document below all others.
-Repeated rows of a doc_id are one document. Keys shorter than `min_chars` code points never count.
+Repeated rows of a doc_id are one document, rows of a doc_id with different texts too. Keys shorter than `min_chars` code points
+never count. Texts of any length are split whole; an empty table gives no rows; all columns of the documents are carried.
 """
 
 from __future__ import annotations
@@ -15,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import saved
+from tallyveil.llm.common import carrying, discard, saved
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-SHARDS = 16
+SHARDS = 16  # least number of shards of a key
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,7 +41,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def shared_keys(hashes: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """h1, h2, keeper of each key found in at least `min_documents` documents."""
     parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = hashes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
+    dealt = hashes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(max(SHARDS, parts))))
     ranged = dealt.repartitionByRange(parts, "h1", "h2", "shard")
     stream = W.partitionBy("h1", "h2", "shard").orderBy(F.desc_nulls_last("doc_id"), "position")
     before = F.lag("doc_id").over(stream)
@@ -52,13 +55,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
 
     `dropped_runs` is the keep bitmap, run-length-compressed: sorted (first, lines) runs of zeros; all other bits are one.
     """
-    hashes = line_hashes(docs, min_chars)
+    hashes = saved(line_hashes(docs, min_chars), "line-hashes")
     keys = saved(shared_keys(hashes, min_documents), "shared-keys")  # so Spark can split a key with very many lines
     lost = hashes.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "text_hash", "position").distinct()
     own = W.partitionBy("doc_id", "text_hash").orderBy("position")
     runs = lost.withColumn("island", F.col("position") - F.row_number().over(own)).groupBy("doc_id", "text_hash", "island").agg(
         F.min("position").alias("first"), F.count("*").cast("int").alias("lines"))
-    return runs.groupBy("doc_id", "text_hash").agg(F.sum("lines").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("first", "lines"))).alias("dropped_runs"))
+    bitmaps = runs.groupBy("doc_id", "text_hash").agg(F.sum("lines").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("first", "lines"))).alias("dropped_runs"))
+    bitmaps = saved(bitmaps, "keep-bitmaps")
+    discard(hashes, keys)
+    return bitmaps
 
 
 def kept_lines(lines, runs):
@@ -78,6 +84,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return joined.drop("__id", "__hash").withColumn("__dropped", F.coalesce("__dropped", F.lit(0)))
 
 
+@carrying
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The documents without their dropped lines; an n_chars column follows the text. Untouched texts stay as they are."""
     joined = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_documents))

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyveil.llm.blocks import LOWER, SEED, byte_hashes, mix, text_blocks, utf8, words
-from tallyveil.llm.common import discard, saved
+from tallyveil.llm.common import carrying, discard, saved
 from tallyveil.llm.components import components
 
 WORDS = 5
@@ -272,6 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+@carrying
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns; rows of an id that is kept stay."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()

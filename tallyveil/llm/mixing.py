@@ -12,7 +12,8 @@ targets, not by the data, and the driver fits them. Targets of values that do no
 and empty combinations of cells may keep the margins from being met; `margin_gap` then tells the largest relative miss.
 
 Nulls: null source, language or topic belongs to `*`; a null text has no tokens and the weight of its cell. A null doc_id is
-sampled like the text "null". Repeated rows are sampled alike, since the draw is a hash of doc_id.
+sampled like the text "null". Repeated rows are sampled alike, since the draw is a hash of doc_id. Texts of any length count
+whole; an empty table gives no rows. `mix` replaces columns of the names it adds; `sample` carries all columns.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyveil.llm.common import carrying
+
 OTHER = "*"
 KEEP = 0.3  # expected share of the tokens that sampling keeps
 SWEEPS = 1000  # bound where the margins cannot be met at once
@@ -173,6 +176,7 @@ def mix(docs: DataFrame, source: dict[str, float], lang: dict[str, float], topic
     return known.withColumn("__sampled", draw(F.col("doc_id"), seed) < F.col("__probability"))
 
 
+@carrying
 def sample(docs: DataFrame, source: dict[str, float], lang: dict[str, float], topic: dict[str, float] | None = None, topic_of=shape_topic, seed: int = 1, keep: float = KEEP) -> DataFrame:
     """The sampled documents, with all their columns."""
     return mix(docs, source, lang, topic, topic_of, seed, keep).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])

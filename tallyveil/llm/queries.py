@@ -86,7 +86,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM judged GROUP BY doc_id
 """)
 def op7(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     joined = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     lines = line_dedup.text_lines(F.col("text"))
     kept = F.when(F.col("__dropped") > 0, F.array_join(line_dedup.kept_lines(lines, F.col("__runs")), "\n")).otherwise(F.coalesce("text", F.lit("")))
