@@ -6,9 +6,12 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyveil.session import scratch_path
 
+MOST_PLACES = 1 << 27  # bits of the bitmap that `sifted` broadcasts (16 MB)
+
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
@@ -27,6 +30,19 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """All rows whose key is in `wanted` and few others, so that a join that follows moves few rows.
+
+    A broadcast bitmap tells which hashes the wanted keys have. It has 8 to 16 bits a key, or MOST_PLACES, where more of the other rows stay.
+    """
+    places = min(MOST_PLACES, 1 << max(15, (8 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(places)) + 1  # counted from 1, as bitmaps are
+    maps = wanted.select(place.alias("__place")).groupBy(F.bitmap_bucket_number("__place").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bits"))
+    placed = rows.select("*", F.bitmap_bucket_number(place).alias("__at"), F.bitmap_bit_position(place).alias("__bit"))
+    byte = "int(conv(hex(substring(__bits, int(__bit div 8) + 1, 1)), 16, 10))"
+    return placed.join(F.broadcast(maps), F.col("__at") == F.col("__part")).where(f"shiftright({byte}, int(__bit % 8)) & 1 = 1").select(*rows.columns)
+
+
 def carrying(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For operators that return the columns of their documents: the caller's columns with names like the operator's own
     working columns (two leading underscores) have other names inside, so neither overwrites the other."""

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyveil.llm.blocks import LOWER, SEED, byte_hashes, mix, text_blocks, utf8, words
-from tallyveil.llm.common import carrying, discard, saved
+from tallyveil.llm.common import carrying, discard, saved, sifted
 from tallyveil.llm.components import components
 
 WORDS = 5
@@ -253,8 +253,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = members.join(heads, "region").where("rep <> head").select(*_pairs(F.col("rep"), F.col("head"))).distinct()
     near = beside.select(*_pairs(F.col("rep"), F.col("beside"))).distinct()
     tried = saved(first.withColumn("turn", F.lit(0)).union(near.withColumn("turn", F.lit(1))).groupBy("a", "b").agg(F.min("turn").alias("turn")), "candidates")
-    needed = tried.select(F.col("a").alias("rep")).union(tried.select(F.col("b").alias("rep"))).distinct()
-    texts = saved(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi").distinct(), "candidate-texts")
+    needed = saved(tried.select(F.col("a").alias("rep")).union(tried.select(F.col("b").alias("rep"))).distinct(), "candidate-ids")
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
+    texts = saved(sifted(texts, "rep", needed).join(needed, "rep", "left_semi").distinct(), "candidate-texts")
 
     links = saved(confirm(tried.where("turn = 0").select("a", "b"), texts), "confirmed")
     groups = saved(components(links), "groups")
