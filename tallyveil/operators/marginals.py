@@ -27,6 +27,8 @@ Clique = tuple[str, ...]
 JOINT_CELLS = 5_000_000  # joint domains up to this size are counted once, then marginalised
 GROUPING_SETS = 30  # above this many sets rows are not expanded by grouping sets
 VECTOR_CELLS = 8_000_000  # cells of a workload whose counts one task may hold (8 bytes each)
+BLOCK_CELLS = 362  # joint levels of a block of columns; two blocks have a table of at most 131 044 cells
+ROWS_AT_ONCE = 1 << 18  # rows tallied together, more than such a table has cells
 GRID_CELLS = 200_000_000
 
 
@@ -162,21 +164,67 @@ def _clique_of(cliques: Sequence[Clique], domain: Domain, place: str) -> tuple[s
     return search([str(e) for e in ends[:-1]], str, f"{place} <"), array([0, *ends[:-1]])
 
 
+def _blocks(used: Sequence[str], domain: Domain) -> dict[str, Clique]:
+    """Neighbouring columns put together while their joint levels, a missing one each, stay few: the block of each column."""
+    blocks: list[list[str]] = []
+    for c in used:
+        if not blocks or math.prod(domain.size(x) + 1 for x in (*blocks[-1], c)) > BLOCK_CELLS:
+            blocks.append([])
+        blocks[-1].append(c)
+    return {c: tuple(block) for block in blocks for c in block}
+
+
+def _joint_tables(cliques: Sequence[Clique], domain: Domain, used: Sequence[str]) -> dict[tuple[Clique, ...], list[int]]:
+    """Tables of one or two blocks, with the numbers of the column sets that can be summed from them.
+
+    Sets of other blocks, or all if the tables were too large, are in none and are counted by themselves.
+    """
+    block = _blocks(used, domain)
+    tables: dict[tuple[Clique, ...], list[int]] = {}
+    for i, q in enumerate(cliques):
+        held = tuple(dict.fromkeys(block[c] for c in used if c in q))
+        if len(held) <= 2 and all(math.prod(domain.size(c) + 1 for c in h) <= BLOCK_CELLS for h in held):
+            tables.setdefault(held, []).append(i)
+    tables = {held: which for held, which in tables.items() if len(which) > 1}
+    total = sum(math.prod(domain.size(c) + 1 for h in held for c in h) for held in tables)
+    return tables if total <= VECTOR_CELLS else {}
+
+
 def _by_vectors(rows: DataFrame, cliques: Sequence[Clique], domain: Domain, used: Sequence[str]) -> DataFrame:
     """Many column sets: every task fills one vector of counts, the vectors are added slab by slab.
 
-    Rows are not multiplied by the sets, and what is shuffled depends on the cells and tasks alone.
+    Rows are not multiplied by the sets, and what is shuffled depends on the cells and tasks alone. Sets that lie in the same
+    two blocks of columns are counted once, as the joint table of these blocks, and are summed from it when the task ends.
     """
     starts = np.concatenate([[0], np.cumsum([domain.cells(c) for c in cliques])])
     sizes = {c: domain.size(c) for c in used}
+    joint = _joint_tables(cliques, domain, used)
+    summed = {i for which in joint.values() for i in which}
+    blocks = list(dict.fromkeys(b for held in joint for b in held))
+    width = {b: math.prod(sizes[c] + 1 for c in b) for b in blocks}
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(starts[-1], np.int64)
-        for b in batches:
-            codes = {c: b.column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in used}
-            n = b.column("n").to_numpy(zero_copy_only=False)
+        tables = {held: np.zeros(math.prod(width[b] for b in held), np.int64) for held in joint}
+
+        def add(held_back: list[pa.RecordBatch]):
+            b = pa.Table.from_batches(held_back)
+            codes = {c: b.column(c).fill_null(-1).to_numpy().astype(np.int64) for c in used}
+            n = b.column("n").to_numpy()
             ones = bool((n == 1).all())
-            for q, start, end in zip(cliques, starts[:-1], starts[1:]):
+            at = {}
+            for block in blocks:
+                at[block] = np.zeros(len(n), np.int64)
+                for c in block:
+                    if int(codes[c].max()) >= sizes[c]:
+                        raise ValueError(f"a code of column {c!r} is outside its domain")
+                    at[block] = at[block] * (sizes[c] + 1) + np.where(codes[c] < 0, sizes[c], codes[c])
+            for held, table in tables.items():
+                cell = at[held[0]] if len(held) == 1 else at[held[0]] * width[held[1]] + at[held[1]]
+                table += _tally(cell, None if ones else n, len(table))
+            for i, (q, start, end) in enumerate(zip(cliques, starts[:-1], starts[1:])):
+                if i in summed:
+                    continue
                 cell, known = np.zeros(len(n), np.int64), np.ones(len(n), bool)
                 for c in q:
                     cell, known = cell * sizes[c] + codes[c], known & (codes[c] >= 0)
@@ -184,6 +232,27 @@ def _by_vectors(rows: DataFrame, cliques: Sequence[Clique], domain: Domain, used
                     counts[start:end] += _tally(cell, None if ones else n, end - start)
                 else:
                     counts[start:end] += _tally(cell[known], None if ones else n[known], end - start)
+
+        waiting, size = [], 0
+        for b in batches:
+            waiting.append(b)
+            size += b.num_rows
+            if size >= ROWS_AT_ONCE:
+                add(waiting)
+                waiting, size = [], 0
+        if size:
+            add(waiting)
+        for held, table in tables.items():
+            if not table.any():
+                continue
+            columns = [c for block in held for c in block]
+            table = table.reshape([sizes[c] + 1 for c in columns])
+            for i in joint[held]:
+                q = cliques[i]
+                part = table.sum(axis=tuple(k for k, c in enumerate(columns) if c not in q))
+                left = [c for c in columns if c in q]
+                part = part[tuple(slice(sizes[c]) for c in left)].transpose([left.index(c) for c in q])  # without the missing level
+                counts[starts[i]:starts[i + 1]] += part.ravel()
         yield pa.RecordBatch.from_pydict(slabs.pack(counts))
 
     found = rows.select(*used, "n").mapInArrow(fill, slabs.schema("long"))

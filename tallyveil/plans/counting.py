@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyveil.operators import domain as E
@@ -213,6 +215,20 @@ _FEW = [{"status": 1, "segment": 1}, {"status": 1, "segment": 0}, {"priority": 1
 
 
 _WIDE = 40  # columns of a wide survey; column i has 2 + i % 4 levels
+_WIDE_KEYS = ["l_partkey", "l_suppkey", "l_linenumber", "l_orderkey"]
+
+
+def _wide_survey(batches):
+    """The columns of the wide survey. As Spark expressions they make one method that is too long for the JVM to compile."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        known = np.all([b.column(k).is_valid().to_numpy(zero_copy_only=False) for k in _WIDE_KEYS], axis=0)
+        part, supp, line, order = (b.column(k).fill_null(0).to_numpy() for k in _WIDE_KEYS)
+        if max(int(k.max()) for k in (part, supp, line, order)) >= 1 << 55 or min(int(k.min()) for k in (part, supp, line, order)) <= -(1 << 55):
+            raise OverflowError("a key is too large for the sums of the wide survey")
+        values = [np.fmod(np.fmod(part * (i + 3) + supp * i + line * (i + 1) + order, 7 + i), 2 + i % 4).astype(np.int32) for i in range(_WIDE)]  # signs as in SQL
+        yield pa.RecordBatch.from_arrays([pa.array(v, mask=~known) for v in values], names=[f"c{i}" for i in range(_WIDE)])
 
 
 @query("a08_all_pairs_of_forty_columns", f"""
@@ -221,8 +237,8 @@ p AS (SELECT CAST(row_number() OVER (ORDER BY i, j) - 1 AS INT) AS clique_id, i,
 SELECT clique_id, CAST(c[i + 1] * (2 + j % 4) + c[j + 1] AS BIGINT) AS cell, count(*) AS n FROM x, p GROUP BY 1, 2""")
 def a08_wide(spark, sf):
     names = [f"c{i}" for i in range(_WIDE)]
-    value = lambda i: f"int((l_partkey * {i + 3} + l_suppkey * {i} + l_linenumber * {i + 1} + l_orderkey) % {7 + i} % {2 + i % 4}) AS c{i}"
-    df = table(spark, sf, "lineitem").selectExpr(*[value(i) for i in range(_WIDE)])
+    keys = table(spark, sf, "lineitem").selectExpr(*[f"CAST({k} AS BIGINT) AS {k}" for k in _WIDE_KEYS])
+    df = keys.mapInArrow(_wide_survey, ", ".join(f"{c} int" for c in names))
     domain = E.Domain.declare({c: range(2 + i % 4) for i, c in enumerate(names)})
     return A.count_cells(df, A.all_pairs(names), domain)
 
