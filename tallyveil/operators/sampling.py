@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from tallyveil.operators.treemodel import DRAWS_AT_ONCE, Tree
 from tallyveil.session import broadcast_checked
 
 UNROLL = 64  # columns with at most this many levels compare thresholds one by one in generated code
+UNROLL_COLUMNS = 2  # with more columns the generated method would pass 8000 bytes, beyond which the JVM only interprets it
 RANGE_CELLS = 4096  # least number of cells in a range of an explicit model
 RANGE_ROWS = 200_000  # rows one task looks up
 MAX_RANGES = 65_536  # ranges of cells; beyond that they get wider
@@ -25,31 +26,40 @@ MAX_RANGES = 65_536  # ranges of cells; beyond that they get wider
 Uniform = Callable[..., Column]
 
 
-def code_from(thresholds: str, u: str, levels: int) -> Column:
-    """Smallest code whose cumulative probability exceeds u; the last code takes the rest."""
+def code_from(thresholds: str, u: str, levels: int, columns: int = 1) -> Column:
+    """Smallest code whose cumulative probability exceeds u; the last code takes the rest. `columns` are drawn in the same plan.
+
+    The filter ends a generated method, so a plan of many columns consists of methods that the JVM compiles.
+    """
     t, x = ident(thresholds), ident(u)
-    if levels <= UNROLL:
+    if levels <= UNROLL and columns <= UNROLL_COLUMNS:
         return F.expr(" + ".join(["0", *[f"int(get({t}, {i}) <= {x})" for i in range(levels - 1)]]))
     return F.expr(f"least(size(filter({t}, v -> v <= {x})), {levels - 1})")
 
 
 def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree | CliqueTree, domain: Domain, n: int, m: int, draws: int = 0,
-                salt: str = "sample", uniform: Uniform = hash_uniform, partitions: int | None = None) -> DataFrame:
+                salt: str = "sample", uniform: Uniform = hash_uniform, partitions: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """m tables of n rows as one table (dataset_id, row_id, codes...).
 
     Columns are drawn in tree order. Each step looks up the thresholds of the row's given values by an
     equality join with the conditional tables. Those are small (their size is checked), so they are
     broadcast and the m*n rows never move. With draws > 0 the tables `cpts` carry a `draw_id` and every
-    data set takes one draw, chosen with replacement.
+    data set takes one draw, chosen with replacement. With `columns` only these and those they depend on are drawn; their values are the same.
     """
     keys = ["draw_id"] if draws else []
     base = spark.range(0, m * n, 1, partitions) if partitions else spark.range(m * n)
     rows = base.select(F.call_function("div", F.col("id"), F.lit(n).cast("long")).cast("int").alias("dataset_id"), (F.col("id") % n).alias("row_id"))
-    if draws:
-        rows = rows.withColumn("draw_id", F.floor(uniform(f"{salt}/draw", "dataset_id") * draws).cast("int"))
+    if draws:  # chosen once for each table, not for each of its rows
+        chosen = spark.range(m).select(F.col("id").cast("int").alias("dataset_id")).withColumn("draw_id", F.floor(uniform(f"{salt}/draw", "dataset_id") * draws).cast("int"))
+        rows = rows.join(broadcast_checked(chosen, m, 32), "dataset_id")
+    wanted = set(domain.columns if columns is None else columns)
+    for c in reversed(tree.order):
+        if c in wanted:
+            wanted.update(tree.given(c))
+    order = [c for c in tree.order if c in wanted]
     arrays = cpts.groupBy(*keys, "col", "parent_code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("code", "cum"))), lambda s: s["cum"]).alias("thresholds")).persist()
-    for c in tree.order:
+    for c in order:
         given = tree.given(c)
         levels, parents = domain.size(c), domain.cells(given) if given else 1
         table = arrays.filter(F.col("col") == c).select(*keys, F.col("parent_code").alias("__parent"), F.col("thresholds").alias("__t"))
@@ -57,8 +67,8 @@ def sample_tree(spark: SparkSession, cpts: DataFrame, tree: Tree | CliqueTree, d
         lookup = rows.withColumn("__parent", rank_cell(given, domain.sizes(given)) if given else F.lit(0))
         joined = lookup.join(table, [*keys, "__parent"])
         rows = joined.withColumn("__u", uniform(f"{salt}/{c}", "dataset_id", "row_id"))
-        rows = rows.withColumn(c, code_from("__t", "__u", levels)).drop("__parent", "__t", "__u")
-    return rows.select("dataset_id", "row_id", *(["draw_id"] if draws else []), *domain.columns)
+        rows = rows.withColumn(c, code_from("__t", "__u", levels, len(order))).drop("__parent", "__t", "__u")
+    return rows.select("dataset_id", "row_id", *(["draw_id"] if draws else []), *[c for c in domain.columns if columns is None or c in columns])
 
 
 def sample_counts(cpts: DataFrame, tree: Tree | CliqueTree, domain: Domain, n: int, seed: int = 0) -> DataFrame:
@@ -92,9 +102,11 @@ def sample_counts(cpts: DataFrame, tree: Tree | CliqueTree, domain: Domain, n: i
     return cpts.groupBy(F.call_function("div", F.col("draw_id").cast("long"), F.lit(DRAWS_AT_ONCE)).alias("block")).applyInPandas(work, shape)
 
 
-def generate(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain, n: int, m: int, draws: int = 0, **kw) -> DataFrame:
-    """m labelled synthetic tables in one DataFrame with `dataset_id`."""
-    return decode(sample_tree(spark, cpts, tree, domain, n, m, draws, **kw), domain)
+def generate(spark: SparkSession, cpts: DataFrame, tree: Tree, domain: Domain, n: int, m: int, draws: int = 0,
+             columns: Sequence[str] | None = None, **kw) -> DataFrame:
+    """m labelled synthetic tables in one DataFrame with `dataset_id`; with `columns` just these of their columns."""
+    shown = domain if columns is None else domain.only([c for c in domain.columns if c in columns])
+    return decode(sample_tree(spark, cpts, tree, domain, n, m, draws, columns=columns, **kw), shown)
 
 
 def sample_explicit(spark: SparkSession, probabilities: DataFrame, domain: Domain, n: int, salt: str = "explicit",

@@ -391,7 +391,7 @@ def g02(spark, sf):
     cells = A.count_all_cells(df, PAIRS, domain, "rows").withColumnRenamed("n", "y")
     cpts = TM.conditionals(TM.perturb(cells, 3, 20.0), PAIRS, domain, tree, by=["draw_id"])
     n = df.agg(F.sum("rows")).first()[0]
-    out = G.generate(spark, cpts, tree, domain, n, 6, draws=3, uniform=md5_uniform)
+    out = G.generate(spark, cpts, tree, domain, n, 6, draws=3, uniform=md5_uniform, columns=["status", "priority"])
     return out.groupBy("dataset_id", "draw_id", "status", "priority").agg(F.count("*").alias("n"))
 
 
