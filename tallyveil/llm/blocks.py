@@ -67,8 +67,8 @@ def encoded(parts: pa.Array, bounds: np.ndarray) -> Parts:
     return Parts(coded.indices.to_numpy().astype(np.int64), coded.dictionary, bounds)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Parts:
-    """Runs of bytes other than ASCII white space; a word never crosses rows."""
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """First bytes of the words (runs of bytes other than ASCII white space, never across rows), the words, and the bounds of rows in them."""
     keep = ~BLANK[data]
     first = keep.copy()
     first[1:] &= ~keep[:-1]
@@ -76,7 +76,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Parts:
     first[heads] = keep[heads]
     at = np.flatnonzero(first)
     place = np.cumsum(keep) - 1
-    return encoded(pieces(data[keep], place[at]), np.searchsorted(at, offsets))
+    return at, pieces(data[keep], place[at]), np.searchsorted(at, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> Parts:
+    """Runs of bytes other than ASCII white space; a word never crosses rows."""
+    _, parts, bounds = word_places(data, offsets)
+    return encoded(parts, bounds)
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[Parts, np.ndarray]:

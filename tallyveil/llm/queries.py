@@ -115,7 +115,7 @@ def op8(spark, sf_dir):
 @query("op3_suffix_dedup")
 def op3(spark, sf_dir):
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"), "n_shared_words")
 
 
 @query("op5_pii_boosting")

@@ -7,9 +7,11 @@
    block the Burrows-Wheeler transform of the contexts is built, and its intervals are extended backward breadth first. This
    yields the boundaries of common prefixes by increasing value; it stops at LENGTH, and what is still undivided repeats.
 4. A hash with more than HOT contexts is not gathered in a block: its strings are counted one by one by hash, by all tasks.
+5. Passages of over 50 words that another document holds too may be shorter than LENGTH and then stay. They are only counted:
+   strings of WORDS words take part in steps 1 and 2 with windows of SEED_WORDS words, and what has several contents in step 4.
 
 Positions are bytes of UTF-8. Nulls: a null or short text loses nothing; a null doc_id is a document. Repeated rows are
-occurrences of their own, so they lose what they share.
+occurrences of their own, so they lose what they share. For step 5 rows with equal doc_id and text are one document.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.blocks import BLOCK_BYTES, SEED, _powers, mix, pieces, ragged, text_blocks, utf8
+from tallyveil.llm.blocks import BLOCK_BYTES, SEED, _powers, byte_hashes, mix, pieces, ragged, text_blocks, utf8, word_places
 from tallyveil.llm.common import saved
 
 LENGTH = 400
 SEED_BYTES = 128
+WORDS = 51
+SEED_WORDS = 12
 HOT = 2_000
 END = 0xFF  # never a byte of UTF-8; closes each context
 
@@ -38,16 +43,31 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
 
 
-def text_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed_bytes: int = SEED_BYTES):
-    """Runs of strings of `length` bytes with one smallest hash: (row, first start, number of starts, hash, content hash)."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    if len(data) < length:
-        return none
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    window = length - seed_bytes + 1
-    values = mix((total[seed_bytes:] - total[:-seed_bytes]) * down[:len(data) - seed_bytes + 1])
+def _sums(values: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Prefix sums of a polynomial of the values, from which any string of them gets its hash."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(len(values), salt)[0], out=total[1:])
+    return total
+
+
+def _byte_sums(data: np.ndarray, offsets: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    return _sums(data.astype(np.uint64) + np.uint64(1), salt), offsets
+
+
+def _word_sums(data: np.ndarray, offsets: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Like bytes, with words as units: their prefix sums and the bounds of rows in them."""
+    _, parts, bounds = word_places(data, offsets)
+    return _sums(byte_hashes(parts, salt), salt), bounds
+
+
+def string_runs(total: np.ndarray, offsets: np.ndarray, length: int, seed: int):
+    """Runs of strings of `length` units with one smallest hash among windows of `seed` units: (row, first start, number of starts, hash, content hash)."""
+    units = len(total) - 1
+    if units < length:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    down = _powers(units + 1)[1]
+    window = length - seed + 1
+    values = mix((total[seed:] - total[:-seed]) * down[:units - seed + 1])
     least = _window_minimum(values, window)
     begins = np.ones(len(least), bool)  # a run ends with its smallest window's first place, so a string and its shift differ in run
     begins[1:] = (least[1:] != least[:-1]) | (values[:len(least) - 1] == least[:-1])
@@ -62,14 +82,17 @@ def text_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed_
     return row, at - offsets[row], stop - at, least[at], content
 
 
-def _runs_task(length: int, seed_bytes: int):
+def _runs_task(length: int, seed_bytes: int, words: int, seed_words: int):
     def run(batches):
         for block in text_blocks(batches):
-            row, first, n, least, content = text_runs(*utf8(block.column("text")), length, seed_bytes)
-            if len(row):
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id").take(at), block.column("text_hash").take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)),
-                                                  pa.array(least.view(np.int64)), pa.array(content.view(np.int64))], names=["doc_id", "text_hash", "first", "n", "v", "content"])
+            text = utf8(block.column("text"))
+            for of_words, found in ((False, string_runs(*_byte_sums(*text), length, seed_bytes)), (True, string_runs(*_word_sums(*text), words, seed_words))):
+                row, first, n, least, content = found
+                if len(row):
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([block.column("doc_id").take(at), block.column("text_hash").take(at), pa.array(np.full(len(row), of_words)), pa.array(first.astype(np.int32)),
+                                                      pa.array(n.astype(np.int32)), pa.array(least.view(np.int64)), pa.array(content.view(np.int64))],
+                                                     names=["doc_id", "text_hash", "words", "first", "n", "v", "content"])
 
     return run
 
@@ -190,8 +213,9 @@ def _block_task(length: int):
     return run
 
 
-def _cut_task(length: int):
+def _cut_task(length: int, words: int):
     """The bytes of the wanted runs of each text."""
+    carried = ["words", "v", "content", "times", "low", "high", "n"]
 
     def run(batches):
         for block in text_blocks(batches):
@@ -199,64 +223,78 @@ def _cut_task(length: int):
             wanted = block.column("wanted")
             row = np.repeat(np.arange(block.num_rows), np.diff(wanted.offsets.to_numpy()))
             runs = wanted.flatten()
+            of_words = runs.field("words").to_numpy(zero_copy_only=False)
             first, n = runs.field("first").to_numpy().astype(np.int64), runs.field("n").to_numpy().astype(np.int64)
-            size = n + length - 1
-            cut = pieces(data[ragged(offsets[row] + first, size)], np.cumsum(size) - size)
-            yield pa.RecordBatch.from_arrays([runs.field("v"), runs.field("content"), runs.field("times"), runs.field("n"), cut], names=["v", "content", "times", "n", "bytes"])
+            start, size = offsets[row] + first, n + length - 1
+            if of_words.any():
+                at, parts, bounds = word_places(data, offsets)
+                head = bounds[row[of_words]] + first[of_words]
+                last = head + n[of_words] + words - 2
+                start[of_words], size[of_words] = at[head], at[last] + np.diff(utf8(parts)[1])[last] - at[head]
+            cut = pieces(data[ragged(start, size)], np.cumsum(size) - size)
+            yield pa.RecordBatch.from_arrays([*map(runs.field, carried), cut], names=[*carried, "bytes"])
 
     return run
 
 
-def _gram_task(length: int):
-    """Every owned string of hot contexts as two hashes."""
+def _gram_task(length: int, sums):
+    """Every owned string of contexts as two hashes."""
+    carried = ["v", "content", "times", "low", "high"]
 
     def run(batches):
         for batch in batches:
             for block in text_blocks(iter([batch]), "bytes"):
                 data, offsets = utf8(block.column("bytes"))
                 owned = block.column("n").to_numpy().astype(np.int64)
-                starts = ragged(offsets[:-1], owned)
                 row = np.repeat(np.arange(len(owned)), owned)
                 hashed = []
                 for salt in (0, 1):
-                    up, down = _powers(len(data) + 1, salt)
-                    total = np.zeros(len(data) + 1, np.uint64)
-                    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-                    hashed.append(mix((total[starts + length] - total[starts]) * down[starts]).view(np.int64))
+                    total, bounds = sums(data, offsets, salt)
+                    starts = ragged(bounds[:-1], owned)
+                    hashed.append(mix((total[starts + length] - total[starts]) * _powers(len(total), salt)[1][starts]).view(np.int64))
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([block.column("v").take(at), block.column("content").take(at), block.column("times").take(at), pa.array((starts - offsets[row]).astype(np.int32)),
-                                                  pa.array(hashed[0]), pa.array(hashed[1])], names=["v", "content", "times", "at", "g1", "g2"])
+                yield pa.RecordBatch.from_arrays([*(block.column(c).take(at) for c in carried), pa.array((starts - bounds[row]).astype(np.int32)),
+                                                  pa.array(hashed[0]), pa.array(hashed[1])], names=[*carried, "at", "g1", "g2"])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, seed_bytes: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
-    """doc_id, text_hash, starts: for each document with repeats the ranges [lo, hi) of starts of repeated strings."""
+def repeated_runs(docs: DataFrame, length: int = LENGTH, seed_bytes: int = SEED_BYTES, hot: int = HOT, words: int = WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+    """doc_id, text_hash, starts, word_starts: for each document with any the ranges [lo, hi) of starts of repeated strings, and
+    in words those of strings of `words` words that another document holds too."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
-    runs = saved(hashed.mapInArrow(_runs_task(length, seed_bytes), f"doc_id {kind}, text_hash long, first int, n int, v long, content long"), "runs")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= min(length, 2 * words - 1))
+    runs = saved(hashed.mapInArrow(_runs_task(length, seed_bytes, words, seed_words), f"doc_id {kind}, text_hash long, words boolean, first int, n int, v long, content long"), "runs")
     # written before the join, so both sides are plain exchanges and Spark can split a hash with very many runs
     again = saved(runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "recurring-hashes")
     found = saved(runs.join(again, "v", "left_semi"), "recurring-runs")
-    contexts = saved(found.groupBy("v", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("where")), "contexts")
-    kinds = contexts.groupBy("v").agg(F.count("*").alias("kinds"))
-    judged = contexts.join(kinds, "v")
-    alone = judged.where("kinds = 1").select("v", "content", F.array(F.struct(F.lit(0).alias("lo"), F.col("where.n").alias("hi"))).alias("spans"))
-    wanted = judged.where("kinds > 1").select("where.doc_id", "where.text_hash", F.struct("where.first", "where.n", "v", "content", "times", "kinds").alias("run"))
+    document = F.xxhash64("doc_id", "text_hash")
+    contexts = saved(found.groupBy("words", "v", "content").agg(F.count("*").alias("times"), F.min(document).alias("low"), F.max(document).alias("high"),
+                                                                F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("where")), "contexts")
+    kinds = contexts.groupBy("v").agg(F.count("*").alias("kinds"), F.min("low").alias("least"), F.max("high").alias("most"))
+    judged = contexts.join(kinds, "v").where("not words or least != most")
+    alone = judged.where("kinds = 1").select("words", "v", "content", F.array(F.struct(F.lit(0).alias("lo"), F.col("where.n").alias("hi"))).alias("spans"))
+    wanted = judged.where("kinds > 1").select("where.doc_id", "where.text_hash", F.struct("words", "where.first", "where.n", "v", "content", "times", "low", "high").alias("run"))
     of_doc = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("run").alias("wanted"))
 
     cut = hashed.join(of_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("text", "wanted")
-    bytes_of = saved(cut.mapInArrow(_cut_task(length), "v long, content long, times long, n int, bytes binary").dropDuplicates(["v", "content"]), "context-bytes")
+    bytes_of = saved(cut.mapInArrow(_cut_task(length, words), "words boolean, v long, content long, times long, low long, high long, n int, bytes binary").dropDuplicates(["words", "v", "content"]), "context-bytes")
     crowded = kinds.where(F.col("kinds") > hot).select("v")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     span_kind = "v long, content long, spans array<struct<lo:int,hi:int>>"
-    normal = bytes_of.join(crowded, "v", "left_anti").repartition(parts, "v").sortWithinPartitions("v", "content").mapInArrow(_block_task(length), span_kind)
-    grams = bytes_of.join(crowded, "v", "left_semi").mapInArrow(_gram_task(length), "v long, content long, times long, at int, g1 long, g2 long")
+    gram_kind = "v long, content long, times long, low long, high long, at int, g1 long, g2 long"
+    of_bytes = bytes_of.where("not words")
+    normal = of_bytes.join(crowded, "v", "left_anti").repartition(parts, "v").sortWithinPartitions("v", "content").mapInArrow(_block_task(length), span_kind)
+    grams = of_bytes.join(crowded, "v", "left_semi").mapInArrow(_gram_task(length, _byte_sums), gram_kind)
     twice = grams.groupBy("g1", "g2").agg(F.sum("times").alias("all")).where("all > 1").select("g1", "g2")
-    dense = grams.join(twice, ["g1", "g2"], "left_semi").groupBy("v", "content").agg(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))).alias("spans"))
-    spans = saved(alone.unionByName(normal).unionByName(dense).where("size(spans) > 0"), "repeated-spans")
-    placed = found.join(spans, ["v", "content"]).select("doc_id", "text_hash", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("first")).alias("lo"), (s["hi"] + F.col("first")).alias("hi"))).alias("spans"))
-    return placed.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("starts"))
+    word_grams = bytes_of.where("words").mapInArrow(_gram_task(words, _word_sums), gram_kind)
+    shared = word_grams.groupBy("g1", "g2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("g1", "g2")
+    at = F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))).alias("spans")
+    dense, passages = (g.join(some, ["g1", "g2"], "left_semi").groupBy("v", "content").agg(at) for g, some in ((grams, twice), (word_grams, shared)))
+    solved = normal.unionByName(dense).withColumn("words", F.lit(False)).unionByName(passages.withColumn("words", F.lit(True)))
+    spans = saved(alone.unionByName(solved).where("size(spans) > 0"), "repeated-spans")
+    placed = found.join(spans, ["words", "v", "content"]).select("doc_id", "text_hash", "words", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("first")).alias("lo"), (s["hi"] + F.col("first")).alias("hi"))).alias("spans"))
+    return placed.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(F.when(~F.col("words"), F.col("spans")))).alias("starts"), F.flatten(F.collect_list(F.when(F.col("words"), F.col("spans")))).alias("word_starts"))
 
 
 def removed_spans(starts: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,34 +307,43 @@ def removed_spans(starts: np.ndarray, stops: np.ndarray, length: int) -> tuple[n
     return lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)]
 
 
-def _remove_task(length: int):
+def _spans_of_rows(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs that `removed_spans` makes of the ranges of each row: row, begin, end."""
+    row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    ranges, apart = column.flatten(), np.int64(1) << 40  # rows are far apart, so none reaches into the next
+    lo, hi = removed_spans(*(ranges.field(c).to_numpy().astype(np.int64) + row * apart for c in ("lo", "hi")), length)
+    row = lo // apart
+    return row, lo - row * apart, hi - row * apart
+
+
+def _remove_task(length: int, words: int):
     def run(batches):
         for block in text_blocks(batches):
             data, offsets = utf8(block.column("text"))
-            out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": [], "kept": []}
-            for r, ranges in enumerate(block.column("starts").to_pylist()):
-                raw, kept, at = data[offsets[r]:offsets[r + 1]].tobytes(), [], 0
-                lo, hi = removed_spans(np.array([x["lo"] for x in ranges or []], np.int64), np.array([x["hi"] for x in ranges or []], np.int64), length)
-                for a, b in zip(lo.tolist(), hi.tolist()):
-                    kept.append(raw[at:a])
-                    at = b
-                kept = b"".join([*kept, raw[at:]])
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(len(raw) - len(kept))
-                out["n_spans"].append(len(lo))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["spans"].append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist())])
-                out["kept"].append(kept)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.binary()]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], names=["doc_id", *out])
+            rows = block.num_rows
+            row, lo, hi = _spans_of_rows(block.column("starts"), length)
+            held, first, stop = _spans_of_rows(block.column("word_starts"), words)
+            bounds = np.searchsorted(row, np.arange(rows + 1))
+            kept = []
+            for r, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                mine = slice(bounds[r], bounds[r + 1])
+                edges = [0, *np.stack([lo[mine], hi[mine]], axis=1).ravel().tolist(), end - start] if bounds[r] < bounds[r + 1] else [0, end - start]
+                kept.append(b"".join(data[start + a:start + b].tobytes() for a, b in zip(edges[0::2], edges[1::2])))
+            spans = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"]))
+            shared = np.bincount(held, weights=stop - first, minlength=rows).astype(np.int64)
+            sizes = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), pa.array(sizes), pa.array(sizes - np.fromiter(map(len, kept), np.int64, rows)), pa.array(np.diff(bounds)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                 spans, pa.array(kept, pa.binary()), pa.array(shared)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "n_shared_words"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed_bytes: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte runs) and kept (remaining bytes) of each row."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed_bytes: int = SEED_BYTES, hot: int = HOT, words: int = WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte runs), kept (remaining bytes) and n_shared_words
+    (words in strings of `words` words that another document holds too, removed or not) of each row."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    found = repeated_runs(docs, length, seed_bytes, hot).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "starts")
+    found = repeated_runs(docs, length, seed_bytes, hot, words, seed_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "starts", "word_starts")
     joined = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    return joined.select("doc_id", "text", "starts").mapInArrow(
-        _remove_task(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>, kept binary")
+    return joined.select("doc_id", "text", "starts", "word_starts").mapInArrow(
+        _remove_task(length, words), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>, kept binary, n_shared_words long")
